@@ -112,20 +112,15 @@ def _nutrient_value(nutrition: str, key: str) -> Column:
     )
 
 
-def nutrition_text(literal: Column | str, keys: tuple[str, ...] = NUTRIENTS) -> Column:
-    """``nutrient: value percent`` lines in key order; missing nutrients have no line."""
-    return nutrition_lines(parse_nutrition(literal), keys)
-
-
-def nutrition_lines(nutrition: Column, keys: tuple[str, ...] = NUTRIENTS) -> Column:
-    present = F.filter(
-        F.array(*[F.lit(k) for k in keys]), lambda k: F.map_contains_key(nutrition, k)
-    )
-    return F.array_join(F.transform(present, lambda k: _nutrient_line(nutrition, k)), "\n")
+def nutrition_text(df: DataFrame, literal: str, name: str = "percent_daily_values", keys: tuple[str, ...] = NUTRIENTS) -> DataFrame:
+    """Add ``nutrient: value percent`` lines in key order; missing nutrients have no line."""
+    parsed = df.withColumn("_nutrition", parse_nutrition(literal))
+    lines = [_nutrient_line("_nutrition", k) for k in keys]
+    return parsed.withColumn(name, F.concat_ws("\n", *lines)).drop("_nutrition")
 
 
-def _nutrient_line(nutrition: Column, key: Column) -> Column:
-    attributes = F.element_at(nutrition, key)
+def _nutrient_line(nutrition: str, key: str) -> Column:
+    attributes = F.element_at(F.col(nutrition), F.lit(key))
     value = F.element_at(attributes, F.lit(PERCENT_KEY))
     shown = (
         F.when(~F.map_contains_key(attributes, PERCENT_KEY), F.lit("-1 percent"))
@@ -133,18 +128,18 @@ def _nutrient_line(nutrition: Column, key: Column) -> Column:
         .when(F.trim(value) == BELOW_ONE, F.lit("0.0 percent"))
         .otherwise(F.concat(value, F.lit(" percent")))
     )
-    return F.concat(key, F.lit(": "), shown)
+    return F.when(attributes.isNotNull(), F.concat(F.lit(f"{key}: "), shown))
 
 
 def parse_items(items: DataFrame) -> DataFrame:
     """Item catalogue with its three parsed text columns."""
-    return items.withColumns(
+    parsed = items.withColumns(
         {
             "parsed_ingredients": split_bullets("ingredients"),
             "parsed_recipe": normalize_directions("cooking_directions"),
-            "percent_daily_values": nutrition_text("nutritions"),
         }
     )
+    return nutrition_text(parsed, "nutritions")
 
 
 def history_text(
