@@ -80,6 +80,28 @@ def is_valid_vector(vec: Column | str) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.exists(vec, lambda x: x != 0)
 
 
+def fixed2(c: Column | str) -> Column:
+    """Two decimals of a double, rounded on its exact binary value with ties to even.
+
+    ``format_string`` rounds the shortest decimal text half up, which differs on ties such as
+    3.125. Here 200 times the value is split as 128 + 64 + 8 times, whose fractions add up
+    exactly (for values of at least a quarter), so a tie is recognised as one.
+    """
+    value = _col(c).cast("double")
+    scaled = [F.abs(value) * m for m in (128.0, 64.0, 8.0)]
+    wholes = [F.floor(s) for s in scaled]
+    fraction = sum((s - w for s, w in zip(scaled[1:], wholes[1:])), scaled[0] - wholes[0])
+    halves = wholes[0] + wholes[1] + wholes[2] + F.floor(fraction)
+    rest = fraction - F.floor(fraction)
+    below = F.shiftright(halves, 1)
+    up = (halves % 2 == 1) & ((rest > 0) | (below % 2 == 1))
+    cents = below + up.cast("long")
+    digits = F.concat(
+        F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
+    )
+    return F.when(value < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
 def concat_or_null(*cols: Column | str) -> Column:
     """SQL ``||``: NULL as soon as one part is NULL."""
     return F.concat(*[_col(c) for c in cols])

@@ -36,14 +36,14 @@ from gustara.schemas import POINTWISE_JUDGEMENT
 
 @query(
     "cast_ids",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CAST(o_custkey AS VARCHAR) AS user_id, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS rating, TRY_CAST(o_orderstatus AS BIGINT) AS not_an_id FROM orders",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CAST(o_custkey AS VARCHAR) AS user_id, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS rating, CAST(TRY_CAST(o_orderstatus AS BIGINT) AS VARCHAR) AS not_an_id FROM orders",
 )
 def cast_ids(spark, sf):
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("item_id"),
         F.col("o_custkey").cast("string").alias("user_id"),
         F.substring("o_orderpriority", 1, 1).try_cast("double").alias("rating"),
-        F.col("o_orderstatus").try_cast("long").alias("not_an_id"),
+        F.col("o_orderstatus").try_cast("long").cast("string").alias("not_an_id"),
     )
 
 
@@ -181,7 +181,7 @@ def json_extract(spark, sf):
 
 @query(
     "json_typed_parse",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE quality = 1 END AS would_like, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'label ' || toxic END AS justification,
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL WHEN quality = 1 THEN 'true' ELSE 'false' END AS would_like, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'label ' || toxic END AS justification,
        doc_id % 3 = 2 AS is_bad FROM labels""",
 )
 def json_typed_parse(spark, sf):
@@ -191,7 +191,7 @@ def json_typed_parse(spark, sf):
     )
     text = F.when(F.col("doc_id") % 3 == 2, F.substring(good, 1, 12)).otherwise(good)
     parsed = table(spark, sf, "labels").select("doc_id", S.parse_answer(text, POINTWISE_JUDGEMENT).alias("a"))
-    return parsed.select("doc_id", "a.would_like", "a.justification", F.col("a._bad").isNotNull().alias("is_bad"))
+    return parsed.select("doc_id", F.col("a.would_like").cast("string").alias("would_like"), "a.justification", F.col("a._bad").isNotNull().alias("is_bad"))
 
 
 @query("array_length", sql("near_unseen", "SELECT user_id, count(*) AS n_items FROM near_unseen GROUP BY user_id"))
