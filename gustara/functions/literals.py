@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,26 @@ from gustara.schemas import REVIEW_MAP
 
 
 _UNREADABLE = (ValueError, SyntaxError, TypeError, MemoryError, RecursionError)
+# Bare words JSON knows and Python does not; a text holding one takes the exact way.
+_JSON_WORDS = re.compile("true|false|null|NaN|Infinity")
 
 
 def _read_dict(text: str) -> dict | None:
+    """The dict a Python literal spells, or None.
+
+    Without backslashes, double quotes and JSON words, a text that reads as JSON once its quotes
+    are exchanged means the same in both languages, and the JSON reader is several times faster.
+    Everything else goes through the Python literal parser.
+    """
+    text = text.strip()
+    if "\\" not in text and '"' not in text and not _JSON_WORDS.search(text):
+        try:
+            value = json.loads(text.replace("'", '"'))
+            return value if isinstance(value, dict) else None
+        except _UNREADABLE:
+            pass
     try:
-        value = ast.literal_eval(text.strip())
+        value = ast.literal_eval(text)
     except _UNREADABLE:
         return None
     return value if isinstance(value, dict) else None

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gustara.functions.literals import literal_entry, python_literal_to_json
 from gustara.functions.scalars import fixed2, split_bullets
 from gustara.schemas import NUTRITION_MAP
+from gustara.session import spread
 
 # ---- Fixed values: results depend on these names, markers and formats ----------------------
 NUTRIENTS = (
@@ -133,7 +134,7 @@ def _nutrient_line(nutrition: str, key: str) -> Column:
 
 def parse_items(items: DataFrame) -> DataFrame:
     """Item catalogue with its three parsed text columns."""
-    parsed = items.withColumns(
+    parsed = spread(items).withColumns(
         {
             "parsed_ingredients": split_bullets("ingredients"),
             "parsed_recipe": normalize_directions("cooking_directions"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = ("lb", "rb")
+MIN_LEFT_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,21 @@ class BlockGrid:
     n_right: int
 
     @staticmethod
-    def of(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int) -> BlockGrid:
-        """Counts both sides and cuts them into blocks of about the given number of rows."""
-        return BlockGrid(
-            max(1, math.ceil(left.count() / left_rows)), max(1, math.ceil(right.count() / right_rows))
+    def of(left: DataFrame, right: DataFrame, width: Column, block_bytes: int = 64 * 1024 * 1024) -> BlockGrid:
+        """Cut both sides into blocks of about ``block_bytes``, by row count and mean row size.
+
+        ``width`` is the size of a row in bytes. The left side is cut finer, down to 4096 rows a
+        block, while that still adds parallel tasks.
+        """
+        counts = left.agg(F.count("*").alias("n"), F.avg(width).alias("w")).withColumn("side", F.lit(0)).union(
+            right.agg(F.count("*").alias("n"), F.avg(width).alias("w")).withColumn("side", F.lit(1))
         )
+        found = {row["side"]: row for row in counts.collect()}  # two rows
+        n_left, n_right = found[0]["n"], found[1]["n"]
+        rows = [max(1, int(block_bytes / (found[side]["w"] or 1))) for side in (0, 1)]
+        tasks = left.sparkSession.sparkContext.defaultParallelism
+        finer = min(tasks, math.ceil(n_left / MIN_LEFT_ROWS))
+        return BlockGrid(max(1, math.ceil(n_left / rows[0]), finer), max(1, math.ceil(n_right / rows[1])))
 
     def left(self, df: DataFrame, key: str) -> DataFrame:
         return df.withColumn("lb", _block(key, self.n_left)).withColumn("rb", _every(self.n_right))

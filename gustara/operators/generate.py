@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from gustara.functions.scalars import envelope_text, parse_answer
 from gustara.functions.text import prompt_parts
 from gustara.providers.base import EmbeddingProvider, GenerationParams, Retry, TextProvider, envelope
-from gustara.session import materialize
+from gustara.session import materialize, spread
 
 _RESULT = T.StructType([T.StructField("full_response", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -44,7 +44,7 @@ def generate(
                 _answers(requests, provider, settings, retry, raise_errors), columns=["full_response", "error"]
             )
 
-    rows = df.repartition(concurrency) if concurrency else df
+    rows = df.repartition(concurrency) if concurrency else spread(df)
     answered = rows.withColumn("_ai", call.asNondeterministic()(parts))
     return answered.select(
         *df.columns,
@@ -128,7 +128,7 @@ def embed_text(
             texts = [t if t is not None else "" for t in batch]
             yield pd.Series(_vectors(texts, provider, task_type, retry), dtype=object)
 
-    rows = df.repartition(concurrency) if concurrency else df
+    rows = df.repartition(concurrency) if concurrency else spread(df)
     return rows.withColumn(name, call.asNondeterministic()(F.col(content)))
 
 

@@ -68,7 +68,7 @@ def semantic_search(
     return found
 
 
-def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_rows: int = 1024) -> DataFrame:
+def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """(query_id, item_id, rank): the first ``k`` rows by id whose content contains the query text.
 
     Case is ignored; an empty text matches nothing. Whole texts meet block by block, so neither
@@ -78,7 +78,7 @@ def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_rows: int
     q = q.where(F.col("txt") != "")
     b = base.select(F.col("item_id").cast("string").alias("id"), F.lower("content").alias("txt"))
     b = b.where(F.col("txt").isNotNull())
-    grid = BlockGrid.of(q, b, block_rows, block_rows)
+    grid = BlockGrid.of(q, b, F.octet_length("txt"), block_bytes)
     found = (
         grid.left(q, "id")
         .groupBy(*CELL)

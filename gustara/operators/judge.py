@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from gustara.functions.scalars import parse_answer
 from gustara.functions.text import pair_prompt, prompt_parts
-from gustara.operators.aggregates import quality_score
 from gustara.operators.generate import generate
-from gustara.operators.relational import group_list, join_with_suffixes
 from gustara.providers.base import GenerationParams, TextProvider
 from gustara.schemas import PAIRWISE_JUDGEMENT, POINTWISE_JUDGEMENT
 
+MODELS = ("vs", "als")
 POINTWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=None, max_output_tokens=4096)
 PAIRWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=2048, max_output_tokens=4096)
 
@@ -54,17 +53,36 @@ def negative_verdicts(judged: DataFrame) -> DataFrame:
 
 
 def pointwise_metrics(judged: DataFrame) -> DataFrame:
-    """Quality score per user of both models side by side (users with both only)."""
-    sides = [quality_score(judged.where(F.col("model") == m)) for m in ("vs", "als")]
-    return join_with_suffixes(*sides, ["user_id"], ("_vs", "_als"))
+    """Quality score per user of both models side by side (users with both only), in one pass."""
+    measures = []
+    for m in MODELS:
+        mine = F.col("model") == m
+        measures += [
+            F.count_if(mine & F.col("verdict")).alias(f"n_liked_{m}"),
+            F.count(F.when(mine, F.col("item_id"))).alias(f"n_judged_{m}"),
+        ]
+    both = judged.groupBy("user_id").agg(*measures)
+    both = both.where(F.least(*[f"n_judged_{m}" for m in MODELS]) > 0)
+    return both.withColumns(
+        {f"quality_score_{m}": F.try_divide(F.col(f"n_liked_{m}"), F.col(f"n_judged_{m}")) for m in MODELS}
+    )
 
 
 def paired_lists(rows: DataFrame, k: int = 20) -> DataFrame:
-    """One row per user with both models' ranked lists of at most ``k`` items."""
-    columns = ["item_id", "title", "item_profile_text"]
-    vs, als = (group_list(rows.where(F.col("model") == m), "user_id", columns, k) for m in ("vs", "als"))
-    profile = rows.where(F.col("model") == "vs").groupBy("user_id").agg(F.max("user_profile_text").alias("user_profile_text"))
-    return join_with_suffixes(vs.join(profile, "user_id", "left"), als, ["user_id"], ("_vs", "_als"))
+    """One row per user with both models' ranked lists of at most ``k`` items, in one pass.
+
+    Users without a list from one of the models are left out.
+    """
+    columns = ("item_id", "title", "item_profile_text")
+    record = F.struct("rank", *columns)
+    lists = rows.where(F.col("rank") <= k).groupBy("user_id").agg(
+        F.max(F.when(F.col("model") == "vs", F.col("user_profile_text"))).alias("user_profile_text"),
+        *[F.array_sort(F.collect_list(F.when(F.col("model") == m, record))).alias(f"_{m}") for m in MODELS],
+    )
+    paired = lists.where((F.size("_vs") > 0) & (F.size("_als") > 0))
+    return paired.select(
+        "user_id", "user_profile_text", *[F.col(f"_{m}.{c}").alias(f"{c}_{m}") for m in MODELS for c in columns]
+    )
 
 
 def judge_pairwise(rows: DataFrame, provider: TextProvider, instruction: str, seed: int = 0, k: int = 20, params: GenerationParams = PAIRWISE_PARAMS, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gustara.operators.ordering import top_k
-from gustara.operators.relational import hits_in_list, remove_excluded
+from gustara.operators.relational import remove_excluded
 
 
 def recall_at_k(
@@ -22,19 +22,24 @@ def recall_at_k(
     ``recommendations``: (user_id, item_id, rank). ``truth``: (user_id, item_id). Items that
     could not be recommended are taken out of the truth. Without truth the proportion is NULL.
     """
-    listed = recommendations.where(F.col("rank") <= k).select("user_id", "item_id")
     wanted = truth.select("user_id", "item_id")
-    wanted = wanted.distinct() if distinct_truth else wanted
     if excluded_items is not None:
         wanted = remove_excluded(wanted, excluded_items)
-    counted = hits_in_list(wanted, listed, "user_id", "item_id")
-    per_user = listed.select("user_id").distinct().join(counted, "user_id", "left")
-    return per_user.select(
+    counted = wanted.groupBy("user_id", "item_id").agg((F.lit(1) if distinct_truth else F.count("*")).cast("long").alias("_n"))
+    sizes = counted.groupBy("user_id").agg(F.sum("_n").alias("n_truth"))
+    # The lists are read once: a search behind them must not run twice.
+    listed = recommendations.where(F.col("rank") <= k).select("user_id", "item_id").distinct()
+    hits = (
+        listed.join(counted, ["user_id", "item_id"], "left")
+        .groupBy("user_id")
+        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("hit_count"))
+    )
+    return hits.join(sizes, "user_id", "left").select(
         "user_id",
-        F.coalesce("list_size", F.lit(0)).alias("n_truth"),
-        F.coalesce("hit_count", F.lit(0)).alias("hit_count"),
-        (F.coalesce("hit_count", F.lit(0)) > 0).alias("hit"),
-        F.try_divide(F.col("hit_count"), F.col("list_size")).alias("hit_proportion"),
+        F.coalesce("n_truth", F.lit(0)).alias("n_truth"),
+        "hit_count",
+        (F.col("hit_count") > 0).alias("hit"),
+        F.try_divide(F.col("hit_count"), F.col("n_truth")).alias("hit_proportion"),
     )
 
 

@@ -19,18 +19,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
-    """Raise with up to five offending keys; reads at most those five rows to the driver."""
-    found = duplicate_keys(df, keys).orderBy(*keys).limit(5).collect()
-    if found:
-        shown = "; ".join(", ".join(f"{k}={row[k]}" for k in keys) for row in found)
-        raise DuplicateKeyError(f"{side} side has repeated keys: {shown}")
+def require_unique(keys: Sequence[str], **sides: DataFrame) -> None:
+    """Raise when a side repeats a key, naming up to five; only those reach the driver."""
+    found = [duplicate_keys(df, keys).select(F.lit(side).alias("_side"), *keys) for side, df in sides.items()]
+    rows = reduce(lambda a, b: a.union(b), found).orderBy("_side", *keys).limit(5).collect()
+    if rows:
+        shown = "; ".join(f"{row['_side']}: " + ", ".join(f"{k}={row[k]}" for k in keys) for row in rows)
+        raise DuplicateKeyError(f"repeated keys ({shown})")
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join that refuses repeated keys on either side."""
-    require_unique(left, keys, "left")
-    require_unique(right, keys, "right")
+    require_unique(keys, left=left, right=right)
     return left.join(right, list(keys), how)
 
 
@@ -191,6 +191,6 @@ def with_group_count(df: DataFrame, key: str, name: str = "n_rows") -> DataFrame
     Count and join back instead of a window: the count is partially aggregated, and the join
     can split a hot key over tasks, which a window cannot.
     """
-    return df.join(df.groupBy(key).agg(F.count("*").alias(name)), key)
+    return df.join(df.groupBy(key).agg(F.count("*").alias(name)), key, "left")
 
 

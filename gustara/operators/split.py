@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustara.functions.scalars import parse_timestamp
+from gustara.session import materialize
 
 
 def clean_interactions(
@@ -35,15 +36,18 @@ def days(n: int) -> Column:
 
 
 def train_window(train: DataFrame, prev_days: int, ts: str = "ts") -> DataFrame:
-    """Rows of the last ``prev_days`` before the newest row, bound included."""
-    newest = train.agg(F.max(ts).alias("newest")).scalar()
-    return train.where(F.col(ts) >= newest - days(prev_days))
+    """Rows of the last ``prev_days`` before the newest row, bound included.
+
+    The bound is one subquery value, so it reaches the file reader as a plain comparison.
+    """
+    bound = train.agg((F.max(ts) - days(prev_days)).alias("bound")).scalar()
+    return train.where(F.col(ts) >= bound)
 
 
 def valid_window(valid: DataFrame, post_days: int, min_rating: float = 3.0, ts: str = "ts") -> DataFrame:
     """Well-rated rows of the first ``post_days``; the oldest row is found before that filter."""
-    oldest = valid.agg(F.min(ts).alias("oldest")).scalar()
-    return valid.where((F.col(ts) <= oldest + days(post_days)) & (F.col("rating") >= min_rating))
+    bound = valid.agg((F.min(ts) + days(post_days)).alias("bound")).scalar()
+    return valid.where((F.col(ts) <= bound) & (F.col("rating") >= min_rating))
 
 
 def common_ids(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -87,37 +91,43 @@ def windowed_split(
     min_train: int = 5,
     min_valid: int = 5,
     ts: str = "ts",
+    store: bool = True,
 ) -> WindowedSplit:
     """Windows, then common ids, then minimum counts, in that order.
 
-    Everything before the last step works on (user, item) counts rather than on rows: they are
-    partially aggregated where the rows are read, so a hot user or item does not travel.
+    Everything before the last step works on one table of (user, item) counts for both splits:
+    it is partially aggregated where the rows are read, so a hot user or item does not travel.
+    ``store`` writes that table and the chosen ids, which all later steps read, once.
     """
+    keep = materialize if store else (lambda df, label: df)
     recent = train_window(train, prev_days, ts)
     upcoming = valid_window(valid, post_days, min_rating, ts)
-    pairs_t = recent.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
-    pairs_v = upcoming.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
-    items = common_ids(pairs_t, pairs_v, "item_id")
-
-    def enough(pairs: DataFrame, minimum: int) -> DataFrame:
-        kept = pairs.join(items, "item_id", "left_semi").groupBy("user_id").agg(F.sum("n").alias("n"))
-        return kept.where(F.col("n") >= minimum).select("user_id")
+    sides = _side(recent, 1, 0).union(_side(upcoming, 0, 1))
+    pairs = keep(
+        sides.groupBy("user_id", "item_id").agg(F.sum("t").alias("n_train"), F.sum("v").alias("n_valid")), "pairs"
+    )
+    in_both = (F.col("n_train") > 0) & (F.col("n_valid") > 0)
+    per_item = pairs.groupBy("item_id").agg(F.max("n_train").alias("n_train"), F.max("n_valid").alias("n_valid"))
+    items = keep(per_item.where(in_both).select("item_id"), "common-items")
 
     # A user with enough rows on both sides is a common user, so that test needs no own step.
     # A minimum below one would let users in that have no row at all.
-    users = enough(pairs_t, max(1, min_train)).intersect(enough(pairs_v, max(1, min_valid)))
+    kept = pairs.join(items, "item_id", "left_semi")
+    per_user = kept.groupBy("user_id").agg(F.sum("n_train").alias("n_train"), F.sum("n_valid").alias("n_valid"))
+    enough = (F.col("n_train") >= max(1, min_train)) & (F.col("n_valid") >= max(1, min_valid))
+    users = keep(per_user.where(enough).select("user_id"), "final-users")
 
     def final(df: DataFrame) -> DataFrame:
         return df.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi")
 
-    final_items = (
-        pairs_t.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select("item_id")
-        .union(pairs_v.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select("item_id"))
-        .distinct()
-    )
+    final_items = kept.join(users, "user_id", "left_semi").select("item_id").distinct()
     return WindowedSplit(final(recent), final(upcoming), users, final_items)
 
 
+def _side(df: DataFrame, t: int, v: int) -> DataFrame:
+    return df.select("user_id", "item_id", F.lit(t).alias("t"), F.lit(v).alias("v"))
+
+
 def catalogue_of(items: DataFrame, final_items: DataFrame) -> DataFrame:
     return items.join(final_items, "item_id", "left_semi")
 

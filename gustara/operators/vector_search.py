@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustara.functions.scalars import is_valid_vector
 from gustara.operators.blocks import CELL, BlockGrid
@@ -22,7 +23,7 @@ from gustara.operators.ordering import top_k
 
 DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
 TIE_DIGITS = 9  # distances equal to this many digits are ties, ordered by base id
-_CHUNK = 1024  # query rows multiplied at a time
+_CELLS = 8_000_000  # distances held at a time
 
 
 def valid_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -38,7 +39,7 @@ def vector_search(
     query_id: str = "user_id",
     vector: str = "embedding",
     exclude: DataFrame | None = None,
-    block_rows: int = 8192,
+    block_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """(query_id, base_id, distance, rank) of the ``k`` nearest base rows per query.
 
@@ -50,13 +51,13 @@ def vector_search(
         raise ValueError(f"distance must be one of {DISTANCES}")
     b = _vectors(base, base_id, vector)
     q = _vectors(queries, query_id, vector)
-    grid = BlockGrid.of(q, b, block_rows, block_rows)
+    grid = BlockGrid.of(q, b, F.size("vec") * 8, block_bytes)
     query_rows = grid.left(q.withColumn("excluded", F.lit(None).cast("string")), "id")
     if exclude is not None:
         pairs = exclude.select(
             F.col(query_id).cast("string").alias("id"), F.col(base_id).cast("string").alias("excluded")
         ).distinct()
-        removed = grid.cells(pairs, "id", "excluded").withColumn("vec", F.lit(None).cast("array<double>"))
+        removed = grid.cells(pairs, "id", "excluded").withColumn("vec", F.lit(None).cast(q.schema["vec"].dataType))
         query_rows = query_rows.unionByName(removed)
     candidates = (
         query_rows.groupBy(*CELL)
@@ -70,9 +71,11 @@ def vector_search(
 
 
 def _vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    return valid_vectors(df, vector).select(
-        F.col(id_column).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("vec")
-    )
+    """Ids as text; vectors as stored, so single precision travels at half the size."""
+    kept = valid_vectors(df, vector).select(F.col(id_column).cast("string").alias("id"), F.col(vector).alias("vec"))
+    if isinstance(kept.schema["vec"].dataType.elementType, (T.FloatType, T.DoubleType)):
+        return kept
+    return kept.withColumn("vec", F.col("vec").cast("array<double>"))
 
 
 def _block_search(k: int, distance: str):
@@ -93,8 +96,9 @@ def _block_search(k: int, distance: str):
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
         skip_rows, skip_cols = _positions(removed, query_ids, base_ids)
         parts = []
-        for start in range(0, len(query), _CHUNK):
-            stop = min(start + _CHUNK, len(query))
+        step = max(1, _CELLS // len(base))
+        for start in range(0, len(query), step):
+            stop = min(start + step, len(query))
             dist = _distances(query[start:stop], base, distance)
             key = np.round(dist, TIE_DIGITS) + 0.0  # no negative zero
             inside = (skip_rows >= start) & (skip_rows < stop)
@@ -112,7 +116,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lengths = np.diff(values.offsets.to_numpy())
     if len(set(lengths.tolist())) > 1:
         raise ValueError(f"vectors of different dimensions in one column: {sorted(set(lengths.tolist()))}")
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
 def _positions(removed: pa.Table, query_ids: np.ndarray, base_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustara.operators.ordering import running_position
@@ -15,8 +15,8 @@ AGE_BONUS = 0.2
 CONFIDENCE_ALPHA = 20.0
 
 
-def _seconds(c):
-    return F.unix_micros(c) / 1e6
+def _seconds(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")) / 1e6
 
 
 def age_norm(df: DataFrame, ts: str = "ts") -> DataFrame:

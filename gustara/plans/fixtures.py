@@ -40,7 +40,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         F.get_json_object("props", "$.k").alias("item_id"),
         rating.alias("rating"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         "event_id",
     )
 
@@ -58,9 +58,12 @@ def raw_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and validation interactions before any window."""
+    """Training and validation interactions before any window.
+
+    Event times stay zone-less as stored, so the time filters reach the file reader.
+    """
     rows = interactions(spark, sf_dir)
-    cut = F.lit(BOUNDARY).cast("timestamp")
+    cut = F.lit(BOUNDARY).cast("timestamp_ntz")
     return rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)
 
 
@@ -73,9 +76,7 @@ def stored_split(spark: SparkSession, sf_dir: str) -> WindowedSplit:
     """The split written once, for plans that read it several times."""
     split = final_split(spark, sf_dir)
     train, valid = materialize(split.train, "train"), materialize(split.valid, "valid")
-    users = train.select("user_id").distinct()
-    items = train.select("item_id").union(valid.select("item_id")).distinct()
-    return WindowedSplit(train, valid, users, items)
+    return WindowedSplit(train, valid, split.users, split.items)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

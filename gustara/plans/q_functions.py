@@ -384,6 +384,20 @@ def pair_prompt(spark, sf):
     return X.pair_prompt(pairs, SEED).select("user_id", "model_a", "model_b", "comparison_prompt")
 
 
+@query(
+    "schema_prompt",
+    sql(
+        "parsed",
+        "SELECT item_id, 'Answer as [  would_like (true only if the user would like the item)  confidence (high, medium or low)  justification (matches or mismatches between both profiles)  ]: ' || parsed_ingredients AS prompt, 'would_like BOOL, confidence STRING, justification STRING' AS output_schema FROM parsed",
+    ),
+)
+def schema_prompts(spark, sf):
+    """Every item's prompt with the answer schema spelled out."""
+    instruction = f"Answer as {X.schema_prompt(POINTWISE_JUDGEMENT)}: "
+    parsed = X.parse_items(items(spark, sf))
+    return parsed.select("item_id", X.prompt_text(instruction, "parsed_ingredients").alias("prompt"), F.lit(X.output_ddl(POINTWISE_JUDGEMENT)).alias("output_schema"))
+
+
 @query("file_stem")
 def file_stem(spark, sf):
     """Stem and relative path of the given tables' own files."""

@@ -86,7 +86,7 @@ def ctas_enrich(spark, sf):
     return read_table(spark, path)
 
 
-@query("create_namespace")
+@query("create_namespace", sql("interactions", "SELECT user_id, item_id, rating FROM interactions"))
 def create_database(spark, sf):
     """Interactions saved under a namespace that is created twice, read back by name."""
     create_namespace(spark, "gustara_store")

@@ -71,3 +71,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPREAD_LIMIT = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs of a Python stage over all cores.
+
+    A small file is one task however many cores there are. Only inputs whose planned size is
+    known to be small are moved; large ones arrive in many partitions anyway.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SPREAD_LIMIT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

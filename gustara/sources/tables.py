@@ -75,7 +75,7 @@ def update_column(target: DataFrame, updates: DataFrame, key: str, column: str)
     The column is created if missing; rows without a match keep their value or NULL. The update
     keys must be unique.
     """
-    require_unique(updates, [key], "update")
+    require_unique([key], update=updates)
     incoming = updates.select(key, F.col(column).alias("_new"))
     joined = target.join(incoming, key, "left")
     if column in target.columns:
