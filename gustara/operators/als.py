@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustara.operators.vector_search import vector_search
-from gustara.operators.weights import encode, index_ids, interaction_triples
+from gustara.operators.weights import index_ids, interaction_triples
 from gustara.session import materialize, work_dir
 
 
@@ -51,7 +51,7 @@ def als_fit(
     rows = materialize(interactions.select("user_id", "item_id", F.col(value).cast("double").alias("value")), "als")
     users = materialize(index_ids(rows, "user_id", "user_idx"), "users")
     items = materialize(index_ids(rows, "item_id", "item_idx"), "items")
-    triples = interaction_triples(encode(rows, users, items), "value")
+    triples = interaction_triples(rows.join(users, "user_id").join(items, "item_id"), "value")
     als = ALS(
         rank=rank,
         regParam=reg,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustara.operators.skew import attach
+
 # Feature names and their order.
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 STARS = (1, 2, 3, 4, 5)
@@ -62,8 +64,8 @@ def ranking_matrix(users: DataFrame, items: DataFrame, ratings: DataFrame) -> Da
     ``ratings``: (user_id, item_id, rating, rating_date). Missing feature values become 0.
     The feature frames are arguments: pass those of the training split to avoid leaking.
     """
-    joined = users.join(ratings.select("user_id", "item_id", "rating", "rating_date"), "user_id")
-    return items.join(joined, "item_id").na.fill(0)
+    rows = ratings.select("user_id", "item_id", "rating", "rating_date")
+    return attach(attach(rows, users, "user_id"), items, "item_id").na.fill(0)
 
 
 def feature_columns(matrix: DataFrame) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gustara.operators.skew import attach
 from gustara.session import materialize
 
 
@@ -76,7 +77,7 @@ def competition_rank(
     """
     counted = df.groupBy(*group, score).agg(F.count("*").alias("_n"))
     ranked = running_position(counted, group, [(score, ascending)], name, weight="_n").drop("_n")
-    return df.join(ranked, [*group, score])
+    return attach(df, ranked, [*group, score])
 
 
 def sort_rows(df: DataFrame, *keys: Column) -> DataFrame:

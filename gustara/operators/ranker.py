@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gustara.operators.features import feature_columns
 from gustara.operators.ordering import competition_rank
+from gustara.operators.skew import attach
 from gustara.session import materialize, work_dir
 
 
@@ -42,7 +43,7 @@ def rank_model(
     rows = matrix
     if centre:
         means = matrix.groupBy("user_id").agg(F.avg(label).alias("_mean"))
-        rows = matrix.join(means, "user_id")
+        rows = attach(matrix, means, "user_id")
         target = target - F.col("_mean")
     rows = materialize(rows.select(*features, target.alias("label")), "ranker")
     assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows)

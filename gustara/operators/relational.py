@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustara.operators.ordering import first_per_group, top_k
+from gustara.operators.skew import attach
+from gustara.session import materialize
 
 
 class DuplicateKeyError(ValueError):
@@ -58,7 +60,7 @@ def where_in_subquery(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 def before_cutoff(rows: DataFrame, cutoffs: DataFrame, key: str, ts: str, cutoff: str) -> DataFrame:
     """Rows strictly older than their key's cutoff (point-in-time history)."""
-    limits = cutoffs.select(F.col(key).alias("_key"), F.col(cutoff).alias("_cutoff"))
+    limits = materialize(cutoffs.select(F.col(key).alias("_key"), F.col(cutoff).alias("_cutoff")), "cutoffs")
     condition = (F.col(key) == F.col("_key")) & (F.col(ts) < F.col("_cutoff"))
     return rows.join(limits, condition, "inner").drop("_key", "_cutoff")
 
@@ -139,7 +141,7 @@ def list_positions(ranked: DataFrame, rank: str = "rank") -> DataFrame:
 
 def remove_excluded(truth: DataFrame, excluded: DataFrame, on: Sequence[str] = ("item_id",)) -> DataFrame:
     """Ground truth rows without the excluded ids (or (user, id) pairs)."""
-    return truth.join(excluded.select(*on), list(on), "left_anti")
+    return attach(truth, excluded.select(*on), list(on), "left_anti")
 
 
 def hits_in_list(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -191,6 +193,6 @@ def with_group_count(df: DataFrame, key: str, name: str = "n_rows") -> DataFrame
     Count and join back instead of a window: the count is partially aggregated, and the join
     can split a hot key over tasks, which a window cannot.
     """
-    return df.join(df.groupBy(key).agg(F.count("*").alias(name)), key, "left")
+    return attach(df, df.groupBy(key).agg(F.count("*").alias(name)), key, "left")
 
 

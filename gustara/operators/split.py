@@ -56,8 +56,8 @@ def common_ids(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 def filter_common_ids(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose user and item both occur in both splits, decided once for both splits."""
-    users = common_ids(train, valid, "user_id")
-    items = common_ids(train, valid, "item_id")
+    users = materialize(common_ids(train, valid, "user_id"), "common-users")
+    items = materialize(common_ids(train, valid, "item_id"), "common-items")
 
     def keep(df: DataFrame) -> DataFrame:
         return df.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi")

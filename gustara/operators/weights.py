@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustara.operators.ordering import running_position
 from gustara.operators.relational import with_group_count
+from gustara.operators.skew import attach
 
 # Fixed values of the weighting formulas.
 BM25_K1 = 100.0
@@ -59,7 +60,7 @@ def index_ids(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def encode(df: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Rows whose user and item are known to the index, with their codes."""
-    return df.join(users, "user_id").join(items, "item_id")
+    return attach(attach(df, users, "user_id"), items, "item_id")
 
 
 def interaction_triples(encoded: DataFrame, value: str) -> DataFrame:
@@ -72,7 +73,7 @@ def _with_idf(entries: DataFrame) -> DataFrame:
     n_items = entries.agg(F.countDistinct("item_id").alias("n")).scalar()
     per_user = entries.groupBy("user_id").agg(F.count("*").alias("_nnz"))
     idf = F.log(n_items.cast("double")) - F.log1p(F.col("_nnz").cast("double"))
-    return entries.join(per_user.select("user_id", idf.alias("_idf")), "user_id")
+    return attach(entries, per_user.select("user_id", idf.alias("_idf")), "user_id")
 
 
 def tfidf_weight(entries: DataFrame, value: str = "confidence", name: str = "tfidf") -> DataFrame:
@@ -98,5 +99,5 @@ def bm25_weight(
     v = F.col(value)
     weight = v * (k1 + 1.0) / (k1 * F.col("_length") + v) * F.col("_idf")
     return (
-        _with_idf(entries).join(lengths, "item_id").withColumn(name, weight).drop("_idf", "_length")
+        attach(_with_idf(entries), lengths, "item_id").withColumn(name, weight).drop("_idf", "_length")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,13 +35,29 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, as ``--py-files`` would."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="gustara-"), "gustara"), "zip", os.path.dirname(root), os.path.basename(root)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
     return spark
 
 
