@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustara.schemas import REVIEW_MAP
+from gustara.session import spread
 
 
 _UNREADABLE = (ValueError, SyntaxError, TypeError, MemoryError, RecursionError)
@@ -76,8 +77,10 @@ def explode_reviews(items: DataFrame, item_id: str = "item_id", reviews: str = "
 
     Column names come out lower-cased; the review date stays text for ``parse_timestamp``.
     """
-    parsed = items.select(item_id, F.from_json(python_literal_to_json(reviews), REVIEW_MAP).alias("m"))
-    return parsed.select(item_id, F.explode("m").alias("user_id", "review")).select(
+    parsed = spread(items).select(item_id, F.from_json(python_literal_to_json(reviews), REVIEW_MAP).alias("m"))
+    # A plain explode makes the planner add a filter on the map, which parses every text twice.
+    entries = parsed.select(item_id, F.explode_outer("m").alias("user_id", "review")).where(F.col("user_id").isNotNull())
+    return entries.select(
         item_id,
         "user_id",
         F.col("review.rating").alias("rating"),

@@ -97,7 +97,7 @@ def nutrition_numeric(df: DataFrame, literal: str, keys: tuple[str, ...] = NUTRI
 
     -2: nutrient missing, value None or not a number. -1: no percentage or '-'. 0: '< 1'.
     """
-    parsed = df.withColumn("_nutrition", parse_nutrition(literal))
+    parsed = spread(df).withColumn("_nutrition", parse_nutrition(literal))
     return parsed.withColumns({k: _nutrient_value("_nutrition", k) for k in keys}).drop("_nutrition")
 
 

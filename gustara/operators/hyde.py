@@ -68,7 +68,7 @@ def semantic_search(
     return found
 
 
-def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_bytes: int = 4 * 1024 * 1024) -> DataFrame:
     """(query_id, item_id, rank): the first ``k`` rows by id whose content contains the query text.
 
     Case is ignored; an empty text matches nothing. Whole texts meet block by block, so neither

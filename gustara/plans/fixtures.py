@@ -75,7 +75,9 @@ def final_split(spark: SparkSession, sf_dir: str) -> WindowedSplit:
 def stored_split(spark: SparkSession, sf_dir: str) -> WindowedSplit:
     """The split written once, for plans that read it several times."""
     split = final_split(spark, sf_dir)
-    train, valid = materialize(split.train, "train"), materialize(split.valid, "valid")
+    both = split.train.withColumn("split", F.lit("train")).unionByName(split.valid.withColumn("split", F.lit("valid")))
+    stored = materialize(both, "split", partition_by="split")
+    train, valid = (stored.where(F.col("split") == name).drop("split") for name in ("train", "valid"))
     return WindowedSplit(train, valid, split.users, split.items)
 
 

@@ -78,16 +78,16 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used after expensive or order-sensitive stages. Compared with ``checkpoint()`` the stage
     is computed once rather than twice, and readers of the table prune columns and know its
-    size, which the join planner needs.
+    size, which the join planner needs. With ``partition_by`` readers of one value skip the rest.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,10 +97,11 @@ SPREAD_LIMIT = 256 * 1024 * 1024
 def spread(df: DataFrame) -> DataFrame:
     """Small inputs of a Python stage over all cores.
 
-    A small file is one task however many cores there are. Only inputs whose planned size is
-    known to be small are moved; large ones arrive in many partitions anyway.
+    A small file is one task however many cores there are. Only plans that read little are
+    moved, judged by the sizes of the tables they read; large ones come in many partitions.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     if size > SPREAD_LIMIT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
