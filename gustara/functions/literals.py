@@ -79,7 +79,8 @@ def explode_reviews(items: DataFrame, item_id: str = "item_id", reviews: str = "
     """
     parsed = spread(items).select(item_id, F.from_json(python_literal_to_json(reviews), REVIEW_MAP).alias("m"))
     # A plain explode makes the planner add a filter on the map, which parses every text twice.
-    entries = parsed.select(item_id, F.explode_outer("m").alias("user_id", "review")).where(F.col("user_id").isNotNull())
+    entries = parsed.select(item_id, F.explode_outer("m").alias("user_id", "review"))
+    entries = entries.where(F.col("user_id").isNotNull())
     return entries.select(
         item_id,
         "user_id",

@@ -113,7 +113,9 @@ def _nutrient_value(nutrition: str, key: str) -> Column:
     )
 
 
-def nutrition_text(df: DataFrame, literal: str, name: str = "percent_daily_values", keys: tuple[str, ...] = NUTRIENTS) -> DataFrame:
+def nutrition_text(
+    df: DataFrame, literal: str, name: str = "percent_daily_values", keys: tuple[str, ...] = NUTRIENTS
+) -> DataFrame:
     """Add ``nutrient: value percent`` lines in key order; missing nutrients have no line."""
     parsed = df.withColumn("_nutrition", parse_nutrition(literal))
     lines = [_nutrient_line("_nutrition", k) for k in keys]
@@ -147,16 +149,18 @@ def history_text(
     history: DataFrame,
     items: DataFrame,
     compat: bool = False,
+    n: int = 25,
 ) -> DataFrame:
     """One text block per user from ranked history rows.
 
-    ``history``: (user_id, rank, item_id, rating, date, user_comment), at most n rows a user
-    (see ``recent_history``), so a block is bounded. ``items``: (item_id, title,
+    ``history``: (user_id, rank, item_id, rating, date, user_comment) as ``recent_history`` gives
+    it; the ``n`` newest rows a user count, so a block is bounded. ``items``: (item_id, title,
     parsed_ingredients, parsed_recipe). A missing comment is empty text, or ``nan`` under
     ``compat``. Output: (user_id, n_history, history_string).
     """
     missing = F.lit("nan" if compat else "")
-    rows = history.join(items.select("item_id", "title", "parsed_ingredients", "parsed_recipe"), "item_id", "left")
+    metadata = items.select("item_id", "title", "parsed_ingredients", "parsed_recipe")
+    rows = history.where(F.col("rank") <= n).join(metadata, "item_id", "left")
     entry = F.concat(
         F.lit("\n>>> Recipe Title: "), F.coalesce("title", F.lit("")),
         F.lit("\n>>> User Rating: "), F.col("rating").cast("double").cast("string"),
@@ -198,11 +202,13 @@ def item_prompt_text(title: str, ingredients: str, directions: str) -> Column:
     )
 
 
-def user_prompt_text(history: DataFrame, totals: DataFrame, profile_column: str | None = None) -> DataFrame:
-    """Short per-user prompt body from the newest rows and whole-history totals.
+def user_prompt_text(
+    history: DataFrame, totals: DataFrame, profile_column: str | None = None, n: int = 10
+) -> DataFrame:
+    """Short per-user prompt body from the ``n`` newest rows and whole-history totals.
 
     ``history``: (user_id, rank, title, rating, text, aver_rate, parsed_ingredients,
-    parsed_recipe[, profile]) with a bounded number of rows per user. ``totals``: (user_id,
+    parsed_recipe[, profile]). ``totals``: (user_id,
     n_rated, avg_rating) over the whole history.
     """
     entry = F.concat(
@@ -218,7 +224,8 @@ def user_prompt_text(history: DataFrame, totals: DataFrame, profile_column: str
         entry = F.concat(entry, F.coalesce(line, F.lit("")))
     entry = F.concat(entry, F.lit("----\n"))
     bodies = (
-        history.select("user_id", "rank", entry.alias("entry"))
+        history.where(F.col("rank") <= n)
+        .select("user_id", "rank", entry.alias("entry"))
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("entries"))
     )
@@ -294,7 +301,8 @@ def schema_prompt(schema: T.StructType) -> str:
 def output_ddl(schema: T.StructType) -> str:
     """``name TYPE, name ARRAY<TYPE>`` form of an answer schema."""
     names = {"string": "STRING", "boolean": "BOOL", "array<string>": "ARRAY<STRING>"}
-    return ", ".join(f"{f.name} {names.get(f.dataType.simpleString(), f.dataType.simpleString().upper())}" for f in schema.fields)
+    types = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    return ", ".join(f"{name} {names.get(kind, kind.upper())}" for name, kind in types)
 
 
 def prompt_parts(instruction: str, *columns: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 CELL = ("lb", "rb")
 MIN_LEFT_ROWS = 4096
+CELL_ROW_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -24,18 +25,26 @@ class BlockGrid:
     n_right: int
 
     @staticmethod
-    def of(left: DataFrame, right: DataFrame, width: Column, block_bytes: int = 64 * 1024 * 1024) -> BlockGrid:
+    def of(
+        left: DataFrame,
+        right: DataFrame,
+        width: Column,
+        block_bytes: int = 64 * 1024 * 1024,
+        cell_rows: DataFrame | None = None,
+    ) -> BlockGrid:
         """Cut both sides into blocks of about ``block_bytes``, by row count and mean row size.
 
-        ``width`` is the size of a row in bytes. The left side is cut finer, down to 4096 rows a
-        block, while that still adds parallel tasks.
+        ``width`` is the size of a row in bytes; ``cell_rows`` are further rows that will go to
+        single cells and count as part of the left side. The left side is cut finer, down to
+        4096 rows a block, while that still adds parallel tasks.
         """
-        counts = left.agg(F.count("*").alias("n"), F.avg(width).alias("w")).withColumn("side", F.lit(0)).union(
-            right.agg(F.count("*").alias("n"), F.avg(width).alias("w")).withColumn("side", F.lit(1))
-        )
-        found = {row["side"]: row for row in counts.collect()}  # two rows
-        n_left, n_right = found[0]["n"], found[1]["n"]
-        rows = [max(1, int(block_bytes / (found[side]["w"] or 1))) for side in (0, 1)]
+        counts = _size(left, width, 0).union(_size(right, width, 1))
+        if cell_rows is not None:
+            counts = counts.union(_size(cell_rows, F.lit(CELL_ROW_BYTES), 2))
+        found = {row["side"]: (row["n"], row["bytes"]) for row in counts.collect()}  # two or three rows
+        (n_left, left_bytes), (n_right, right_bytes) = found[0], found[1]
+        left_bytes += found.get(2, (0, 0))[1]
+        rows = [max(1, int(block_bytes * n / b)) if b else 1 for n, b in ((n_left, left_bytes), (n_right, right_bytes))]
         tasks = left.sparkSession.sparkContext.defaultParallelism
         finer = min(tasks, math.ceil(n_left / MIN_LEFT_ROWS))
         return BlockGrid(max(1, math.ceil(n_left / rows[0]), finer), max(1, math.ceil(n_right / rows[1])))
@@ -51,6 +60,11 @@ class BlockGrid:
         return pairs.withColumn("lb", _block(left_key, self.n_left)).withColumn("rb", _block(right_key, self.n_right))
 
 
+def _size(df: DataFrame, width: Column, side: int) -> DataFrame:
+    total = F.coalesce(F.sum(width.cast("double")), F.lit(0.0))
+    return df.agg(F.count("*").alias("n"), total.alias("bytes")).withColumn("side", F.lit(side))
+
+
 def _block(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 

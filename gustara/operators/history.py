@@ -41,13 +41,13 @@ def recent_history(interactions: DataFrame, n: int = 25, k_min: int = 5, ts: str
     return RecentHistory(records, counts.where(F.col("n_rows") < k_min))
 
 
-def nested_history(records: DataFrame) -> DataFrame:
-    """One row per user with the history as an array of structs (bounded by the row limit)."""
+def nested_history(records: DataFrame, n: int = 25) -> DataFrame:
+    """One row per user with the ``n`` newest records as an array of structs."""
     packed = F.array_sort(F.collect_list(F.struct("rank", "item_id", "rating", "date", "user_comment")))
-    lists = records.groupBy("user_id").agg(packed.alias("_rows"))
+    lists = records.where(F.col("rank") <= n).groupBy("user_id").agg(packed.alias("_rows"))
     record = F.transform(
         "_rows",
-        lambda r: F.struct(r["item_id"].alias("item_id"), r["rating"].alias("rating"), r["date"].alias("date"), r["user_comment"].alias("user_comment")),
+        lambda r: F.struct(*[r[c].alias(c) for c in ("item_id", "rating", "date", "user_comment")]),
     )
     return lists.select("user_id", record.alias("user_history")).withColumns(
         {

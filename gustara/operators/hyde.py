@@ -34,7 +34,14 @@ def hypothetical_profiles(
     return materialize(embed_text(rows, "hyde_profile_text", embedder, "RETRIEVAL_QUERY"), "hyde")
 
 
-def hyde_search(users: DataFrame, base: DataFrame, instruction: str, provider: TextProvider, embedder: EmbeddingProvider, k: int = 20) -> DataFrame:
+def hyde_search(
+    users: DataFrame,
+    base: DataFrame,
+    instruction: str,
+    provider: TextProvider,
+    embedder: EmbeddingProvider,
+    k: int = 20,
+) -> DataFrame:
     """Nearest items of every user's hypothetical profile."""
     profiles = hypothetical_profiles(users, instruction, provider, embedder)
     return vector_search(base, profiles, k)

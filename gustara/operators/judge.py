@@ -16,7 +16,9 @@ POINTWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=None, max_o
 PAIRWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=2048, max_output_tokens=4096)
 
 
-def recommendations_to_judge(recommendations: DataFrame, users: DataFrame, profiles: DataFrame, items: DataFrame) -> DataFrame:
+def recommendations_to_judge(
+    recommendations: DataFrame, users: DataFrame, profiles: DataFrame, items: DataFrame
+) -> DataFrame:
     """Recommendations of the chosen users with both profile texts and the title.
 
     ``recommendations``: (model, user_id, item_id, rank). ``profiles``: (user_id,
@@ -30,12 +32,19 @@ def recommendations_to_judge(recommendations: DataFrame, users: DataFrame, profi
     )
 
 
-def judge_pointwise(rows: DataFrame, provider: TextProvider, instruction: str, params: GenerationParams = POINTWISE_PARAMS, **options) -> DataFrame:
+def judge_pointwise(
+    rows: DataFrame,
+    provider: TextProvider,
+    instruction: str,
+    params: GenerationParams = POINTWISE_PARAMS,
+    **options,
+) -> DataFrame:
     """Rows with ``verdict``, ``confidence``, ``justification`` and ``error``.
 
     All models' lists go through in one pass. An unreadable answer gives a NULL verdict.
     """
-    judged = generate(rows, prompt_parts(instruction, "user_profile_text", "item_profile_text"), provider, params, **options)
+    parts = prompt_parts(instruction, "user_profile_text", "item_profile_text")
+    judged = generate(rows, parts, provider, params, **options)
     parsed = judged.withColumn("_answer", parse_answer("answer_text", POINTWISE_JUDGEMENT))
     return parsed.select(
         *rows.columns,
@@ -85,7 +94,15 @@ def paired_lists(rows: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def judge_pairwise(rows: DataFrame, provider: TextProvider, instruction: str, seed: int = 0, k: int = 20, params: GenerationParams = PAIRWISE_PARAMS, **options) -> DataFrame:
+def judge_pairwise(
+    rows: DataFrame,
+    provider: TextProvider,
+    instruction: str,
+    seed: int = 0,
+    k: int = 20,
+    params: GenerationParams = PAIRWISE_PARAMS,
+    **options,
+) -> DataFrame:
     """Per user the model whose list was preferred.
 
     Lists are shown in a seeded order. Only A and B are answers; anything else selects nobody.

@@ -25,7 +25,8 @@ def recall_at_k(
     wanted = truth.select("user_id", "item_id")
     if excluded_items is not None:
         wanted = remove_excluded(wanted, excluded_items)
-    counted = wanted.groupBy("user_id", "item_id").agg((F.lit(1) if distinct_truth else F.count("*")).cast("long").alias("_n"))
+    weight = F.lit(1).cast("long") if distinct_truth else F.count("*")
+    counted = wanted.groupBy("user_id", "item_id").agg(weight.alias("_n"))
     sizes = counted.groupBy("user_id").agg(F.sum("_n").alias("n_truth"))
     # The lists are read once: a search behind them must not run twice.
     listed = recommendations.where(F.col("rank") <= k).select("user_id", "item_id").distinct()

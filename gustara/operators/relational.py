@@ -176,10 +176,13 @@ def flatten_matches(matches: DataFrame) -> DataFrame:
 
     The two structs may share field names; the vectors get their side's name.
     """
-    query = [F.col(f"query.{f}").alias("user_embedding" if f == "embedding" else f) for f in matches.schema["query"].dataType.names]
-    base = [F.col(f"base.{f}").alias("item_embedding" if f == "embedding" else f) for f in matches.schema["base"].dataType.names]
+    flat = [
+        F.col(f"{side}.{f}").alias(f"{owner}_embedding" if f == "embedding" else f)
+        for side, owner in (("query", "user"), ("base", "item"))
+        for f in matches.schema[side].dataType.names
+    ]
     rest = [c for c in matches.columns if c not in ("query", "base")]
-    return matches.select(*rest, *query, *base)
+    return matches.select(*rest, *flat)
 
 
 def best_of(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

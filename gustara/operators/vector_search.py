@@ -43,20 +43,22 @@ def vector_search(
 ) -> DataFrame:
     """(query_id, base_id, distance, rank) of the ``k`` nearest base rows per query.
 
-    Invalid vectors on either side are left out. Ids are compared as text. DOT_PRODUCT is the
-    negated product, so smaller is closer for every distance. ``exclude`` holds (query_id,
-    base_id) pairs. Both inputs are counted first; materialise them if they are costly.
+    Invalid vectors on either side are left out. Ids are unique and compared as text.
+    DOT_PRODUCT is the negated product, so smaller is closer for every distance. ``exclude``
+    holds (query_id, base_id) pairs, repeats allowed. The inputs are counted before they are
+    used; materialise them if they are costly.
     """
     if distance not in DISTANCES:
         raise ValueError(f"distance must be one of {DISTANCES}")
     b = _vectors(base, base_id, vector)
     q = _vectors(queries, query_id, vector)
-    grid = BlockGrid.of(q, b, F.size("vec") * 8, block_bytes)
+    grid = BlockGrid.of(q, b, F.size("vec") * 8, block_bytes, exclude)
     query_rows = grid.left(q.withColumn("excluded", F.lit(None).cast("string")), "id")
     if exclude is not None:
         pairs = exclude.select(
             F.col(query_id).cast("string").alias("id"), F.col(base_id).cast("string").alias("excluded")
-        ).distinct()
+        )
+        pairs = pairs.join(q.select("id"), "id", "left_semi").distinct()
         removed = grid.cells(pairs, "id", "excluded").withColumn("vec", F.lit(None).cast(q.schema["vec"].dataType))
         query_rows = query_rows.unionByName(removed)
     candidates = (
@@ -79,7 +81,9 @@ def _vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def _block_search(k: int, distance: str):
-    out = pa.schema([("query", pa.string()), ("base", pa.string()), ("distance", pa.float64()), ("tie_key", pa.float64())])
+    out = pa.schema(
+        [("query", pa.string()), ("base", pa.string()), ("distance", pa.float64()), ("tie_key", pa.float64())]
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         is_vector = left.column("excluded").is_null()
@@ -156,7 +160,9 @@ def _smallest(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[place < k], cols[place < k]
 
 
-def search_matches(matches: DataFrame, queries: DataFrame, base: DataFrame, query_id: str = "user_id", base_id: str = "item_id") -> DataFrame:
+def search_matches(
+    matches: DataFrame, queries: DataFrame, base: DataFrame, query_id: str = "user_id", base_id: str = "item_id"
+) -> DataFrame:
     """Search output with the full rows of both sides as ``query`` and ``base`` structs."""
     q = queries.select(F.col(query_id).alias("_q"), F.struct("*").alias("query"))
     b = base.select(F.col(base_id).alias("_b"), F.struct("*").alias("base"))

@@ -75,13 +75,13 @@ def sink_replace(spark, sf):
 
 @query(
     "ctas_enrich",
-    """SELECT c.c_custkey, c.c_name, c.c_mktsegment, CAST(o.n_orders AS BIGINT) AS n_orders FROM customer c
+    """SELECT c.c_custkey, c.c_name, c.c_mktsegment, CAST(o.n_orders AS DOUBLE) AS n_orders FROM customer c
        LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey""",
 )
 def ctas_enrich(spark, sf):
     path = _scratch(spark, "enrich")
     replace_table(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
-    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("n_orders"))
     enrich_table(spark, path, counts, "c_custkey")
     return read_table(spark, path)
 

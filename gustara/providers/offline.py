@@ -87,8 +87,8 @@ class ListMatchProvider:
         }
 
     def _matches(self, user: dict[str, Any], body: str) -> int:
-        profiles = (line.split(self.profile_mark, 1)[1] for line in body.split("\n") if line.startswith(self.profile_mark))
-        return sum(profile_match(user, _profile(p)) for p in profiles)
+        lines = [line for line in body.split("\n") if line.startswith(self.profile_mark)]
+        return sum(profile_match(user, _profile(line[len(self.profile_mark) :])) for line in lines)
 
 
 def profile_match(user: dict[str, Any], item: dict[str, Any]) -> bool:

@@ -53,9 +53,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
-        archive = shutil.make_archive(
-            os.path.join(tempfile.mkdtemp(prefix="gustara-"), "gustara"), "zip", os.path.dirname(root), os.path.basename(root)
-        )
+        target = os.path.join(tempfile.mkdtemp(prefix="gustara-"), "gustara")
+        archive = shutil.make_archive(target, "zip", os.path.dirname(root), os.path.basename(root))
         spark.sparkContext.addPyFile(archive)
         _shipped.add(application)
     return spark
