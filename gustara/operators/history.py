@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gustara.functions.scalars import date_text
 from gustara.operators.ordering import top_k
 from gustara.operators.relational import before_cutoff, join_one_to_one, natural_join
+from gustara.session import materialize
 
 
 @dataclass(frozen=True)
@@ -18,19 +20,32 @@ class RecentHistory:
     rejects: DataFrame  # user_id, n_rows: users below the minimum
 
 
-def recent_history(interactions: DataFrame, n: int = 25, k_min: int = 5, ts: str = "ts") -> RecentHistory:
+def recent_history(
+    interactions: DataFrame,
+    n: int = 25,
+    k_min: int = 5,
+    ts: str = "ts",
+    reviews: DataFrame | None = None,
+) -> RecentHistory:
     """The ``n`` newest rows per user, newest first, ties by item.
 
     Users with fewer than ``k_min`` rows go to ``rejects`` instead of failing the run. The row
-    limit is applied before the shuffle, and the count test looks at the limited rows only
-    when that is enough to decide it.
+    limit is applied before the shuffle; the count test then only needs the limited rows, which
+    are already together. With ``reviews`` the comments are joined afterwards, so that texts are
+    only looked up and checked for repeated keys where a kept row needs them.
     """
     order = [F.col(ts).desc(), F.col("item_id").asc()]
     rows = top_k(interactions, ["user_id"], order, max(n, k_min))
-    counts = rows.groupBy("user_id").agg(F.count("*").alias("n_rows"))
-    kept = rows.join(counts.where(F.col("n_rows") >= k_min), "user_id", "left_semi")
-    comment = F.col("user_comment") if "user_comment" in interactions.columns else F.lit(None).cast("string")
-    records = kept.where(F.col("rank") <= n).select(
+    counted = rows.withColumn("n_rows", F.count("*").over(W.partitionBy("user_id")))
+    kept = counted.where(F.col("n_rows") >= k_min)
+    rejects = counted.where((F.col("n_rows") < k_min) & (F.col("rank") == 1)).select("user_id", "n_rows")
+    kept = kept.where(F.col("rank") <= n)
+    if reviews is not None:
+        kept = materialize(kept, "recent")
+        keys = ["user_id", "item_id", ts]
+        kept = attach_comments(kept, materialize(reviews.join(kept.select(*keys), keys, "left_semi"), "comments"), ts)
+    comment = F.col("user_comment") if "user_comment" in kept.columns else F.lit(None).cast("string")
+    records = kept.select(
         "user_id",
         "rank",
         "item_id",
@@ -38,7 +53,7 @@ def recent_history(interactions: DataFrame, n: int = 25, k_min: int = 5, ts: str
         date_text(ts).alias("date"),
         comment.alias("user_comment"),
     )
-    return RecentHistory(records, counts.where(F.col("n_rows") < k_min))
+    return RecentHistory(records, rejects)
 
 
 def nested_history(records: DataFrame, n: int = 25) -> DataFrame:

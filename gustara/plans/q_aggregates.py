@@ -208,8 +208,7 @@ def split_stats(spark, sf):
     ),
 )
 def recent_history(spark, sf):
-    rows = H.attach_comments(interactions(spark, sf), comments(spark, sf))
-    recent = H.recent_history(rows, 25, 5).rows
+    recent = H.recent_history(interactions(spark, sf), 25, 5, reviews=comments(spark, sf)).rows
     return recent.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id", "rating", "date", F.md5("user_comment").alias("comment_md5"))
 
 

@@ -300,8 +300,8 @@ FROM (SELECT r.user_id, count(*) AS n_history, avg(r.rating) AS avg_rating, stri
 
 def user_histories(spark, sf, split):
     """(user_id, n_history, history_string) of the split's users."""
-    rows = H.attach_comments(split.train, comments(spark, sf))
-    return X.history_text(H.recent_history(rows).rows, X.parse_items(items(spark, sf)))
+    recent = H.recent_history(split.train, reviews=comments(spark, sf))
+    return X.history_text(recent.rows, X.parse_items(items(spark, sf)))
 
 
 @query("history_text", sql("train comments parsed", HISTORY_SQL))

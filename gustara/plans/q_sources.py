@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gustara.operators.aggregates import table_profile
-from gustara.plans.fixtures import flawed_vectors, interactions, raw_interactions, sql, table
+from gustara.plans.fixtures import flawed_vectors, interactions, items, raw_interactions, sql, table
 from gustara.plans.registry import query
 from gustara.schemas import RAW_INTERACTIONS
 from gustara.session import work_dir
 from gustara.sources.files import binary_manifest
+from gustara.sources.sql import register_functions, register_views
 from gustara.sources.tables import (
     create_namespace,
     enrich_table,
@@ -130,3 +131,42 @@ def profile_table(spark, sf):
     profile = table_profile(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
     rounded = {c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")}
     return profile.withColumns(rounded)
+
+
+@query(
+    "sql_surface",
+    sql(
+        "interactions items",
+        """SELECT d.item_id, d.title, d.category || ' / ' || d.title AS label, CAST(d.length AS BIGINT) AS length, d.k FROM (
+          SELECT k.item_id, i.title, i.category, CASE WHEN v.vec_id % 50 IN (7) THEN 0 ELSE 64 END AS length, k.k
+          FROM (SELECT DISTINCT item_id, item_id AS k FROM interactions) k LEFT JOIN items i USING (item_id) LEFT JOIN embeddings v ON CAST(v.vec_id AS VARCHAR) = k.item_id
+          WHERE v.vec_id % 50 NOT IN (7, 8)) d
+        WHERE d.item_id IN (SELECT item_id FROM interactions WHERE rating = 5) AND d.category IN ('PROMO', 'SMALL', 'LARGE')""",
+    ),
+)
+def sql_surface(spark, sf):
+    """CTE, derived table, USING, IN with a subquery and with a list, ||, warehouse function names."""
+    register_functions(spark)
+    register_views(
+        spark,
+        {
+            "g_interactions": interactions(spark, sf).join(
+                table(spark, sf, "events").select("event_id", "props"), "event_id"
+            ),
+            "g_items": items(spark, sf),
+            "g_vectors": flawed_vectors(spark, sf).select(F.col("vec_id").cast("string").alias("item_id"), F.col("embedding").cast("array<double>").alias("text_embedding")),
+        },
+    )
+    return spark.sql(
+        """
+        WITH known AS (SELECT DISTINCT item_id, JSON_EXTRACT_SCALAR(props, '$.k') AS k FROM g_interactions)
+        SELECT d.item_id, d.title, d.category || ' / ' || d.title AS label, CAST(d.length AS BIGINT) AS length, d.k
+        FROM (
+          SELECT item_id, i.title, i.category, ARRAY_LENGTH(v.text_embedding) AS length, known.k
+          FROM known LEFT JOIN g_items i USING (item_id) LEFT JOIN g_vectors v USING (item_id)
+          WHERE v.text_embedding IS NOT NULL AND ARRAY_LENGTH(v.text_embedding) > 0
+        ) d
+        WHERE d.item_id IN (SELECT item_id FROM g_interactions WHERE rating = 5)
+          AND d.category IN ('PROMO', 'SMALL', 'LARGE')
+        """
+    )

@@ -121,6 +121,19 @@ def test_attach_comments_refuses_repeats(spark, rows):
         H.attach_comments(inter, reviews.union(reviews))
 
 
+def test_recent_history_joins_comments_after_the_limit(spark):
+    day = dt.timedelta(days=1)
+    inter = spark.createDataFrame([("u", "i", 1.0, START), ("u", "j", 2.0, START + day), ("u", "k", 3.0, START - day)], SCHEMA)
+    reviews = spark.createDataFrame(
+        [("u", "i", START, "fine"), ("u", "k", START - day, "old"), ("u", "k", START - day, "old again")],
+        "user_id string, item_id string, ts timestamp, text string",
+    )
+    got = H.recent_history(inter, 2, 1, reviews=reviews).rows.orderBy("rank").collect()
+    assert [(r["item_id"], r["user_comment"]) for r in got] == [("j", None), ("i", "fine")]
+    with pytest.raises(DuplicateKeyError, match="right: user_id=u, item_id=k"):
+        H.recent_history(inter, 3, 1, reviews=reviews)
+
+
 def test_reviews_before_cutoff(spark, rows):
     day = dt.timedelta(days=1)
     inter = spark.createDataFrame([("u", "i", 1.0, START + day), ("u", "i", 1.0, START)], SCHEMA)
