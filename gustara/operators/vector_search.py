@@ -23,7 +23,8 @@ from gustara.operators.ordering import top_k
 
 DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
 TIE_DIGITS = 9  # distances equal to this many digits are ties, ordered by base id
-_CELLS = 8_000_000  # distances held at a time
+_CELLS = 4_000_000  # distances held at a time
+_GROUP = 32  # columns per group of the short list
 
 
 def valid_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -98,17 +99,17 @@ def _block_search(k: int, distance: str):
         query = _matrix(vectors.column("vec"))
         if base.shape[1] != query.shape[1]:
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
+        if distance == "COSINE":
+            query, base = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (query, base))
+        base_norms = np.linalg.norm(base, axis=1)
         skip_rows, skip_cols = _positions(removed, query_ids, base_ids)
         parts = []
         step = max(1, _CELLS // len(base))
         for start in range(0, len(query), step):
-            stop = min(start + step, len(query))
-            dist = _distances(query[start:stop], base, distance)
-            key = np.round(dist, TIE_DIGITS) + 0.0  # no negative zero
-            inside = (skip_rows >= start) & (skip_rows < stop)
-            key[skip_rows[inside] - start, skip_cols[inside]] = np.inf
-            rows, cols = _smallest(key, k)
-            parts.append((query_ids[rows + start], base_ids[cols], dist[rows, cols], key[rows, cols]))
+            inside = (skip_rows >= start) & (skip_rows < start + step)
+            skip = (skip_rows[inside] - start, skip_cols[inside])
+            rows, cols, dist, key = _nearest(query[start : start + step], base, base_norms, k, distance, skip)
+            parts.append((query_ids[rows + start], base_ids[cols], dist, key))
         columns = [np.concatenate(c) for c in zip(*parts)]
         return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
 
@@ -138,26 +139,55 @@ def _positions(removed: pa.Table, query_ids: np.ndarray, base_ids: np.ndarray) -
     return found[:, 0], found[:, 1]
 
 
-def _distances(query: np.ndarray, base: np.ndarray, distance: str) -> np.ndarray:
+def _nearest(query, base, base_norms, k, distance, skip):
+    """Row, column, distance and tie key of the k nearest base rows per query, without ``skip``.
+
+    A matrix of closeness (larger is closer) finds a short list that surely holds the answer:
+    all columns as close as the k-th best group of columns, with room for rounding. Distances,
+    ties and order are then settled on that list only. For COSINE both sides have unit length.
+    """
+    closeness = query @ base.T
+    query_norms, largest = np.linalg.norm(query, axis=1), base_norms.max()
+    slack = 2.0 * 10.0**-TIE_DIGITS + 1e-12 * query_norms * largest
+    if distance == "EUCLIDEAN":
+        closeness = 2.0 * closeness - base_norms**2
+        farthest = query_norms + largest
+        slack = 2.0 * slack * (1.0 + farthest) + 1e-12 * farthest**2
+    closeness[skip] = -np.inf
+    limit = _kth_largest(_group_maxima(closeness, k), k) - slack
+    rows, cols = np.nonzero(closeness >= limit[:, None])
+    found = closeness[rows, cols]
+    kept = np.isfinite(found)
+    rows, cols, found = rows[kept], cols[kept], found[kept]
     if distance == "COSINE":
-        scale = np.outer(np.linalg.norm(query, axis=1), np.linalg.norm(base, axis=1))
-        return np.clip(1.0 - (query @ base.T) / scale, 0.0, 2.0)
-    if distance == "DOT_PRODUCT":
-        return -(query @ base.T)
-    # Differences row by row: the product form loses digits for near copies.
-    return np.stack([np.sqrt(((base - q) ** 2).sum(axis=1)) for q in query])
-
-
-def _smallest(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k smallest finite keys per row, ties by column."""
-    kth = min(k, key.shape[1]) - 1
-    limit = np.partition(key, kth, axis=1)[:, kth]
-    rows, cols = np.nonzero((key <= limit[:, None]) & np.isfinite(key))
-    order = np.lexsort((cols, key[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(key.shape[0]))
-    place = np.arange(len(rows)) - starts[rows]
-    return rows[place < k], cols[place < k]
+        dist = np.clip(1.0 - found, 0.0, 2.0)
+    elif distance == "DOT_PRODUCT":
+        dist = -found
+    else:  # the product form loses digits for near copies
+        dist = np.linalg.norm(query[rows] - base[cols], axis=1)
+    key = np.round(dist, TIE_DIGITS) + 0.0  # no negative zero
+    order = np.lexsort((cols, key, rows))
+    rows, cols, dist, key = rows[order], cols[order], dist[order], key[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(query)))[rows]
+    best = place < k
+    return rows[best], cols[best], dist[best], key[best]
+
+
+def _group_maxima(closeness, k):
+    """Largest value of every group of columns; the k-th of them bounds the k-th value from below."""
+    n, m = closeness.shape
+    if m // _GROUP < k:
+        return closeness
+    whole = m // _GROUP * _GROUP
+    maxima = closeness[:, :whole].reshape(n, -1, _GROUP).max(axis=2)
+    if whole == m:
+        return maxima
+    return np.hstack([maxima, closeness[:, whole:].max(axis=1, keepdims=True)])
+
+
+def _kth_largest(values, k):
+    at = max(values.shape[1] - k, 0)
+    return np.partition(values, at, axis=1)[:, at]
 
 
 def search_matches(

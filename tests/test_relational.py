@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gustara.functions.scalars import map_get
 from gustara.operators import relational as R
 from gustara.schemas import RAW_INTERACTIONS
-from gustara.session import materialize
+from gustara.operators.split import train_window
+from gustara.session import materialize, work_dir
 from gustara.sources import tables as T
 from gustara.sources.files import binary_manifest, copy_files
 
@@ -140,3 +141,39 @@ def test_manifest_and_copy(spark, rows, tmp_path):
     assert (tmp_path / "out" / "deep" / "1.jpg").read_bytes() == b"1.jpg"
     assert not (tmp_path / "out" / "deep" / "2.jpg").exists()
     assert binary_manifest(spark, str(tmp_path / "in"), ids.where("id = 9"), "x").count() == 0
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(Session())
+
+
+def test_the_configured_folder_is_used(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert work_dir(spark) == folder
+    assert materialize(spark.range(3), "here").inputFiles()[0].startswith(f"file://{folder}/here-")
+
+
+def test_window_bound_reaches_the_reader(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("SELECT id, timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS INT)) AS ts FROM range(100)").write.parquet(path)
+    recent = train_window(spark.read.parquet(path), 9).select("id")
+    assert recent.count() == 10
+    recent.collect()
+    scans = [line for line in recent._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    filtered = [line for line in scans if "DataFilters: [isnotnull(ts" in line]
+    assert filtered and "PushedFilters: [IsNotNull(ts)" in filtered[0]
+    assert "Subquery" in filtered[0].split("DataFilters")[1].split("Format")[0]

@@ -137,6 +137,11 @@ def test_parse_timestamp(spark):
     ]
 
 
+def test_parse_failures_are_counted(spark):
+    df = spark.createDataFrame([("2016-01-02",), ("soon",), (None,)], "v string").withColumn("t", S.parse_timestamp("v"))
+    assert tuple(S.parse_failures(df, "v", "t").first()) == (2, 1)
+
+
 def test_envelope_and_answer(spark):
     good = '{"candidates": [{"content": {"parts": [{"text": "hi"}]}}]}'
     assert apply(spark, S.envelope_text, [good, '{"candidates": []}', "no json", None]) == ["hi", None, None, None]
