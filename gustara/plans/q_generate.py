@@ -212,10 +212,10 @@ JUDGE_CTES = {
     "ip": ITEM_PROFILE_SQL,
     "up": USER_PROFILE_SQL,
     "recall": RECALL,
-    "rows_": """SELECT m.*, ip.title, up.user_profile_text, ip.item_profile_text, contains(',' || up.food_preferences || ',', ',' || ip.food_type || ',') AS verdict,
+    "rows_": """SELECT m.*, ip.title, up.user_profile_text, ip.item_profile_text, coalesce(contains(',' || up.food_preferences || ',', ',' || ip.food_type || ','), false) AS verdict,
       CASE WHEN ip.cuisine_type = up.cuisine_preference THEN 'high' ELSE 'low' END AS confidence
       FROM (SELECT 'vs' AS model, user_id, item_id, rank FROM near_unseen UNION ALL SELECT 'als', user_id, item_id, rank FROM near_second) m
-      JOIN up USING (user_id) JOIN ip USING (item_id) WHERE user_id IN (SELECT user_id FROM recall WHERE hit_proportion >= 0.05)""",
+      LEFT JOIN up USING (user_id) LEFT JOIN ip USING (item_id) WHERE user_id IN (SELECT user_id FROM recall WHERE hit_proportion >= 0.05)""",
 }
 
 

@@ -123,3 +123,26 @@ def test_semantic_search_falls_back_to_text(spark, rows):
     got = rows(semantic_search(queries, base, HashingProvider(64), 1, 0.01), "query_id", "item_id", "source")
     assert got == [("q1", "d3", "vector"), ("q2", "d4", "text")]
     assert semantic_search(queries, base, HashingProvider(64), 1, 0.01, "other").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_a_third_of_the_base_is_one_vector(spark, kind):
+    """Copies tie exactly: the k smallest ids among them win, in every block layout."""
+    same = [float(x) for x in RNG.normal(size=8)]
+    base = {f"b{i:03d}": (same if i % 3 == 0 else [float(x) for x in RNG.normal(size=8)]) for i in range(900)}
+    query = {"near": same, "far": [-x for x in same]}
+    excluded = spark.createDataFrame([("near", f"b{i:03d}") for i in range(0, 90, 3)] * 2, "user_id string, item_id string")
+    for block_bytes in (64 << 20, 64 * 8 * 50):
+        found = vector_search(
+            frame(spark, base, "item_id"), frame(spark, query, "user_id"), 10, kind, exclude=excluded, block_bytes=block_bytes
+        )
+        got = collected(found)
+        want = {
+            q: sorted(
+                (round(distance(np.array(v), np.array(b), kind), 9), i)
+                for i, b in base.items()
+                if not (q == "near" and int(i[1:]) < 90 and int(i[1:]) % 3 == 0)
+            )[:10]
+            for q, v in query.items()
+        }
+        assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
