@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+KEY = ["no_id", "doc", "version"]
+
+
+def document_key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    """Order of documents: by id, NULL last, then by text. Rows equal in both are one document."""
+    given, kind = F.col(quoted(doc_id)), docs.schema[doc_id].dataType
+    known = F.coalesce(given, F.lit("0").cast(kind))  # never NULL, so that plain joins find it
+    return [given.isNull().alias("no_id"), known.alias("doc"), F.xxhash64(F.col(quoted(text))).alias("version")]
+
+
 def text_stage(
     df: DataFrame, text: str, make: Callable[[], TextStage], added: dict[str, str], keep: Sequence[str] | None = None
 ) -> DataFrame:

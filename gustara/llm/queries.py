@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustara.llm import byte_bpe, language_id, secret_scan, token_counts, toxicity, warc
+from gustara.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    line_dedup,
+    order_minhash,
+    secret_scan,
+    token_counts,
+    toxicity,
+    warc,
+)
 from gustara.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +36,40 @@ def query(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query(
+    "op1_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+    ), reach AS (
+      SELECT vec_id AS id, vec_id AS seen FROM embeddings
+      UNION
+      SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen
+    ), n AS (
+      SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+    ), c AS (
+      SELECT id AS vec_id, min(seen) AS component_id FROM reach GROUP BY id
+    )
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+    FROM c LEFT JOIN n USING (vec_id)
+    """,
+)
+def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_order_minhash")
+def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 @query("op3_byte_bpe")
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -62,6 +107,48 @@ def token_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query(
+    "op7_line_dedup",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, i - 1 AS line, trim(regexp_replace(l[i], '\s+', ' ', 'g'), ' ') AS said, l[i] AS raw
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+           unnest(generate_series(1, len(l))) AS g(i)
+    ), spoken AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place, len(string_split(said, ' ')) AS words
+      FROM lines WHERE said <> ''
+    ), summed AS (
+      SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY place) AS total FROM spoken
+    ), runs AS (
+      SELECT a.doc_id, a.place, min(b.place) AS last FROM summed a JOIN summed b
+      ON a.doc_id = b.doc_id AND b.place >= a.place AND b.place < a.place + 50 AND b.total - a.total + a.words >= 50
+      GROUP BY ALL
+    ), said AS (
+      SELECT r.doc_id, r.place, r.last, string_agg(s.said, chr(10) ORDER BY s.place) AS run
+      FROM runs r JOIN spoken s ON s.doc_id = r.doc_id AND s.place BETWEEN r.place AND r.last GROUP BY ALL
+    ), later AS (
+      SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM said
+    ), gone AS (
+      SELECT DISTINCT s.doc_id, s.line FROM later l JOIN spoken s
+      ON s.doc_id = l.doc_id AND s.place BETWEEN l.place AND l.last WHERE l.n > 1
+    ), left_over AS (
+      SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) AS text FROM lines ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id
+    ), counted AS (
+      SELECT doc_id, CAST(count(*) AS BIGINT) AS n_removed FROM gone GROUP BY doc_id
+    )
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(c.n_removed, 0) AS n_removed
+    FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN counted c USING (doc_id)
+    """,
+)
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_decontamination")
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_secret_scan")
 def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
