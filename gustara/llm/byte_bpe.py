@@ -27,7 +27,7 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Pieces above this many bytes merge one by one through a heap: a matrix would take a round per byte.
 MATRIX_BYTES = 1024
 MATRIX_CELLS = 1 << 20
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 PIECES_AT_ONCE = 1 << 17
 LONG_TEXT = 1 << 19
 CONTRACTIONS, WORD = "'s|'t|'re|'ve|'m|'ll|'d", r" ?\p{L}+"

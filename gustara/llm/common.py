@@ -13,8 +13,8 @@ from gustara.session import tune
 
 # Rows and bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 ARROW_TYPES = {

@@ -24,7 +24,7 @@ from gustara.llm.common import quoted, text_stage
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 500_000
 LONG_TEXT = 1 << 19
 
