@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gustara.session import tune
+from gustara.session import materialize, tune
 
 # Rows and bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_SETTINGS = {
@@ -43,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside_texts(rows: DataFrame, side: DataFrame, on: str | Sequence[str], how: str) -> DataFrame:
+    """Join whole texts to a written side of one row per key, by the same sort-merge plan at every size.
+
+    The side grows with the texts, so it is no broadcast at scale; both inputs are exchanged, and a
+    key with many rows can be split.
+    """
+    return rows.join(materialize(side, "side").hint("merge"), on, how)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Columns of ``df`` other than ``names``, whatever their case."""
     gone = {n.lower() for n in names}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustara.llm.common import KEY, document_key, quoted, without
+from gustara.llm.common import KEY, beside_texts, document_key, quoted, without
 from gustara.operators.skew import attach
 from gustara.session import materialize
 
@@ -97,7 +97,7 @@ def contaminated(
     hits = joined.where(first | spaced).select(*KEY, "item_key", (F.col("at") - F.col("item_at")).alias("at"))
     hits = materialize(hits.distinct(), "hits")
     # The texts of documents with a hit, then the items, beside each alignment.
-    held = tokens.join(materialize(hits.select(*KEY).distinct(), "hit"), KEY, "left_semi").dropDuplicates(KEY)
+    held = beside_texts(tokens, hits.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
     both = hits.join(materialize(held, "held"), KEY).withColumnRenamed("tokens", "doc_tokens").join(items, "item_key")
     there = F.slice("doc_tokens", F.greatest(F.col("at"), F.lit(0)) + 1, F.size("tokens") + F.least(F.col("at"), F.lit(0)))
     here = F.slice("tokens", 1 - F.least(F.col("at"), F.lit(0)), F.size("tokens"))
@@ -127,5 +127,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     found = contaminated(docs, benchmark, doc_id, text, **names).select(*KEY).distinct()
     columns = without(docs, [])
     rows = docs.select(*[F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(columns)], *document_key(docs, doc_id, text))
-    clean = attach(rows, found, KEY, "left_anti")
+    clean = beside_texts(rows, found, KEY, "left_anti")
     return clean.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gustara.llm.common import KEY, document_key, quoted, without
+from gustara.llm.common import KEY, beside_texts, document_key, quoted, without
 from gustara.operators.ordering import running_position
 from gustara.operators.skew import attach
 from gustara.session import materialize
@@ -115,7 +115,7 @@ def dedup_lines(
     gone = later_copies(docs.where(F.col(quoted(text)).isNotNull()), doc_id, text, min_words)
     gone = gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     rows = docs.select(*[F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(kept)], *document_key(docs, doc_id, text))
-    joined = attach(rows, gone, KEY, "left")
+    joined = beside_texts(rows, gone, KEY, "left")
     # One flag per line, as text: gaps of 0 before each deleted line's 1.
     flags = F.transform(
         "__gone",

@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from gustara.llm.common import quoted, text_stage
+from gustara.llm.common import beside_texts, quoted, text_stage
 from gustara.llm.components import components
-from gustara.operators.ordering import top_k
 from gustara.operators.skew import attach
 from gustara.session import materialize
 
@@ -156,17 +156,19 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return text_stage(rows.where("id is not null and said is not null"), "said", make, added, ["id"]).where("n > 0")
 
 
-def align_pairs(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids that link."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+def kmers_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, marks): the labelled k-mers of the documents with these ids."""
     rows = docs.select(F.col(quoted(doc_id)).cast("bigint").alias("id"), F.col(quoted(text)).alias("said"))
 
     def make():
         hashed = WordHashes()
         return lambda texts: [[kmers(hashed(words_of(t))).view(np.int64) for t in texts]]
 
-    marks = text_stage(rows.join(wanted, "id", "left_semi"), "said", make, {"marks": "array<bigint>"}, ["id"])
-    marks = materialize(marks, "kmers")
+    return text_stage(beside_texts(rows, ids, "id", "left_semi"), "said", make, {"marks": "array<bigint>"}, ["id"])
+
+
+def align_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids that link."""
     first = pairs.join(marks.withColumnsRenamed({"id": "a", "marks": "x"}), "a")
     both = first.join(marks.withColumnsRenamed({"id": "b", "marks": "y"}), "b").select("a", "b", "x", "y")
 
@@ -199,6 +201,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = nodes.select("id", "n", F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     buckets = materialize(attach(buckets, shared, "bucket", "left_semi"), "buckets")
+    marks = materialize(kmers_of(buckets.select("id").distinct(), docs, doc_id, text), "kmers")
     links = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = None
     for number in range(PIVOT_ROUNDS + 1):
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pairs = rest.join(others, "bucket").where("c <> pc").select("a", "n", "b", "m")
         pairs = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        linked = align_pairs(materialize(pairs, "pairs"), docs, doc_id, text, similarity)
+        linked = align_pairs(materialize(pairs, "pairs"), marks, similarity)
         found = linked if found is None else found.unionByName(linked)
     classes = components(links.unionByName(found))
     rows = attach(ids, classes, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
@@ -233,13 +236,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
 
     Of rows that share that id the first one by a hash of the text stays.
     """
-    classes = near_duplicates(docs, doc_id, text, similarity)
-    gone = materialize(classes.where("id <> class_id").select(F.col("id").alias("__id")).distinct(), "gone")
-    given = F.col(quoted(doc_id)).cast("bigint")
-    left = docs.join(gone, given == F.col("__id"), "left_anti")
-    ids = left.select(given.alias("__id")).where("__id is not null")
-    twice = materialize(ids.groupBy("__id").count().where("count > 1").select("__id"), "twice")
-    once = left.join(twice, given == F.col("__id"), "left_anti")
-    again = left.join(twice, given == F.col("__id"), "left_semi")
-    first = top_k(again, [doc_id], [F.xxhash64(F.col(quoted(text)))], 1, "__rank").drop("__rank")
-    return once.unionByName(first)
+    classes = near_duplicates(docs, doc_id, text, similarity).groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    marked = classes.where("id <> class_id or n > 1").select(F.col("id").alias("__id"), (F.col("id") != F.col("class_id")).alias("__gone"))
+    rows = docs.withColumn("__id", F.col(quoted(doc_id)).cast("bigint"))
+    left = beside_texts(rows, marked, "__id", "left").where(~F.coalesce("__gone", F.lit(False)))
+    # The join has the rows of an id together already; rows without one are spread by their text.
+    said = F.xxhash64(F.col(quoted(text)))
+    alone = F.when(F.col("__id").isNull(), said)
+    ranked = left.withColumn("__rank", F.row_number().over(W.partitionBy("__id", alone).orderBy(said)))
+    kept = ranked.where("__id is null or __rank = 1")
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
