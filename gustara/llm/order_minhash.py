@@ -28,8 +28,8 @@ from gustara.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, SKETCHES_PER_BAND, TAKEN = 20, 2, 2
-PIVOT_ROUNDS = 2
-BLOCK = 1 << 16
+# K-mers of one side of a tile, and k-mer columns counted at once in it.
+TILE_KMERS, TILE_COLUMNS = 400_000, 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 WORD = re.compile(r"\w+")
 
@@ -85,7 +85,7 @@ def bands_of(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
     taken = min(TAKEN, marks.size)
     best = np.zeros((seeds.size, 0), np.uint64)
     places = np.zeros((seeds.size, 0), np.int64)
-    step = max(1, BLOCK // 8)
+    step = 1 << 13
     for at in range(0, marks.size, step):
         part = mix(marks[None, at : at + step] ^ seeds[:, None])
         least = min(taken, part.shape[1])
@@ -128,6 +128,106 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     return len(chain)
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the aligned k-mers are at least ``similarity`` of all k-mers of both texts."""
+    if min(a.size, b.size) < similarity * max(a.size, b.size):
+        return False
+    matched = aligned(a, b, similarity)
+    return matched >= similarity * (a.size + b.size - matched)
+
+
+def common_kmers(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common k-mers of every left with every right text, as products of 0/1 matrices."""
+    sides = [np.concatenate(s) if s else np.empty(0, np.int64) for s in (left, right)]
+    shared = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for flat, texts in zip(sides, (left, right), strict=True):
+        row = np.repeat(np.arange(len(texts)), [t.size for t in texts])
+        column = np.searchsorted(shared, flat)
+        held = column < shared.size
+        held[held] = shared[column[held]] == flat[held]
+        places.append((row[held], column[held]))
+    for at in range(0, shared.size, TILE_COLUMNS):
+        width = min(TILE_COLUMNS, shared.size - at)
+        halves = []
+        for (row, column), texts in zip(places, (left, right), strict=True):
+            here = (column >= at) & (column < at + width)
+            half = np.zeros((len(texts), width), np.float32)
+            half[row[here], column[here] - at] = 1
+            halves.append(half)
+        counts += halves[0] @ halves[1].T
+    return counts
+
+
+def tile_pairs(bucket: int, rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links between asking and offered rows of one bucket that lie in different components.
+
+    A row is (id, component, asks, asks here, offered here, marks, bands). A pair counts in the first
+    bucket that both share.
+    """
+    left, right = [r for r in rows if r[3]], [r for r in rows if r[4]]
+    if len(left) * len(right) > 64:
+        sizes = [np.array([r[5].size for r in side]) for side in (left, right)]
+        # Aligned k-mers are common ones, so too few common ones rule a pair out.
+        least = similarity / (1 + similarity) * (sizes[0][:, None] + sizes[1]) - 0.5
+        chosen = zip(*np.nonzero(common_kmers([r[5] for r in left], [r[5] for r in right]) >= least), strict=True)
+    else:
+        chosen = ((i, j) for i in range(len(left)) for j in range(len(right)))
+    out = []
+    for i, j in chosen:
+        a, b = left[i], right[j]
+        if a[1] == b[1] or (b[2] and a[0] < b[0]):
+            continue
+        shared = np.flatnonzero(a[6] == b[6])
+        if a[6][shared[0]] == bucket and similar(a[5], b[5], similarity):
+            out.append((max(a[0], b[0]), min(a[0], b[0])))
+    return out
+
+
+def compare_rest(group: DataFrame, pivots: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that no pivot has brought into one component.
+
+    Members apart from their bucket's pivot ask all others. Buckets are cut into tiles of bounded
+    k-mers by a hash of the id, each part of asking rows with each part of offered ones; a tile's
+    pairs stay inside its task, only links leave it.
+    """
+    known = attach(group, pivots, "bucket").withColumn("asks", F.col("component") != F.col("pc"))
+    total = F.ceil(F.sum("n") / TILE_KMERS).cast("int").alias("parts")
+    split = known.groupBy("bucket").agg(F.max("asks").alias("any"), total).where("any").select("bucket", "parts")
+    placed = attach(known.select("bucket", "id", "component", "asks"), split, "bucket")
+    mine = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    asked = F.when(F.col("asks"), F.transform(parts, lambda j: F.struct(mine.alias("i"), j.alias("j")))).otherwise(F.array())
+    offered = F.transform(parts, lambda i: F.struct(i.alias("i"), mine.alias("j")))
+    tiles = placed.withColumn("tile", F.explode(F.array_union(asked, offered)))
+    tiles = materialize(
+        tiles.select(
+            "bucket", "tile.i", "tile.j", "id", "component", "asks",
+            (F.col("asks") & (mine == F.col("tile.i"))).alias("left"), (mine == F.col("tile.j")).alias("right"),
+        ),
+        "tiles",
+    )
+    filled = tiles.join(marks, "id").select("bucket", "i", "j", "id", "component", "asks", "left", "right", "marks", "bands")
+    sorted_tiles = filled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, links = None, [], []
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:8]]
+            lists = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in batch.columns[8:]]
+            for i, (bucket, a, b, *row) in enumerate(zip(*plain, strict=True)):
+                if (bucket, a, b) != tile:
+                    links += tile_pairs(tile[0], rows, similarity) if rows else []
+                    tile, rows = (bucket, a, b), []
+                rows.append((*row, *(flat[at[i] : at[i + 1]] for flat, at in lists)))
+        links += tile_pairs(tile[0], rows, similarity) if rows else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return materialize(sorted_tiles.mapInArrow(work, "a bigint, b bigint"), "rest")
+
+
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, h1, h2, n, bands): two hashes of the word sequence, its k-mer count and its buckets.
 
@@ -157,20 +257,26 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def kmers_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, marks): the labelled k-mers of the documents with these ids."""
+    """(id, marks, bands): the labelled k-mers and buckets of the documents with these ids."""
     rows = docs.select(F.col(quoted(doc_id)).cast("bigint").alias("id"), F.col(quoted(text)).alias("said"))
 
     def make():
         hashed = WordHashes()
-        return lambda texts: [[kmers(hashed(words_of(t))).view(np.int64) for t in texts]]
 
-    return text_stage(beside_texts(rows, ids, "id", "left_semi"), "said", make, {"marks": "array<bigint>"}, ["id"])
+        def stage(texts):
+            marks = [kmers(hashed(words_of(t))) for t in texts]
+            return [m.view(np.int64) for m in marks], [bands_of(m) for m in marks]
+
+        return stage
+
+    added = {"marks": "array<bigint>", "bands": "array<bigint>"}
+    return text_stage(beside_texts(rows, ids, "id", "left_semi"), "said", make, added, ["id"])
 
 
 def align_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of ids that link."""
-    first = pairs.join(marks.withColumnsRenamed({"id": "a", "marks": "x"}), "a")
-    both = first.join(marks.withColumnsRenamed({"id": "b", "marks": "y"}), "b").select("a", "b", "x", "y")
+    first = pairs.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("x")), "a")
+    both = first.join(marks.select(F.col("id").alias("b"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +284,7 @@ def align_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFr
             links = []
             for i in range(batch.num_rows):
                 x, y = (values[at[i] : at[i + 1]] for values, at in sides)
-                least, most = sorted((x.size, y.size))
-                matched = aligned(x, y, similarity) if least >= similarity * most else 0
-                links.append(matched >= similarity * (x.size + y.size - matched))
+                links.append(similar(x, y, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     return materialize(both.mapInArrow(check, "a bigint, b bigint"), "aligned")
@@ -203,28 +307,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = materialize(attach(buckets, shared, "bucket", "left_semi"), "buckets")
     marks = materialize(kmers_of(buckets.select("id").distinct(), docs, doc_id, text), "kmers")
     links = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found = None
-    for number in range(PIVOT_ROUNDS + 1):
-        group = buckets.withColumn("component", F.col("id"))
-        if found is not None:
-            group = attach(buckets, components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            group = materialize(group, "grouped")
-        # Round 0 takes each bucket's smallest id, the next ones another by hash.
-        chosen = F.min(F.struct(F.lit(0) if number == 0 else F.xxhash64("id", F.lit(number)), "id", "n", "component"))
-        pivots = group.groupBy("bucket").agg(chosen.alias("p"))
-        pivots = pivots.select("bucket", F.col("p.id").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("pc"))
-        apart = attach(group, pivots, "bucket").where("component <> pc")
-        if number < PIVOT_ROUNDS:
-            pairs = apart.select(F.col("id").alias("a"), "n", "b", "m")
-        else:
-            # The rest: members apart from their bucket's chosen one against all of another component.
-            rest = materialize(apart.select("bucket", F.col("id").alias("a"), "n", F.col("component").alias("c")), "rest")
-            others = group.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("pc"))
-            pairs = rest.join(others, "bucket").where("c <> pc").select("a", "n", "b", "m")
-        pairs = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        linked = align_pairs(materialize(pairs, "pairs"), marks, similarity)
-        found = linked if found is None else found.unionByName(linked)
+    # Every member with its bucket's smallest id first; then what is still apart from it with all others.
+    first = F.min(F.struct("id", "n")).alias("p")
+    centers = buckets.groupBy("bucket").agg(first).select("bucket", F.col("p.id").alias("b"), F.col("p.n").alias("m"))
+    pairs = attach(buckets, centers, "bucket").where("id <> b").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    pairs = materialize(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    found = align_pairs(pairs, marks, similarity)
+    group = attach(buckets, components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    group = materialize(group, "grouped")
+    pivots = group.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.component").alias("pc"))
+    found = found.unionByName(compare_rest(group, pivots, marks, similarity))
     classes = components(links.unionByName(found))
     rows = attach(ids, classes, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
     sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
