@@ -72,12 +72,15 @@ def literal_entry(text: Column, key: str, default: str = "") -> Column:
     return read(text)
 
 
-def explode_reviews(items: DataFrame, item_id: str = "item_id", reviews: str = "reviews") -> DataFrame:
+def explode_reviews(
+    items: DataFrame, item_id: str = "item_id", reviews: str = "reviews", partitions: int | None = None
+) -> DataFrame:
     """``{user: {rating, dateLastModified, text}}`` per item to one row per review.
 
-    Column names come out lower-cased; the review date stays text for ``parse_timestamp``.
+    Column names come out lower-cased; the review date stays text for ``parse_timestamp``. The texts
+    are parsed in ``partitions`` tasks, or where they are if it is None.
     """
-    parsed = spread(items).select(item_id, F.from_json(python_literal_to_json(reviews), REVIEW_MAP).alias("m"))
+    parsed = spread(items, partitions).select(item_id, F.from_json(python_literal_to_json(reviews), REVIEW_MAP).alias("m"))
     # A plain explode makes the planner add a filter on the map, which parses every text twice.
     entries = parsed.select(item_id, F.explode_outer("m").alias("user_id", "review"))
     entries = entries.where(F.col("user_id").isNotNull())

@@ -75,9 +75,12 @@ def norm(vec: Column | str) -> Column:
 
 
 def is_valid_vector(vec: Column | str) -> Column:
-    """Not NULL, not empty, not all zeros: the three shapes a failed embedding takes."""
+    """Not NULL, not empty, every element a finite number, and a length above zero that is finite too."""
     vec = _col(vec)
-    return vec.isNotNull() & (F.size(vec) > 0) & F.exists(vec, lambda x: x != 0)
+    limit = F.lit(float("inf"))
+    numbers = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < limit))
+    usable = F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & numbers, F.lit(False))
+    return usable & F.coalesce(F.when(usable, (norm(vec) > 0) & (norm(vec) < limit)), F.lit(False))
 
 
 def fixed2(c: Column | str) -> Column:
@@ -124,6 +127,7 @@ def file_stem(path: Column | str) -> Column:
 
 
 def relative_path(path: Column | str, root: str) -> Column:
-    """Path below ``root``, wherever the file system prefix ends."""
+    """Path below the first ``root`` in it, wherever the file system prefix ends; all of it without one."""
     marker = root.rstrip("/") + "/"
-    return F.substring_index(_col(path), marker, -1)
+    at = F.instr(_col(path), F.lit(marker))
+    return F.when(at > 0, F.substr(_col(path), at + len(marker))).otherwise(_col(path))

@@ -92,12 +92,14 @@ def parse_nutrition(c: Column | str) -> Column:
     return F.from_json(python_literal_to_json(c), NUTRITION_MAP)
 
 
-def nutrition_numeric(df: DataFrame, literal: str, keys: tuple[str, ...] = NUTRIENTS) -> DataFrame:
+def nutrition_numeric(
+    df: DataFrame, literal: str, keys: tuple[str, ...] = NUTRIENTS, partitions: int | None = None
+) -> DataFrame:
     """Add one double column per nutrient.
 
     -2: nutrient missing, value None or not a number. -1: no percentage or '-'. 0: '< 1'.
     """
-    parsed = spread(df).withColumn("_nutrition", parse_nutrition(literal))
+    parsed = spread(df, partitions).withColumn("_nutrition", parse_nutrition(literal))
     return parsed.withColumns({k: _nutrient_value("_nutrition", k) for k in keys}).drop("_nutrition")
 
 
@@ -134,9 +136,9 @@ def _nutrient_line(nutrition: str, key: str) -> Column:
     return F.when(attributes.isNotNull(), F.concat(F.lit(f"{key}: "), shown))
 
 
-def parse_items(items: DataFrame) -> DataFrame:
+def parse_items(items: DataFrame, partitions: int | None = None) -> DataFrame:
     """Item catalogue with its three parsed text columns."""
-    parsed = spread(items).withColumns(
+    parsed = spread(items, partitions).withColumns(
         {
             "parsed_ingredients": split_bullets("ingredients"),
             "parsed_recipe": normalize_directions("cooking_directions"),
@@ -195,10 +197,10 @@ def history_text(
 def item_prompt_text(title: str, ingredients: str, directions: str) -> Column:
     """Short per-item prompt body."""
     return F.concat(
-        F.lit("Here are the details of a recipe:\n\nTitle: "), F.coalesce(title, F.lit("")),
+        F.lit("A dish to profile:\n\nTitle: "), F.coalesce(title, F.lit("")),
         F.lit("\n\nIngredients:\n"), F.coalesce(ingredients, F.lit("")),
         F.lit("\n\nCooking Directions:\n"), F.coalesce(directions, F.lit("")),
-        F.lit("\n\nBased on the above information, please provide a structured profile of the recipe."),
+        F.lit("\n\nDescribe this dish as a structured profile."),
     )
 
 
@@ -232,10 +234,10 @@ def user_prompt_text(
     return bodies.join(totals, "user_id").select(
         "user_id",
         F.concat(
-            F.lit("The user has rated "), F.col("n_rated").cast("string"),
-            F.lit(" recipes, with an average rating of "), fixed2("avg_rating"),
+            F.lit("Ratings given: "), F.col("n_rated").cast("string"),
+            F.lit(", mean rating "), fixed2("avg_rating"),
             F.lit(".\n"), F.array_join(F.col("entries.entry"), ""),
-            F.lit("\nBased on the above information, please provide a structured profile of the user."),
+            F.lit("\nDescribe this person as a structured profile."),
         ).alias("prompt"),
     )
 

@@ -13,9 +13,6 @@ from gustara.operators.weights import index_ids, interaction_triples
 from gustara.session import materialize, work_dir
 
 
-MAX_BLOCKS = 2000
-
-
 @dataclass(frozen=True)
 class Factorisation:
     model: ALSModel
@@ -47,14 +44,15 @@ def als_fit(
     1 + alpha * |value| and scales the penalty with the number of ratings, so factors differ
     from other implicit ALS implementations; quality is what can be compared. Each iteration is
     two shuffles: 10 to 20 iterations are the sensible range, checkpointed as they go. Both sides
-    are cut into one block per million rows unless ``blocks`` says otherwise.
+    are cut into ``blocks`` blocks, by default as many as the session has shuffle partitions; the
+    start factors, and so the fitted ones, depend on that number only.
     """
     spark = interactions.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(work_dir(spark))
     rows = materialize(interactions.select("user_id", "item_id", F.col(value).cast("double").alias("value")), "als")
     if blocks is None:
-        blocks = max(2, min(MAX_BLOCKS, rows.count() // 1_000_000))
+        blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     users = materialize(index_ids(rows, "user_id", "user_idx"), "users")
     items = materialize(index_ids(rows, "item_id", "item_idx"), "items")
     triples = interaction_triples(rows.join(users, "user_id").join(items, "item_id"), "value")

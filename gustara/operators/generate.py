@@ -29,8 +29,8 @@ def generate(
 ) -> DataFrame:
     """Add ``full_response``, ``answer_text`` and ``error``.
 
-    Only the prompt parts cross to Python. A batch that keeps failing is retried row by row, so
-    one bad row costs its own ``error`` and leaves the rest. ``concurrency`` sets the number of
+    Only the prompt parts cross to Python. A batch that keeps failing is halved until the failing
+    rows stand alone, so one bad row costs its own ``error`` and a few more calls. ``concurrency`` sets the number of
     tasks that call the provider at once. The call is marked non-deterministic so the planner
     never evaluates it twice; write the result once before reading it several times.
     """
@@ -44,7 +44,7 @@ def generate(
                 _answers(requests, provider, settings, retry, raise_errors), columns=["full_response", "error"]
             )
 
-    rows = df.repartition(concurrency) if concurrency else spread(df)
+    rows = spread(df, concurrency)
     answered = rows.withColumn("_ai", call.asNondeterministic()(parts))
     return answered.select(
         *df.columns,
@@ -60,19 +60,16 @@ def _answers(requests, provider, settings, retry, raise_errors) -> list[tuple[st
     try:
         texts = retry.call(lambda: _checked(provider, requests, settings))
         return [(envelope(t), None) for t in texts]
-    except Exception:  # noqa: BLE001 - isolate the failing rows below
-        if raise_errors and len(requests) == 1:
-            raise
-    results: list[tuple[str | None, str | None]] = []
-    for request in requests:
-        try:
-            text = retry.call(lambda request=request: _checked(provider, [request], settings)[0])
-            results.append((envelope(text), None))
-        except Exception as failure:  # noqa: BLE001
+    except Exception as failure:  # noqa: BLE001 - isolate the failing rows below
+        if len(requests) == 1:
             if raise_errors:
                 raise
-            results.append((None, f"{type(failure).__name__}: {failure}"))
-    return results
+            return [(None, f"{type(failure).__name__}: {failure}")]
+    half = len(requests) // 2
+    return [
+        *_answers(requests[:half], provider, settings, retry, raise_errors),
+        *_answers(requests[half:], provider, settings, retry, raise_errors),
+    ]
 
 
 def _checked(provider: TextProvider, requests: list[list[str]], settings: dict) -> list[str]:
@@ -128,7 +125,7 @@ def embed_text(
             texts = [t if t is not None else "" for t in batch]
             yield pd.Series(_vectors(texts, provider, task_type, retry), dtype=object)
 
-    rows = df.repartition(concurrency) if concurrency else spread(df)
+    rows = spread(df, concurrency)
     return rows.withColumn(name, call.asNondeterministic()(F.col(content)))
 
 

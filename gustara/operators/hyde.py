@@ -59,20 +59,19 @@ def semantic_search(
 
     ``queries``: (query_id, text). ``base``: (item_id, content, embedding[, category]). Vector
     hits farther than ``max_distance`` do not count. A query without any falls back to rows
-    that contain its text; ``source`` says which way a row came. A category, if given, filters
-    the hits afterwards.
+    that contain its text; ``source`` says which way a row came. A category, if given, restricts the
+    rows before either search, so it takes nothing from the ``k`` hits.
     """
+    if category is not None:
+        base = base.where(F.col("category") == category)
     embedded = materialize(embed_text(queries, "text", embedder, "RETRIEVAL_QUERY"), "queries")
     near = vector_search(base, embedded, k, query_id="query_id").where(F.col("distance") <= max_distance)
     near = materialize(near, "near")
     unanswered = embedded.join(near.select("query_id"), "query_id", "left_anti")
     fallback = text_match(unanswered, base, k)
-    found = near.select("query_id", "item_id", "rank", F.lit("vector").alias("source")).unionByName(
+    return near.select("query_id", "item_id", "rank", F.lit("vector").alias("source")).unionByName(
         fallback.select("query_id", "item_id", "rank", F.lit("text").alias("source"))
     )
-    if category is not None:
-        found = found.join(base.where(F.col("category") == category).select("item_id"), "item_id", "left_semi")
-    return found
 
 
 def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_bytes: int = 4 * 1024 * 1024) -> DataFrame:

@@ -22,7 +22,9 @@ from gustara.operators.blocks import CELL, BlockGrid
 from gustara.operators.ordering import top_k
 
 DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
-TIE_DIGITS = 9  # distances equal to this many digits are ties, ordered by base id
+# Distances equal to this many digits are ties, ordered by base id: decimals for COSINE, whose
+# distances are of the order of 1, significant digits for the others, whose vectors have any length.
+TIE_DIGITS = 9
 _CELLS = 4_000_000  # distances held at a time
 _GROUP = 32  # columns per group of the short list
 
@@ -44,7 +46,7 @@ def vector_search(
 ) -> DataFrame:
     """(query_id, base_id, distance, rank) of the ``k`` nearest base rows per query.
 
-    Invalid vectors on either side are left out. Ids are unique and compared as text.
+    Invalid vectors (``is_valid_vector``) on either side are left out. Ids are unique and compared as text.
     DOT_PRODUCT is the negated product, so smaller is closer for every distance. ``exclude``
     holds (query_id, base_id) pairs, repeats allowed. The inputs are counted before they are
     used; materialise them if they are costly.
@@ -148,11 +150,12 @@ def _nearest(query, base, base_norms, k, distance, skip):
     """
     closeness = query @ base.T
     query_norms, largest = np.linalg.norm(query, axis=1), base_norms.max()
-    slack = 2.0 * 10.0**-TIE_DIGITS + 1e-12 * query_norms * largest
+    if not np.isfinite(largest) or not np.isfinite(query_norms).all():
+        raise ValueError("a vector without finite length reached the search")
+    slack = (2.0 * 10.0**-TIE_DIGITS + 1e-12) * query_norms * largest
     if distance == "EUCLIDEAN":
         closeness = 2.0 * closeness - base_norms**2
-        farthest = query_norms + largest
-        slack = 2.0 * slack * (1.0 + farthest) + 1e-12 * farthest**2
+        slack = (4.0 * 10.0**-TIE_DIGITS + 1e-12) * (query_norms + largest) ** 2
     closeness[skip] = -np.inf
     limit = _kth_largest(_group_maxima(closeness, k), k) - slack
     rows, cols = np.nonzero(closeness >= limit[:, None])
@@ -165,7 +168,8 @@ def _nearest(query, base, base_norms, k, distance, skip):
         dist = -found
     else:  # the product form loses digits for near copies
         dist = np.linalg.norm(query[rows] - base[cols], axis=1)
-    key = np.round(dist, TIE_DIGITS) + 0.0  # no negative zero
+    key = np.round(dist, TIE_DIGITS) if distance == "COSINE" else _significant(dist, TIE_DIGITS)
+    key = key + 0.0  # no negative zero
     order = np.lexsort((cols, key, rows))
     rows, cols, dist, key = rows[order], cols[order], dist[order], key[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(query)))[rows]
@@ -173,6 +177,14 @@ def _nearest(query, base, base_norms, k, distance, skip):
     return rows[best], cols[best], dist[best], key[best]
 
 
+def _significant(values: np.ndarray, digits: int) -> np.ndarray:
+    """Values rounded to a number of significant digits."""
+    size = np.abs(values)
+    power = np.floor(np.log10(np.where(size > 0, size, 1.0)))
+    unit = 10.0 ** (power - digits + 1)
+    return np.where(unit > 0, np.round(values / np.where(unit > 0, unit, 1.0)) * unit, values)
+
+
 def _group_maxima(closeness, k):
     """Largest value of every group of columns; the k-th of them bounds the k-th value from below."""
     n, m = closeness.shape

@@ -156,6 +156,15 @@ def flawed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", vector.alias("embedding"))
 
 
+def poisoned_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flawed vectors, and some whose first element is NaN, infinite or NULL."""
+    flaw = F.col("vec_id") % 50
+    bad = F.when(flaw == 10, F.lit(float("nan"))).when(flaw == 11, F.lit(float("inf"))).cast("float")
+    spoilt = F.transform("embedding", lambda x, i: F.when(i == 0, bad).otherwise(x))
+    vector = F.when(flaw.isin(10, 11, 12), spoilt).otherwise(F.col("embedding"))
+    return flawed_vectors(spark, sf_dir).select("vec_id", vector.alias("embedding"))
+
+
 # ---- The same views in SQL -----------------------------------------------------------------
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {

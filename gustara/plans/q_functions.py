@@ -313,13 +313,13 @@ def history_text(spark, sf):
     "profile_prompt_text",
     sql(
         "train comments parsed",
-        """SELECT 'item' AS kind, item_id AS id, 'Here are the details of a recipe:' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || 'Ingredients:' || chr(10)
+        """SELECT 'item' AS kind, item_id AS id, 'A dish to profile:' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || 'Ingredients:' || chr(10)
           || parsed_ingredients || chr(10) || chr(10) || 'Cooking Directions:' || chr(10) || parsed_recipe || chr(10) || chr(10)
-          || 'Based on the above information, please provide a structured profile of the recipe.' AS prompt FROM parsed
-        UNION ALL SELECT 'user', user_id, 'The user has rated ' || max(n) || ' recipes, with an average rating of ' || printf('%.2f', max(m)) || '.' || chr(10) || string_agg(
+          || 'Describe this dish as a structured profile.' AS prompt FROM parsed
+        UNION ALL SELECT 'user', user_id, 'Ratings given: ' || max(n) || ', mean rating ' || printf('%.2f', max(m)) || '.' || chr(10) || string_agg(
           chr(10) || 'Recipe Title: ' || p.title || chr(10) || 'User Rating: ' || CAST(rating AS VARCHAR) || chr(10) || 'User Comment: ' || coalesce(text, '') || chr(10)
           || 'Recipe Average Rating: ' || CAST(CAST(p.aver_rate AS DOUBLE) AS VARCHAR) || chr(10) || 'Ingredients:' || chr(10) || p.parsed_ingredients || chr(10) || 'Cooking Directions:' || chr(10) || p.parsed_recipe || chr(10)
-          || '----' || chr(10), '' ORDER BY rn) || chr(10) || 'Based on the above information, please provide a structured profile of the user.'
+          || '----' || chr(10), '' ORDER BY rn) || chr(10) || 'Describe this person as a structured profile.'
         FROM (SELECT t.*, c.text, count(*) OVER (PARTITION BY t.user_id) AS n, avg(t.rating) OVER (PARTITION BY t.user_id) AS m,
               row_number() OVER (PARTITION BY t.user_id ORDER BY t.ts DESC, t.item_id) AS rn
               FROM train t LEFT JOIN comments c ON c.user_id = t.user_id AND c.item_id = t.item_id AND c.ts = t.ts) JOIN parsed p USING (item_id)
@@ -398,11 +398,15 @@ def schema_prompts(spark, sf):
     return parsed.select("item_id", X.prompt_text(instruction, "parsed_ingredients").alias("prompt"), F.lit(X.output_ddl(POINTWISE_JUDGEMENT)).alias("output_schema"))
 
 
-@query("file_stem")
+@query(
+    "file_stem",
+    r"""SELECT page_id, regexp_extract(url, '([^/]+)\.[^./]+$', 1) AS stem,
+         CASE WHEN instr(url, 'example.com/') > 0 THEN substring(url, instr(url, 'example.com/') + 12) ELSE url END AS relative FROM pages""",
+)
 def file_stem(spark, sf):
-    """Stem and relative path of the given tables' own files."""
-    files = spark.read.format("binaryFile").load(f"{sf}/*.parquet").select("path", "length")
-    return files.select(S.file_stem("path").alias("stem"), S.relative_path("path", sf).alias("relative"), "length")
+    """Stem of every page's address, and its path below one host where it lies there."""
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", S.file_stem("url").alias("stem"), S.relative_path("url", "example.com").alias("relative"))
 
 
 @query("prompt_from_columns", sql("parsed", "SELECT item_id, 'Profile this: ' || parsed_ingredients || parsed_recipe || percent_daily_values AS prompt FROM parsed"))

@@ -67,22 +67,22 @@ def ai_generate(spark, sf):
 
 
 @dataclass(frozen=True)
-class TokenLimitProvider:
-    """Echoes lengths and refuses a batch that holds a text over its limit, as hosted models do."""
+class RefusingProvider:
+    """Answers with the length of whole texts and refuses a batch that holds a text with ``mark``."""
 
-    limit: int
+    mark: str
 
     def generate(self, requests, params):
-        if any(len(parts[1]) > self.limit for parts in requests):
-            raise ValueError("text over the token limit")
+        if any(self.mark in parts[1] for parts in requests):
+            raise ValueError("text refused")
         return [f'{{"notes": "{len(parts[1])}"}}' for parts in requests]
 
 
-@query("generate_retry", "SELECT doc_id, CASE WHEN length(text) > 4000 THEN 'ValueError: text over the token limit' END AS error, CASE WHEN length(text) <= 4000 THEN '{\"notes\": \"' || length(text) || '\"}' END AS answer_text FROM documents")
+@query("generate_retry", "SELECT doc_id, CASE WHEN contains(text, 'token = ') THEN 'ValueError: text refused' END AS error, CASE WHEN NOT contains(text, 'token = ') THEN '{\"notes\": \"' || length(text) || '\"}' END AS answer_text FROM documents")
 def generate_retry(spark, sf):
-    """Documents over the limit get an error of their own, their batch mates an answer."""
+    """Refused documents (here: with a credential) get an error of their own, their batch mates an answer."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = generate(docs, prompt_parts("Summarise", "text"), TokenLimitProvider(4000), retry=AT_ONCE)
+    rows = generate(docs, prompt_parts("Summarise", "text"), RefusingProvider("token = "), retry=AT_ONCE)
     return rows.select("doc_id", "error", "answer_text")
 
 
@@ -285,8 +285,7 @@ MAX_DISTANCE = 0.35
 SEMANTIC_SQL = f"""SELECT CAST(query_id AS VARCHAR) AS query_id, item_id, CAST(rank AS BIGINT) AS rank, source FROM (
   SELECT query_id, item_id, rank, 'vector' AS source FROM hits UNION ALL
   SELECT query_id, item_id, rank, 'text' FROM (SELECT b.item_id AS query_id, CAST(d.doc_id AS VARCHAR) AS item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY CAST(d.doc_id AS VARCHAR)) AS rank
-    FROM benchmark b, documents d WHERE contains(lower(d.text), lower(trim(b.text))) AND b.item_id NOT IN (SELECT query_id FROM hits)) WHERE rank <= {K})
-  WHERE item_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en')"""
+    FROM benchmark b, documents d WHERE contains(lower(d.text), lower(trim(b.text))) AND b.item_id NOT IN (SELECT query_id FROM hits) AND d.lang = 'en') WHERE rank <= {K})"""
 
 
 @query(
@@ -297,11 +296,11 @@ SEMANTIC_SQL = f"""SELECT CAST(query_id AS VARCHAR) AS query_id, item_id, CAST(r
         de=rules.embed_sql("documents", "doc_id", "text", DIM),
         be=rules.embed_sql("benchmark", "item_id", "text", DIM),
         hits=f"""SELECT * FROM (SELECT query_id, item_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), item_id) AS rank FROM (
-          SELECT be.item_id AS query_id, CAST(de.doc_id AS VARCHAR) AS item_id, list_cosine_distance(be.v, de.v) AS distance FROM be, de)) WHERE rank <= {K} AND distance <= {MAX_DISTANCE}""",
+          SELECT be.item_id AS query_id, CAST(de.doc_id AS VARCHAR) AS item_id, list_cosine_distance(be.v, de.v) AS distance FROM be, de WHERE de.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))) WHERE rank <= {K} AND distance <= {MAX_DISTANCE}""",
     ),
 )
 def semantic(spark, sf):
-    """Benchmark passages looked up in all documents, English hits only."""
+    """Benchmark passages looked up in all English documents."""
     embedder = HashingProvider(DIM)
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("content"), F.col("lang").alias("category"))
     base = materialize(embed_text(docs, "content", embedder), "documents")

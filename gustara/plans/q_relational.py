@@ -32,6 +32,7 @@ from gustara.plans.fixtures import (
     comments,
     final_split,
     flawed_vectors,
+    poisoned_vectors,
     interactions,
     item_vectors,
     items,
@@ -115,10 +116,10 @@ def final_catalogue(spark, sf):
 
 @query(
     "valid_vector_filter",
-    "SELECT vec_id, CAST(64 AS BIGINT) AS length FROM embeddings WHERE vec_id % 50 NOT IN (7, 8, 9)",
+    "SELECT vec_id, CAST(64 AS BIGINT) AS length FROM embeddings WHERE vec_id % 50 NOT IN (7, 8, 9, 10, 11, 12)",
 )
 def usable_vectors(spark, sf):
-    return valid_vectors(flawed_vectors(spark, sf)).select("vec_id", F.size("embedding").cast("long").alias("length"))
+    return valid_vectors(poisoned_vectors(spark, sf)).select("vec_id", F.size("embedding").cast("long").alias("length"))
 
 
 RECALL = """SELECT n.user_id, count(t.item_id) AS hit_count, count(t.item_id) / CAST(nullif(max(c.n), 0) AS DOUBLE) AS hit_proportion

@@ -90,17 +90,6 @@ def materialize(df: DataFrame, label: str = "step", partition_by: str | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPREAD_LIMIT = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs of a Python stage over all cores.
-
-    A small file is one task however many cores there are. Only plans that read little are
-    moved, judged by the sizes of the tables they read; large ones come in many partitions.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    if size > SPREAD_LIMIT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows of a Python stage over ``partitions`` tasks, or as they come if it is None."""
+    return df if partitions is None else df.repartition(partitions)

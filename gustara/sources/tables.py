@@ -72,15 +72,16 @@ def enrich_table(spark: SparkSession, path: str, extra: DataFrame, on: str) -> N
 def update_column(target: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """``target`` with ``column`` set from ``updates`` where the key matches.
 
-    The column is created if missing; rows without a match keep their value or NULL. The update
-    keys must be unique.
+    The column is created if missing; rows without a match keep their value or NULL, a matched NULL
+    is set. The update keys must be unique.
     """
     require_unique([key], update=updates)
-    incoming = updates.select(key, F.col(column).alias("_new"))
+    incoming = updates.select(key, F.col(column).alias("_new"), F.lit(True).alias("_matched"))
     joined = target.join(incoming, key, "left")
     if column in target.columns:
-        return joined.withColumn(column, F.coalesce("_new", column)).drop("_new")
-    return joined.withColumnRenamed("_new", column)
+        value = F.when(F.col("_matched"), F.col("_new")).otherwise(F.col(column))
+        return joined.withColumn(column, value).drop("_new", "_matched")
+    return joined.drop("_matched").withColumnRenamed("_new", column)
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:

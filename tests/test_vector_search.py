@@ -146,3 +146,25 @@ def test_a_third_of_the_base_is_one_vector(spark, kind):
             for q, v in query.items()
         }
         assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+@pytest.mark.parametrize("spoilt", [float("nan"), float("inf"), None])
+def test_one_spoilt_row_costs_only_itself(spark, kind, spoilt):
+    good = [(f"b{i}", [float(i), 1.0, 2.0]) for i in range(1, 9)]
+    bad = [("bad", [spoilt, 1.0, 2.0])]
+    kinds = "item_id string, embedding array<double>"
+    query = spark.createDataFrame([("q", [3.0, 1.0, 2.0]), ("worse", [1.0, spoilt, 0.0])], "user_id string, embedding array<double>")
+    clean = vector_search(spark.createDataFrame(good, kinds), query, 3, kind).collect()
+    mixed = vector_search(spark.createDataFrame(good + bad, kinds), query, 3, kind).collect()
+    assert sorted(mixed) == sorted(clean) and len(clean) == 3
+
+
+@pytest.mark.parametrize("kind", ["DOT_PRODUCT", "EUCLIDEAN"])
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e5])
+def test_order_does_not_depend_on_the_vectors_length(spark, kind, scale):
+    vectors = [(f"b{i}", [scale * ((i * 7) % 20 + 1), scale]) for i in range(20)]
+    base = spark.createDataFrame(vectors, "item_id string, embedding array<double>")
+    query = spark.createDataFrame([("q", [scale * 21, 0.0])], "user_id string, embedding array<double>")
+    got = [r["item_id"] for r in vector_search(base, query, 5, kind).orderBy("rank").collect()]
+    assert got == sorted(dict(vectors), key=lambda b: -dict(vectors)[b][0])[:5]
