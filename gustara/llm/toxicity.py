@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gustara.llm.common import quoted, text_stage
 from gustara.llm.linear import BITS, ORDERS, Grams, fit_logistic, log_count_ratio
+from gustara.session import materialize
 
 MOST_ROWS_PER_LABEL = 2000
 # An n-gram is a feature if this many sampled texts hold it and its share of toxic ones differs
@@ -58,8 +59,7 @@ def fit_toxicity(
     id labelled twice with both values is learned as toxic. Without both labels the model scores
     every text with the share of toxic rows.
 
-    The driver receives distinct n-gram buckets only: at most ``2 * most_rows`` sets, each bounded
-    by the number of buckets, and their sizes follow the sampled texts.
+    N-grams are counted and chosen by Spark; the driver receives the chosen ones of the sample.
     """
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(
         F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id"))
@@ -82,21 +82,22 @@ def fit_toxicity(
         grams = Grams()
         return lambda texts: [[grams.of(t or "").astype(np.int32) for t in texts]]
 
-    rows = text_stage(sample, "__text", make, {"__grams": "array<int>"}, ["__id", "__label"]).toArrow()
-    by_id = np.argsort(rows["__id"].to_numpy(), kind="stable")
-    rows = rows.take(by_id)
-    label_of = rows["__label"].to_numpy().astype(np.int64)
-    lists = rows["__grams"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    columns = lists.flatten().to_numpy()
-    line = np.repeat(np.arange(label_of.size), sizes)
-    held = np.bincount(columns, minlength=1 << BITS)
-    expected = held * label_of.mean()
-    toxic = np.bincount(columns, label_of[line], 1 << BITS)
-    deviation = np.abs(toxic - expected) / np.sqrt(np.maximum(expected * (1 - label_of.mean()), 1e-9))
-    feature = (held >= LEAST_TEXTS) & (deviation >= LEAST_DEVIATION)
-    columns, line = columns[feature[columns]], line[feature[columns]]
-    used, columns = np.unique(columns, return_inverse=True)
+    rows = materialize(text_stage(sample, "__text", make, {"__grams": "array<int>"}, ["__id", "__label"]), "grams")
+    held = rows.select("__id", "__label", F.explode("__grams").alias("gram"))
+    mean = rows.agg(F.avg("__label")).first()[0]
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"), F.sum("__label").alias("toxic"))
+    deviation = F.abs(F.col("toxic") - F.col("n") * mean) / F.sqrt(F.col("n") * mean * (1 - mean))
+    features = materialize(counts.where((F.col("n") >= LEAST_TEXTS) & (deviation >= LEAST_DEVIATION)).select("gram"), "features")
+    # At most one row per bucket number.
+    pairs = held.join(F.broadcast(features), "gram").select("__id", "gram").toArrow()
+    texts = rows.select("__id", "__label").toArrow()
+    ids, label_of = texts["__id"].to_numpy(), texts["__label"].to_numpy().astype(np.int64)
+    by_id = np.argsort(ids, kind="stable")
+    ids, label_of = ids[by_id], label_of[by_id]
+    line = np.searchsorted(ids, pairs["__id"].to_numpy())
+    order = np.lexsort((pairs["gram"].to_numpy(), line))
+    line = line[order]
+    used, columns = np.unique(pairs["gram"].to_numpy()[order], return_inverse=True)
     ratio = log_count_ratio(columns, line, label_of, used.size, smoothing)
     weight = np.array([share[0] / max(1, (label_of == 0).sum()), share[1] / max(1, (label_of == 1).sum())])[label_of]
     fitted, bias = fit_logistic(columns, line, ratio, label_of, weight, penalty, rounds, rate)
