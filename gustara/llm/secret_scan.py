@@ -165,15 +165,16 @@ def scan_secrets(
     whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     kept = [c for c in (keep or docs.columns) if c in without(docs, ["secrets"])]
     clean = F.translate(whole, OPEN + MIDDLE + CLOSE, STAND_IN * 3)
-    rows = docs.select(*[F.col(quoted(c)) for c in kept], clean.alias("__clean"), F.col(quoted(doc_id)).alias("key"))
+    rows = docs.select(*[F.col(quoted(c)) for c in kept], clean.alias("__clean"), F.col(quoted(doc_id)).alias("__key"))
     # A row without an id has no posting to be found by: all rules scan it.
-    rows = beside_texts(rows, candidates(docs, F.col(quoted(doc_id)), whole, rules), "key", "left")
+    found = candidates(docs, F.col(quoted(doc_id)), whole, rules).withColumnsRenamed({"key": "__key", "kinds": "__kinds"})
+    rows = beside_texts(rows, found, "__key", "left")
     spans = []
     for rank, rule in enumerate(rules):
         if trigram_query(rule.pattern) is None:
             asked = F.col("__clean").rlike(rule.pattern)
         else:
-            asked = F.col("key").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            asked = F.col("__key").isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
         listed = F.when(asked, spans_of(F.col("__clean"), rule)).otherwise(F.lit(""))
 
         spans.append(F.transform(F.filter(F.split(listed, ","), lambda s: s != ""), entry_of(rank, rule.kind)))
