@@ -146,15 +146,19 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return self.count_all([text])[0]
 
+    def _one_to_one(self, text: str) -> str:
+        normal = self.normalize(text) if text else ""
+        if text and len(normal) != len(text) + 1:
+            raise ValueError("prefixes of this model's normalized text are not prefixes of the text")
+        return normal
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:p]`` for p = 0 .. len(text), each as the library encodes that prefix.
 
         Needs a normalizer that maps characters one to one behind one leading blank; a model with
         another one is refused.
         """
-        normal = self.normalize(text) if text else ""
-        if text and len(normal) != len(text) + 1:
-            raise ValueError("prefixes of this model's normalized text are not prefixes of the text")
+        normal = self._one_to_one(text)
         words = self.words.findall(normal)
         steps = {w: np.array(counts) for w, counts in self._solve(set(words))}
         counts, base = [np.zeros(1, np.int64)], 0
@@ -168,8 +172,23 @@ class PrefixCounter:
         return whole
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
-        return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+        """Characters of the longest prefix of at most ``budget`` tokens.
+
+        Every word has a token at least, so the cut lies in the word at whose end the budget is
+        reached: the stored counts of the words before it are added up, its own prefixes decide.
+        """
+        at = total = 0
+        found = (m.group() for m in self.words.finditer(self._one_to_one(text)))
+        while part := list(islice(found, 4096)):
+            self._learn(set(part))
+            for word in part:
+                upto = total + self._ends[word]
+                if upto >= budget:
+                    _, counts = next(self._solve([word]))
+                    inside = max(i for i, n in enumerate(counts) if total + n <= budget)
+                    return max(0, at + inside - 1)  # the leading blank is no character of the text
+                at, total = at + len(word), upto
+        return len(text)
 
 
 @functools.lru_cache(maxsize=2)

@@ -66,7 +66,10 @@ def test_token_counts_at_every_prefix(session):
     counter = token_counts.load(token_counts.model_path())
     for text in ODD[1:]:
         short = text[:120]
-        assert counter.prefix_counts(short).tolist() == [len(library.encode(short[:p])) for p in range(len(short) + 1)]
+        counts = [len(library.encode(short[:p])) for p in range(len(short) + 1)]
+        assert counter.prefix_counts(short).tolist() == counts
+        for budget in range(counts[-1] + 2):
+            assert counter.fit(short, budget) == max(p for p, n in enumerate(counts) if n <= budget)
     for row in token_counts.token_counts(frame(session, ODD), limit=50).collect():
         text = row["text"] or ""
         assert row["n_tokens"] == len(library.encode(text)) and row["n_bytes"] == len(text.encode())
