@@ -30,7 +30,8 @@ def generate(
     """Add ``full_response``, ``answer_text`` and ``error``.
 
     Only the prompt parts cross to Python. A batch that keeps failing is halved until the failing
-    rows stand alone, so one bad row costs its own ``error`` and a few more calls. ``concurrency`` sets the number of
+    rows stand alone, so one bad row costs its own ``error`` and a few more calls; an outage ends the
+    task after ``retry.give_up`` failed calls in a row. ``concurrency`` sets the number of
     tasks that call the provider at once. The call is marked non-deterministic so the planner
     never evaluates it twice; write the result once before reading it several times.
     """
@@ -55,21 +56,15 @@ def generate(
 
 
 def _answers(requests, provider, settings, retry, raise_errors) -> list[tuple[str | None, str | None]]:
-    if not requests:
-        return []
-    try:
-        texts = retry.call(lambda: _checked(provider, requests, settings))
-        return [(envelope(t), None) for t in texts]
-    except Exception as failure:  # noqa: BLE001 - isolate the failing rows below
-        if len(requests) == 1:
-            if raise_errors:
-                raise
-            return [(None, f"{type(failure).__name__}: {failure}")]
-    half = len(requests) // 2
-    return [
-        *_answers(requests[:half], provider, settings, retry, raise_errors),
-        *_answers(requests[half:], provider, settings, retry, raise_errors),
-    ]
+    def answer(part):
+        return [(envelope(t), None) for t in _checked(provider, part, settings)]
+
+    def failed(failure):
+        if raise_errors:
+            raise failure
+        return None, f"{type(failure).__name__}: {failure}"
+
+    return retry.isolate(requests, answer, failed)
 
 
 def _checked(provider: TextProvider, requests: list[list[str]], settings: dict) -> list[str]:
@@ -130,11 +125,4 @@ def embed_text(
 
 
 def _vectors(texts: list[str], provider: EmbeddingProvider, task_type: str, retry: Retry) -> list[np.ndarray]:
-    if not texts:
-        return []
-    try:
-        return list(retry.call(lambda: provider.embed(texts, task_type)))
-    except Exception:  # noqa: BLE001
-        if len(texts) == 1:
-            return [np.empty(0)]
-    return [_vectors([t], provider, task_type, retry)[0] for t in texts]
+    return retry.isolate(texts, lambda part: list(provider.embed(part, task_type)), lambda failure: np.empty(0))

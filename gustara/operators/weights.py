@@ -22,8 +22,9 @@ def _seconds(c: Column) -> Column:
 
 def age_norm(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Add ``age_norm``: 1 for the oldest row of the table, 0 for the newest; 1 if all are equal."""
-    oldest = df.agg(F.min(_seconds(F.col(ts))).alias("x")).scalar()
-    newest = df.agg(F.max(_seconds(F.col(ts))).alias("x")).scalar()
+    at = _seconds(F.col(ts))
+    edges = df.agg(F.struct(F.min(at).alias("oldest"), F.max(at).alias("newest")).alias("x")).scalar()
+    oldest, newest = edges["oldest"], edges["newest"]
     span = newest - oldest
     span = F.when(span == 0, F.lit(1.0)).otherwise(span)
     return df.withColumn("age_norm", 1.0 - (_seconds(F.col(ts)) - oldest) / span)
@@ -76,9 +77,13 @@ def _with_idf(entries: DataFrame) -> DataFrame:
     return attach(entries, per_user.select("user_id", idf.alias("_idf")), "user_id")
 
 
-def tfidf_weight(entries: DataFrame, value: str = "confidence", name: str = "tfidf") -> DataFrame:
-    """sqrt(value) * idf with items as documents and users as terms; repeats are own entries."""
-    return _with_idf(entries).withColumn(name, F.sqrt(value) * F.col("_idf")).drop("_idf")
+def tfidf_weight(entries: DataFrame, value: str = "confidence", name: str = "tfidf", keep_idf: bool = False) -> DataFrame:
+    """sqrt(value) * idf with items as documents and users as terms; repeats are own entries.
+
+    ``keep_idf`` leaves the column ``_idf`` for a BM25 weight of the same rows.
+    """
+    weighed = _with_idf(entries).withColumn(name, F.sqrt(value) * F.col("_idf"))
+    return weighed if keep_idf else weighed.drop("_idf")
 
 
 def bm25_weight(
@@ -91,13 +96,12 @@ def bm25_weight(
     """value * (k1 + 1) / (k1 * length + value) * idf, length = item sum over the mean item sum.
 
     Weights can be negative for a user with nearly every item; ALS then reads them as no
-    preference.
+    preference. A column ``_idf`` that the entries bring along is not computed again.
     """
+    entries = entries if "_idf" in entries.columns else _with_idf(entries)
     sums = entries.groupBy("item_id").agg(F.sum(value).alias("_sum"))
     mean = sums.agg(F.avg("_sum").alias("m")).scalar()
     lengths = sums.select("item_id", ((1.0 - b) + b * F.col("_sum") / mean).alias("_length"))
     v = F.col(value)
     weight = v * (k1 + 1.0) / (k1 * F.col("_length") + v) * F.col("_idf")
-    return (
-        attach(_with_idf(entries), lengths, "item_id").withColumn(name, weight).drop("_idf", "_length")
-    )
+    return attach(entries, lengths, "item_id").withColumn(name, weight).drop("_idf", "_length")

@@ -35,7 +35,7 @@ from gustara.providers.offline import HashingProvider, ListMatchProvider, Profil
 from gustara.schemas import ITEM_PROFILE, USER_PROFILE
 from gustara.session import materialize
 
-AT_ONCE = Retry(attempts=2, wait_seconds=0.0)
+AT_ONCE = Retry(attempts=2, wait_seconds=0.0, give_up=None)
 ITEM_COLUMNS = ("parsed_ingredients", "parsed_recipe", "percent_daily_values")
 
 
@@ -161,15 +161,20 @@ HYDE_CTES = {
 }
 
 
-@query("hyde_search", sql("train comments parsed", HYDE_SQL, **HYDE_CTES))
-def hyde(spark, sf):
-    split = stored_split(spark, sf)
+def hyde_lists(spark, sf, split):
     embedder = HashingProvider(DIM)
     base = materialize(embed_text(item_profiles(spark, sf).select("item_id", "item_profile_text"), "item_profile_text", embedder), "item-embeddings")
     users = user_profiles(spark, sf, split).select("user_id", "user_profile_text")
-    return _out(hyde_search(users, base, rules.HYDE_INSTRUCTION, rules.HYDE_PROVIDER, embedder, K))
+    return hyde_search(users, base, rules.HYDE_INSTRUCTION, rules.HYDE_PROVIDER, embedder, K)
+
+
+@query("hyde_search", sql("train comments parsed", HYDE_SQL, **HYDE_CTES))
+def hyde(spark, sf):
+    return _out(hyde_lists(spark, sf, stored_split(spark, sf)))
 
 
+HYDE_FOUND = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(distance, 9), item_id) AS rank FROM (
+  SELECT user_id, item_id, list_cosine_distance(h.v, b.v) AS distance FROM he h, ie b)) WHERE rank <= {K}"""
 RECALL_OUT = """SELECT user_id, n_truth, hit_count, hit_count > 0 AS hit, round(hit_count / CAST(n_truth AS DOUBLE), 6) AS hit_proportion FROM (
   SELECT n.user_id, count(t.item_id) AS hit_count, max(c.n) AS n_truth FROM {found} n LEFT JOIN truth t ON t.user_id = n.user_id AND t.item_id = n.item_id
   JOIN (SELECT user_id, count(*) AS n FROM truth GROUP BY user_id) c ON c.user_id = n.user_id GROUP BY n.user_id)"""
@@ -183,6 +188,13 @@ def recall(spark, sf):
     return recall_at_k(found, split.valid, K).withColumn("hit_proportion", r6("hit_proportion"))
 
 
+@query("hyde_recall", sql("train truth comments parsed", RECALL_OUT.format(found="found"), **HYDE_CTES, found=HYDE_FOUND))
+def hyde_recall(spark, sf):
+    """Share of future positives in the lists found by generated item descriptions, per user."""
+    split = stored_split(spark, sf)
+    return recall_at_k(hyde_lists(spark, sf, split), split.valid, K).withColumn("hit_proportion", r6("hit_proportion"))
+
+
 # ---- Judging -------------------------------------------------------------------------------
 
 

@@ -18,10 +18,12 @@ from gustara.operators.metrics import (
     graded_ndcg_at_k,
     hit_rate_at_k,
     ranking_metrics,
+    recall_at_k,
     results_table,
     users_at_most,
 )
 from gustara.operators.ranker import importance_order, rank_items, rank_model, score
+from gustara.operators.skew import attach
 from gustara.operators.vector_search import vector_search
 from gustara.operators.weights import (
     bm25_weight,
@@ -70,7 +72,7 @@ def indexed(spark, sf):
 
 @query("interaction_triples", sql("", "SELECT user_idx, item_idx, round(sum(rating), 6) AS value FROM lines JOIN u USING (user_id) JOIN i USING (item_id) GROUP BY 1, 2", **CODE_CTES))
 def triples(spark, sf):
-    rows = order_lines(spark, sf)
+    rows = materialize(order_lines(spark, sf), "order-lines")
     coded = encode(rows, index_ids(rows, "user_id", "user_idx"), index_ids(rows, "item_id", "item_idx"))
     return interaction_triples(coded, "rating").withColumn("value", r6("value"))
 
@@ -95,10 +97,17 @@ def tfidf(spark, sf):
 
 @query("bm25_weight", sql("train", "SELECT event_id, round(t * 101 / (100 * l + t) * idf, 6) AS bm25 FROM tf JOIN len USING (item_id)", **WEIGHTS))
 def bm25(spark, sf):
-    rows = materialize(tfidf_weight(weighted(spark, sf)), "tfidf")
+    rows = materialize(tfidf_weight(weighted(spark, sf), keep_idf=True), "tfidf")
     return bm25_weight(rows).select("event_id", r6("bm25").alias("bm25"))
 
 
+def weighted_als_lists(spark, sf, split):
+    """Unseen items per user by the factorisation of the confidence, TF-IDF and BM25 weights of the training split."""
+    entries = confidence(rating_with_age(split.train)).select("user_id", "item_id", "confidence")
+    rows = materialize(tfidf_weight(entries, keep_idf=True), "tfidf")
+    return als_recommend(als_fit(bm25_weight(rows), "bm25", max_iter=10), split.train, K)
+
+
 @query("als_fit")
 def fit(spark, sf):
     """Norm of every user's factors."""
@@ -131,6 +140,24 @@ def metrics_of_ranking(spark, sf):
     return row.withColumns({c: r6(c) for c in ("precision_at_k", "map_at_k", "ndcg_at_k")})
 
 
+@query("als_weighted_recommend")
+def recommend_weighted(spark, sf):
+    return weighted_als_lists(spark, sf, stored_split(spark, sf))
+
+
+@query("als_recall_at_k")
+def als_recall(spark, sf):
+    """Share of future positives in the lists of the weighted factorisation, per user."""
+    split = stored_split(spark, sf)
+    return recall_at_k(weighted_als_lists(spark, sf, split), split.valid, K)
+
+
+@query("als_ranking_metrics")
+def als_metrics(spark, sf):
+    split = stored_split(spark, sf)
+    return ranking_metrics(weighted_als_lists(spark, sf, split), split.valid, 5)
+
+
 def scored_pairs(spark, sf, rows):
     """One row per (user, item): best rating, and the item's community rating as the score."""
     pairs = rating_with_age(rows).groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"), F.max("rating_date").alias("rating_date"))
@@ -197,7 +224,7 @@ def ltr_matrix(spark, sf):
     users = user_features(split.train).withColumn("mean_aver_rate", r6("mean_aver_rate"))
     matrix = ranking_matrix(users, product_rows(spark, sf), rating_with_age(split.train))
     sizes = split.train.groupBy("user_id").agg(F.count("*").alias("group_size"))
-    return matrix.join(sizes, "user_id").withColumn("rating_date", r6("rating_date"))
+    return attach(matrix, sizes, "user_id").withColumn("rating_date", r6("rating_date"))
 
 
 @query(

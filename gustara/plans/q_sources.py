@@ -11,7 +11,7 @@ from gustara.plans.fixtures import flawed_vectors, interactions, items, raw_inte
 from gustara.plans.registry import query
 from gustara.schemas import RAW_INTERACTIONS
 from gustara.session import work_dir
-from gustara.sources.files import binary_manifest
+from gustara.sources.files import binary_manifest, write_files
 from gustara.sources.sql import register_functions, register_views
 from gustara.sources.tables import (
     create_namespace,
@@ -112,11 +112,18 @@ def add_column_update(spark, sf):
     return updated.select("vec_id", "label", F.array_join(scaled, " ").alias("micro"))
 
 
-@query("binary_file_manifest")
+@query(
+    "binary_file_manifest",
+    """SELECT CAST(page_id AS VARCHAR) AS id, 'store/pages/' || page_id || '.html' AS dst, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length
+       FROM pages WHERE page_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+)
 def binary_file_manifest(spark, sf):
-    """The given tables' own files, those named like a table the catalogue allows."""
-    allowed = spark.createDataFrame([("events",), ("part",), ("embeddings",), ("missing",)], "id string")
-    return binary_manifest(spark, sf, allowed, "store/images")
+    """Every page written as a file named by its id; then the files whose id another table lists."""
+    folder = _scratch(spark, "pages")
+    content = F.coalesce("html", F.lit("")).cast("binary")
+    write_files(table(spark, sf, "pages").select(F.col("page_id").cast("string"), content), folder, "html")
+    allowed = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return binary_manifest(spark, folder, allowed, "store/pages").select("id", "dst", "length")
 
 
 @query(

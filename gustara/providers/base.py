@@ -33,10 +33,15 @@ class EmbeddingProvider(Protocol):
 
 @dataclass(frozen=True)
 class Retry:
-    """Fixed wait between attempts; the last failure is kept."""
+    """Fixed wait between attempts; the last failure is kept.
+
+    ``give_up`` calls that fail one after the other, each with all its attempts, are an outage and
+    end the task; None never ends it.
+    """
 
     attempts: int = 5
     wait_seconds: float = 3.0
+    give_up: int | None = 100
 
     def call(self, fn: Callable[[], Answer]) -> Answer:
         for attempt in range(1, self.attempts + 1):
@@ -48,6 +53,25 @@ class Retry:
                 time.sleep(self.wait_seconds)
         raise ValueError("attempts must be at least 1")
 
+    def isolate(self, rows: list, answer: Callable[[list], list], failed: Callable[[Exception], Any]) -> list:
+        """One result per row: ``answer`` of batches that are halved while they fail, ``failed`` of rows that fail alone."""
+        pending, out, in_a_row = [rows] if rows else [], [], 0
+        while pending:
+            part = pending.pop()
+            try:
+                out += self.call(lambda: answer(part))
+                in_a_row = 0
+            except Exception as failure:  # noqa: BLE001
+                in_a_row += 1
+                if self.give_up is not None and in_a_row >= self.give_up:
+                    raise RuntimeError(f"{in_a_row} calls of the provider failed in a row") from failure
+                if len(part) == 1:
+                    out.append(failed(failure))
+                else:
+                    half = len(part) // 2
+                    pending += [part[half:], part[:half]]
+        return out
+
 
 @dataclass(frozen=True)
 class GenerationParams:

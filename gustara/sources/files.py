@@ -31,6 +31,19 @@ def binary_manifest(spark: SparkSession, folder: str, allowed: DataFrame, prefix
     return files.join(allowed.select(F.col(allowed.columns[0]).cast("string").alias("id")), "id", "left_semi")
 
 
+def write_files(rows: DataFrame, folder: str, ending: str) -> None:
+    """Write every (id, content) row as the file ``id`` with this ending below ``folder``, on the executors."""
+
+    def write_partition(part: Iterator[Row]) -> None:
+        target, path = fs.FileSystem.from_uri(_as_uri(folder))
+        target.create_dir(path, recursive=True)
+        for name, content in part:
+            with target.open_output_stream(f"{path}/{name}.{ending}") as out:
+                out.write(bytes(content))
+
+    rows.foreachPartition(write_partition)
+
+
 def copy_files(manifest: DataFrame) -> None:
     """Copy every manifest row, file by file, on the executors."""
 

@@ -114,6 +114,25 @@ def test_failing_embeddings_are_empty(spark):
     assert got == {0: [1.0, 1.0], 1: []}
 
 
+def test_an_outage_ends_the_call_and_bad_rows_do_not():
+    calls = []
+
+    def answer(part):
+        calls.append(len(part))
+        if "bad" in part:
+            raise ValueError("no")
+        return part
+
+    rows = ["x"] * 900 + ["bad"] + ["y"] * 99
+    quick = Retry(attempts=1, wait_seconds=0.0, give_up=12)
+    assert quick.isolate(rows, answer, lambda failure: None) == [None if r == "bad" else r for r in rows]
+    assert quick.isolate([], answer, lambda failure: None) == []
+    calls.clear()
+    with pytest.raises(RuntimeError, match="12 calls"):
+        quick.isolate(["bad"] * 1000, answer, lambda failure: None)
+    assert len(calls) == 12
+
+
 def judged_input(spark):
     liked, other = json.dumps({"food_type": "soup", "cuisine_type": "thai"}), json.dumps({"food_type": "cake"})
     taste = json.dumps({"food_preferences": ["soup"], "cuisine_preference": "thai"})
