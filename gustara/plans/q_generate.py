@@ -28,6 +28,7 @@ from gustara.plans.fixtures import (
     user_vectors,
 )
 from gustara.plans.q_functions import HISTORY_SQL, user_histories
+from gustara.plans.q_models import weighted_als_lists
 from gustara.plans.q_relational import RECALL, r6
 from gustara.plans.registry import query
 from gustara.providers.base import Retry
@@ -266,6 +267,22 @@ def judge_metrics(spark, sf):
     return metrics.withColumns({c: r6(c) for c in ("quality_score_vs", "quality_score_als")})
 
 
+@query("judge_als_metrics")
+def judge_als(spark, sf):
+    """Quality of the vector search beside the weighted factorisation, per user with lists of both."""
+    split = stored_split(spark, sf)
+    near = vector_search(item_vectors(spark, sf), user_vectors(spark, sf, split.users), K, exclude=split.train)
+    marked = [
+        found.select(F.lit(name).alias("model"), "user_id", "item_id", "rank")
+        for name, found in (("vs", near), ("als", weighted_als_lists(spark, sf, split)))
+    ]
+    rows = judge.recommendations_to_judge(
+        marked[0].unionByName(marked[1]), split.users, user_profiles(spark, sf, split), item_profiles(spark, sf)
+    )
+    judged = judge.judge_pointwise(rows, ProfileMatchProvider(), rules.POINTWISE_INSTRUCTION)
+    return judge.pointwise_metrics(materialize(judged, "judged"))
+
+
 @query(
     "judge_pairwise",
     sql(

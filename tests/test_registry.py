@@ -56,6 +56,8 @@ def test_lists_of_the_weighted_factorisation(spark, database):
     assert not set(found["user_id"] + " " + found["item_id"]) & {r[0] for r in seen}
     measures = queries["als_ranking_metrics"](spark, SF).first()
     assert all(0 <= measures[c] <= 1 for c in ("precision_at_k", "map_at_k", "ndcg_at_k"))
+    judged = queries["judge_als_metrics"](spark, SF).toPandas()
+    assert len(judged) > 0 and judged["quality_score_als"].between(0, 1).all() and judged["n_judged_als"].max() <= 20
     recall = queries["als_recall_at_k"](spark, SF).toPandas()
     assert set(recall["user_id"]) == set(found["user_id"]) and recall["hit_proportion"].between(0, 1).all()
 
