@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,6 +32,7 @@ BANDS, SKETCHES_PER_BAND, TAKEN = 20, 2, 2
 # K-mers of one side of a tile, and k-mer columns counted at once in it.
 TILE_KMERS, TILE_COLUMNS = 400_000, 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+MOST = np.uint64(2**64 - 1)
 WORD = re.compile(r"\w+")
 
 
@@ -56,7 +58,7 @@ class WordHashes:
         if len(self.known) > self.most:
             self.known.clear()
         for word in set(words).difference(self.known):
-            self.known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            self.known[word] = xxhash.xxh3_64_intdigest(word)
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
@@ -69,8 +71,10 @@ def kmers(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
     joined = np.zeros(count, np.uint64)
     for i in range(size):
         joined = mix(joined * MIX[2] + hashes[i : i + count])
+    same = np.sort(joined)
+    if (same[1:] != same[:-1]).all():
+        return mix(joined)
     order = np.argsort(joined, kind="stable")
-    same = joined[order]
     begins = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
     label = np.empty(count, np.uint64)
     label[order] = np.arange(count) - np.repeat(begins, np.diff(np.append(begins, count)))
@@ -81,17 +85,19 @@ def bands_of(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One bucket number per band of order sketches of labelled k-mers."""
     if not marks.size:
         return np.empty(0, np.int64)
-    seeds = mix(np.arange(1, bands * SKETCHES_PER_BAND + 1, dtype=np.uint64) * MIX[2])
-    taken = min(TAKEN, marks.size)
+    # Labelled k-mers are uniform 64-bit numbers already: times an odd number they are in a new random order.
+    seeds = mix(np.arange(1, bands * SKETCHES_PER_BAND + 1, dtype=np.uint64) * MIX[2]) | np.uint64(1)
+    taken, row = min(TAKEN, marks.size), np.arange(seeds.size)
     best = np.zeros((seeds.size, 0), np.uint64)
     places = np.zeros((seeds.size, 0), np.int64)
-    step = 1 << 13
+    step = 1 << 12
     for at in range(0, marks.size, step):
-        part = mix(marks[None, at : at + step] ^ seeds[:, None])
-        least = min(taken, part.shape[1])
-        near = np.argpartition(part, least - 1, axis=1)[:, :least]
-        best = np.hstack([best, np.take_along_axis(part, near, 1)])
-        places = np.hstack([places, near + at])
+        part = marks[None, at : at + step] * seeds[:, None]
+        for _ in range(min(taken, part.shape[1])):
+            near = part.argmin(axis=1)
+            best = np.hstack([best, part[row, near][:, None]])
+            places = np.hstack([places, near[:, None] + at])
+            part[row, near] = MOST
         if best.shape[1] > taken:
             stay = np.argsort(best, axis=1, kind="stable")[:, :taken]
             best, places = np.take_along_axis(best, stay, 1), np.take_along_axis(places, stay, 1)
