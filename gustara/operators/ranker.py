@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustara.operators.features import feature_columns
-from gustara.operators.ordering import competition_rank
+from gustara.operators.ordering import competition_rank, running_position
 from gustara.operators.skew import attach
 from gustara.session import materialize, work_dir
 
@@ -64,6 +64,27 @@ def rank_items(scored: DataFrame, items: DataFrame) -> DataFrame:
     return ranked.join(items.select("item_id", "title"), "item_id", "left")
 
 
+def review_rows(
+    scored: DataFrame, history: DataFrame, items: DataFrame, item_profiles: DataFrame, user_profiles: DataFrame
+) -> DataFrame:
+    """What users rated last and what the model puts first, with the profiles of both sides.
+
+    ``scored``: one row per (user_id, item_id) with rating, rating_date and score; ``history``: ranked
+    rows (user_id, rank, item_id, rating). Predictions are placed by score, then by ``rating_date``,
+    largest first, then by item id. Profiles are (item_id, item_profile_text) and (user_id,
+    user_profile_text), one row per id; missing ones and missing titles are NULL.
+    """
+    order = [("score", False), ("rating_date", False), ("item_id", True)]
+    placed = running_position(scored, ["user_id"], order, "position")
+    predicted = placed.select("user_id", F.lit("prediction").alias("part"), "position", "item_id", "rating", "score")
+    seen = history.select(
+        "user_id", F.lit("history").alias("part"), F.col("rank").cast("long").alias("position"), "item_id", "rating", F.lit(None).cast("double").alias("score")
+    )
+    rows = materialize(seen.unionByName(predicted), "review")
+    shown = attach(attach(rows, items.select("item_id", "title"), "item_id", "left"), item_profiles, "item_id", "left")
+    return attach(shown, user_profiles, "user_id", "left")
+
+
 def importance_order(ranker: Ranker, spark) -> DataFrame:
     """Feature importances, largest first; one row per feature."""
     rows = sorted(zip(ranker.features, ranker.model.featureImportances.toArray().tolist()), key=lambda r: (-r[1], r[0]))

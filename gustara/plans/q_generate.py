@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from gustara.functions.text import parse_items, prompt_parts
 from gustara.operators import catalog, judge
 from gustara.operators.generate import embed_text, generate, generate_profiles
+from gustara.operators.history import newest_rows
 from gustara.operators.hyde import hyde_search, semantic_search
-from gustara.operators.metrics import recall_at_k, recall_summary, users_at_least
+from gustara.operators.metrics import hit_rate_at_k, recall_at_k, recall_summary, users_at_least, users_at_most
+from gustara.operators.ranker import review_rows, score
 from gustara.operators.vector_search import vector_search
 from gustara.plans import rules
 from gustara.plans.fixtures import (
@@ -28,7 +30,7 @@ from gustara.plans.fixtures import (
     user_vectors,
 )
 from gustara.plans.q_functions import HISTORY_SQL, user_histories
-from gustara.plans.q_models import weighted_als_lists
+from gustara.plans.q_models import fitted_ranker, one_per_pair, weighted_als_lists
 from gustara.plans.q_relational import RECALL, r6
 from gustara.plans.registry import query
 from gustara.providers.base import Retry
@@ -356,3 +358,19 @@ def summary(spark, sf):
     found = vector_search(item_vectors(spark, sf), user_vectors(spark, sf, split.users), K, exclude=split.train)
     row = recall_summary(recall_at_k(found, split.valid, K))
     return row.withColumns({c: r6(c) for c in ("avg_hit_proportion", "std_hit_proportion")})
+
+
+@query("poor_user_review")
+def poor_user_review(spark, sf):
+    """Users the model serves badly: their newest history beside ranked predictions and truth, with all profiles."""
+    split, _, valid, ranker = fitted_ranker(spark, sf)
+    scored = materialize(one_per_pair(score(ranker, valid)), "scored")
+    poor = materialize(users_at_most(hit_rate_at_k(scored), 0.2, "hit_rate").select("user_id"), "poor")
+    history = newest_rows(split.train.join(poor, "user_id", "left_semi"), 5)
+    return review_rows(
+        scored.join(poor, "user_id", "left_semi"),
+        history,
+        items(spark, sf),
+        item_profiles(spark, sf).select("item_id", "item_profile_text"),
+        user_profiles(spark, sf, split).select("user_id", "user_profile_text"),
+    )

@@ -13,14 +13,12 @@ from gustara.operators.features import (
     require_same_users,
     user_features,
 )
-from gustara.operators.history import newest_rows
 from gustara.operators.metrics import (
     graded_ndcg_at_k,
     hit_rate_at_k,
     ranking_metrics,
     recall_at_k,
     results_table,
-    users_at_most,
 )
 from gustara.operators.ranker import importance_order, rank_items, rank_model, score
 from gustara.operators.skew import attach
@@ -280,19 +278,3 @@ def score_and_rank(spark, sf):
 def importances(spark, sf):
     _, _, _, ranker = fitted_ranker(spark, sf)
     return importance_order(ranker, spark)
-
-
-@query("poor_user_review")
-def poor_user_review(spark, sf):
-    """Users the model serves badly: their newest history beside ranked predictions and truth."""
-    split, _, valid, ranker = fitted_ranker(spark, sf)
-    scored = materialize(one_per_pair(score(ranker, valid)), "scored")
-    poor = users_at_most(hit_rate_at_k(scored), 0.2, "hit_rate").select("user_id")
-    ranked = rank_items(scored.join(poor, "user_id", "left_semi"), items(spark, sf))
-    history = newest_rows(split.train.join(poor, "user_id", "left_semi"), 5)
-    titles = items(spark, sf).select("item_id", "title")
-    seen = history.join(titles, "item_id", "left").select(
-        "user_id", F.lit("history").alias("part"), F.col("rank").cast("long").alias("position"), "item_id", "title", "rating", F.lit(None).cast("double").alias("score")
-    )
-    predicted = ranked.select("user_id", F.lit("prediction").alias("part"), F.col("score_rank").cast("long").alias("position"), "item_id", "title", "rating", "score")
-    return seen.unionByName(predicted)

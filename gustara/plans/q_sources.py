@@ -16,6 +16,7 @@ from gustara.sources.sql import register_functions, register_views
 from gustara.sources.tables import (
     create_namespace,
     enrich_table,
+    publish_table,
     read_csv,
     read_table,
     replace_table,
@@ -66,12 +67,13 @@ def scan_projected(spark, sf):
     sql("interactions", "SELECT user_id, item_id, rating, CAST(CASE WHEN rating >= 3 THEN 1 ELSE 0 END AS BIGINT) AS positive, event_id FROM interactions"),
 )
 def sink_replace(spark, sf):
-    """The second write replaces the table it reads."""
-    path = _scratch(spark, "replace")
-    replace_table(interactions(spark, sf).select("user_id", "item_id", "rating", "event_id"), path)
-    marked = read_table(spark, path).withColumn("positive", F.when(F.col("rating") >= 3, 1).otherwise(0).cast("long"))
-    replace_table(marked, path)
-    return read_table(spark, path)
+    """The second write replaces the table it reads, under a name that always shows a whole version."""
+    create_namespace(spark, "gustara_store")
+    name, folder = f"gustara_store.replaced_{uuid.uuid4().hex}", _scratch(spark, "replace")
+    publish_table(interactions(spark, sf).select("user_id", "item_id", "rating", "event_id"), name, folder)
+    marked = read_table(spark, name).withColumn("positive", F.when(F.col("rating") >= 3, 1).otherwise(0).cast("long"))
+    publish_table(marked, name, folder)
+    return read_table(spark, name)
 
 
 @query(

@@ -49,21 +49,42 @@ def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = N
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace a parquet table, also when ``df`` reads the table itself.
 
-    The new version is complete in a sibling folder before the old one goes.
+    The new version is complete in a sibling folder before the old one is moved aside, and the old
+    one is moved back if the new one cannot take its place. Between the two moves readers of the path
+    find nothing: readers that must not wait use a name that ``publish_table`` sets.
     """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(staged)
     jvm = spark.sparkContext._jvm
-    target, source = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
+    target, source, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, f"{staged}-old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside; the new version is complete in {staged}")
     if not fs.rename(source, target):
+        if replaced:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staged} to {path}; the new version is complete in the former")
+    if replaced:
+        fs.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 
+def publish_table(df: DataFrame, name: str, folder: str) -> str:
+    """Write ``df`` as a new version below ``folder`` and let the catalogue name ``name`` show it.
+
+    ``df`` may read ``name`` itself and have other columns. The name is a view that changes in one
+    step, so a reader sees the old or the new version, never none. Older versions stay for readers that
+    have begun; delete their folders when none is left. Returns the new version's folder.
+    """
+    spark = df.sparkSession
+    version = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{version}`")
+    return version
+
+
 def enrich_table(spark: SparkSession, path: str, extra: DataFrame, on: str) -> None:
     """Add columns to a table by a left join and replace it."""
     replace_table(read_table(spark, path).join(extra, on, "left"), path)

@@ -13,7 +13,7 @@ from gustara.operators import metrics as M
 from gustara.operators import weights as WT
 from gustara.operators.als import als_fit, als_recommend, unknown_users
 from gustara.operators.features import item_features, ranking_matrix, require_same_users, user_features
-from gustara.operators.ranker import importance_order, rank_items, rank_model, score
+from gustara.operators.ranker import importance_order, rank_items, rank_model, review_rows, score
 
 RECS = "user_id string, item_id string, rank int"
 PAIRS = "user_id string, item_id string"
@@ -180,3 +180,21 @@ def test_ranker_learns_the_order(spark):
     require_same_users(ratings, ratings)
     with pytest.raises(ValueError, match="different number"):
         require_same_users(ratings, ratings.where("user_id = 'u1'"))
+
+
+def test_review_places_ties_by_date_and_carries_profiles(spark):
+    scored = spark.createDataFrame(
+        [("u", "a", 1.0, 1.0, 0.5), ("u", "b", 2.0, 2.0, 0.5), ("u", "c", 3.0, 2.0, 0.5), ("u", "d", 4.0, 0.0, 0.9), ("v", "a", 1.0, 1.0, 0.1)], SCORED
+    )
+    history = spark.createDataFrame([("u", 1, "z", 5.0), ("u", 2, "a", 4.0)], "user_id string, rank int, item_id string, rating double")
+    titles = spark.createDataFrame([("a", "A"), ("d", None)], "item_id string, title string")
+    of_items = spark.createDataFrame([("a", "pa"), ("z", "pz")], "item_id string, item_profile_text string")
+    of_users = spark.createDataFrame([("u", "pu")], "user_id string, user_profile_text string")
+    got = review_rows(scored, history, titles, of_items, of_users).orderBy("user_id", "part", "position").collect()
+    assert [(r["user_id"], r["part"], r["position"], r["item_id"]) for r in got] == [
+        ("u", "history", 1, "z"), ("u", "history", 2, "a"),
+        ("u", "prediction", 1, "d"), ("u", "prediction", 2, "b"), ("u", "prediction", 3, "c"), ("u", "prediction", 4, "a"),
+        ("v", "prediction", 1, "a"),
+    ]
+    assert [r["item_profile_text"] for r in got] == ["pz", "pa", None, None, None, "pa", "pa"]
+    assert [r["user_profile_text"] for r in got] == ["pu"] * 6 + [None] and got[1]["title"] == "A"

@@ -121,6 +121,16 @@ def test_table_replaces_itself(spark, rows, tmp_path):
     assert os.listdir(tmp_path) == ["t"]
 
 
+def test_published_table_changes_in_one_step(spark, rows, tmp_path):
+    name, folder = "published_rows", str(tmp_path / "versions")
+    first = T.publish_table(spark.createDataFrame([(1, "a")], "k int, v string"), name, folder)
+    begun = T.read_table(spark, name)
+    second = T.publish_table(begun.withColumn("n", F.lit(2)), name, folder)
+    assert rows(T.read_table(spark, name)) == [(1, "a", 2)] and rows(begun) == [(1, "a")]
+    assert sorted(os.listdir(folder)) == sorted(os.path.basename(p) for p in (first, second))
+    spark.sql(f"DROP VIEW {name}")
+
+
 def test_materialize_reads_back_the_same(spark, rows):
     df = spark.createDataFrame([(1, [1.0], None)], "a int, b array<double>, c string")
     kept = materialize(df, "x")
