@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustara.llm import (
+    ball_kmeans,
     byte_bpe,
     decontaminate,
     embedding_dedup,
@@ -20,6 +22,7 @@ from gustara.llm import (
     warc,
 )
 from gustara.llm.common import prepare, table
+from gustara.operators.skew import attach
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,3 +190,66 @@ def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_pages(table(spark, sf_dir, "pages"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _ball_oracle(rounds: int = 4) -> str:
+    """Plain k-means on the same integers: every part against every entry, ties to the lower index."""
+    steps = [
+        """
+        WITH kept AS (
+          SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+          FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+          SELECT r, p, list_slice(x, p * len(x) // 4 + 1, (p + 1) * len(x) // 4) AS v FROM kept, range(4) AS g(p)
+        ), chosen AS (
+          SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS entry FROM kept ORDER BY entry LIMIT 256
+        ), book0 AS (
+          SELECT p, entry, v FROM parts JOIN chosen USING (r)
+        )"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        near{n} AS (
+          SELECT a.r, a.p, min(CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(a.v AS DOUBLE[])) + list_inner_product(CAST(b.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))
+                                    - 2 * list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) * 256 + b.entry) AS found
+          FROM parts a JOIN book{n} b USING (p) GROUP BY a.r, a.p
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        cells{n} AS (
+          SELECT p, found % 256 AS entry, i, sum(v[i]) AS s, count(*) AS n
+          FROM near{n} JOIN parts USING (r, p), unnest(generate_series(1, len(v))) AS g(i) GROUP BY ALL
+        ), moved{n} AS (
+          SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM cells{n} GROUP BY ALL
+        ), book{n + 1} AS (
+          SELECT p, entry, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN moved{n} m USING (p, entry)
+        )""")
+    return (
+        ",".join(steps)
+        + f"""
+        , coded AS (
+          SELECT r, string_agg(printf('%02x', found % 256), '' ORDER BY p) AS code, CAST(sum(found // 256) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+        ), digest AS (
+          SELECT sha256(string_agg(CAST(v[i] AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256
+          FROM book{rounds}, unnest(generate_series(1, len(v))) AS g(i)
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (r), digest"""
+    )
+
+
+@query("op11_ball_kmeans", _ball_oracle())
+def ball_kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = ball_kmeans.compress_vectors(table(spark, sf_dir, "embeddings"))
+    label = [F.col("label").isNull().alias("no_label"), F.coalesce("label", F.lit(0)).alias("label")]
+    rows = coded.select("id", "codes", "error", *label)
+    errors = rows.groupBy("no_label", "label").agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256(",".join(map(str, books.numbers())).encode()).hexdigest()
+    return attach(rows, errors, ["no_label", "label"]).select(
+        F.col("id").alias("vec_id"),
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
