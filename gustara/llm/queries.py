@@ -16,6 +16,7 @@ from gustara.llm import (
     language_id,
     line_dedup,
     order_minhash,
+    piecewise_hash,
     secret_scan,
     token_counts,
     toxicity,
@@ -253,3 +254,8 @@ def ball_kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_error",
         F.lit(digest).alias("codebooks_sha256"),
     )
+
+
+@query("op12_piecewise_hash")
+def piecewise_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
