@@ -14,6 +14,7 @@ from gustara.llm import (
     decontaminate,
     embedding_dedup,
     language_id,
+    lexical_search,
     line_dedup,
     order_minhash,
     piecewise_hash,
@@ -259,3 +260,34 @@ def ball_kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_piecewise_hash")
 def piecewise_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH said AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+    ), tf AS (
+      SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM said GROUP BY ALL
+    ), lengths AS (
+      SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY ALL
+    ), corpus AS (
+      SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+    ), asked AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ), weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM tf, corpus GROUP BY term
+    ), scores AS (
+      SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+      FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
