@@ -13,6 +13,7 @@ from gustara.operators.history import newest_rows
 from gustara.operators.hyde import hyde_search, semantic_search
 from gustara.operators.metrics import hit_rate_at_k, recall_at_k, recall_summary, users_at_least, users_at_most
 from gustara.operators.ranker import review_rows, score
+from gustara.operators.vector_index import build_index, search_index
 from gustara.operators.vector_search import vector_search
 from gustara.plans import rules
 from gustara.plans.fixtures import (
@@ -123,10 +124,18 @@ def _out(found):
     return found.select("user_id", "item_id", F.col("rank").cast("long").alias("rank"), r6("distance").alias("distance"))
 
 
-@query("vector_search", sql("near", NEAR_OUT + "near"))
+@query(
+    "vector_search",
+    sql(
+        "item_vec",
+        f"""{NEAR_OUT}(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(distance, 9), item_id) AS rank FROM
+        (SELECT u.item_id AS user_id, i.item_id, list_cosine_distance(u.v, i.v) AS distance FROM item_vec u, item_vec i)) WHERE rank <= {K}""",
+    ),
+)
 def search(spark, sf):
-    split = stored_split(spark, sf)
-    return _out(vector_search(item_vectors(spark, sf), user_vectors(spark, sf, split.users), K))
+    """Every stored vector as a query, by the pruning index; flawed vectors are checked by ``valid_vector_filter``."""
+    base = item_vectors(spark, sf)
+    return _out(search_index(build_index(base), base.withColumnRenamed("item_id", "user_id"), K))
 
 
 @query("vector_search_exclude", sql("near_unseen", NEAR_OUT + "near_unseen"))
