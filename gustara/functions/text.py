@@ -242,24 +242,22 @@ def user_prompt_text(
     )
 
 
-def vs_goes_first(user_id: Column | str, seed: int) -> Column:
-    """Seeded A/B order: true when the vector-search list is shown as list A."""
+def first_is_a(user_id: Column | str, seed: int) -> Column:
+    """Seeded A/B order: true when the list of the first model is shown as list A."""
     key = F.concat(F.col(user_id) if isinstance(user_id, str) else user_id, F.lit(f":{seed}"))
     return F.instr(F.lit("02468ace"), F.substring(F.md5(key), 1, 1)) > 0
 
 
-def pair_prompt(pairs: DataFrame, seed: int = 0) -> DataFrame:
+def pair_prompt(pairs: DataFrame, seed: int = 0, models: tuple[str, str] = ("first", "second")) -> DataFrame:
     """Add ``model_a``, ``model_b`` and ``comparison_prompt`` to paired lists.
 
-    ``pairs``: (user_id, user_profile_text, title_vs[], item_profile_text_vs[], title_als[],
-    item_profile_text_als[]). Ranks start at 0; a list ends with its shorter column.
+    ``pairs``: user_id, user_profile_text and, per model of ``models``, the arrays ``title_<model>`` and
+    ``item_profile_text_<model>``. Ranks start at 0; a list ends with its shorter column.
     """
-    first = vs_goes_first("user_id", seed)
-    lists = {
-        m: _list_body(F.col(f"title_{m}"), F.col(f"item_profile_text_{m}")) for m in ("vs", "als")
-    }
-    in_a = F.when(first, lists["vs"]).otherwise(lists["als"])
-    in_b = F.when(first, lists["als"]).otherwise(lists["vs"])
+    first, (one, two) = first_is_a("user_id", seed), models
+    lists = {m: _list_body(F.col(f"title_{m}"), F.col(f"item_profile_text_{m}")) for m in models}
+    in_a = F.when(first, lists[one]).otherwise(lists[two])
+    in_b = F.when(first, lists[two]).otherwise(lists[one])
     prompt = F.concat(
         F.lit("USER PROFILE:\n"), F.coalesce("user_profile_text", F.lit("")), F.lit(COMPARE_LINE),
         *[
@@ -274,8 +272,8 @@ def pair_prompt(pairs: DataFrame, seed: int = 0) -> DataFrame:
     )
     return pairs.withColumns(
         {
-            "model_a": F.when(first, F.lit("vs")).otherwise(F.lit("als")),
-            "model_b": F.when(first, F.lit("als")).otherwise(F.lit("vs")),
+            "model_a": F.when(first, F.lit(one)).otherwise(F.lit(two)),
+            "model_b": F.when(first, F.lit(two)).otherwise(F.lit(one)),
             "comparison_prompt": prompt,
         }
     )

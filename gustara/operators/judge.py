@@ -11,7 +11,8 @@ from gustara.operators.generate import generate
 from gustara.providers.base import GenerationParams, TextProvider
 from gustara.schemas import PAIRWISE_JUDGEMENT, POINTWISE_JUDGEMENT
 
-MODELS = ("vs", "als")
+# Names of the two models, as in the column ``model``: a parameter of everything that compares them.
+MODELS = ("first", "second")
 POINTWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=None, max_output_tokens=4096)
 PAIRWISE_PARAMS = GenerationParams(temperature=0.0, thinking_budget=2048, max_output_tokens=4096)
 
@@ -61,23 +62,23 @@ def negative_verdicts(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("verdict")).select("model", "user_id", "item_id", "justification")
 
 
-def pointwise_metrics(judged: DataFrame) -> DataFrame:
+def pointwise_metrics(judged: DataFrame, models: tuple[str, str] = MODELS) -> DataFrame:
     """Quality score per user of both models side by side (users with both only), in one pass."""
     measures = []
-    for m in MODELS:
+    for m in models:
         mine = F.col("model") == m
         measures += [
             F.count_if(mine & F.col("verdict")).alias(f"n_liked_{m}"),
             F.count(F.when(mine, F.col("item_id"))).alias(f"n_judged_{m}"),
         ]
     both = judged.groupBy("user_id").agg(*measures)
-    both = both.where(F.least(*[f"n_judged_{m}" for m in MODELS]) > 0)
+    both = both.where(F.least(*[f"n_judged_{m}" for m in models]) > 0)
     return both.withColumns(
-        {f"quality_score_{m}": F.try_divide(F.col(f"n_liked_{m}"), F.col(f"n_judged_{m}")) for m in MODELS}
+        {f"quality_score_{m}": F.try_divide(F.col(f"n_liked_{m}"), F.col(f"n_judged_{m}")) for m in models}
     )
 
 
-def paired_lists(rows: DataFrame, k: int = 20) -> DataFrame:
+def paired_lists(rows: DataFrame, k: int = 20, models: tuple[str, str] = MODELS) -> DataFrame:
     """One row per user with both models' ranked lists of at most ``k`` items, in one pass.
 
     Users without a list from one of the models are left out.
@@ -85,12 +86,12 @@ def paired_lists(rows: DataFrame, k: int = 20) -> DataFrame:
     columns = ("item_id", "title", "item_profile_text")
     record = F.struct("rank", *columns)
     lists = rows.where(F.col("rank") <= k).groupBy("user_id").agg(
-        F.max(F.when(F.col("model") == "vs", F.col("user_profile_text"))).alias("user_profile_text"),
-        *[F.array_sort(F.collect_list(F.when(F.col("model") == m, record))).alias(f"_{m}") for m in MODELS],
+        F.max(F.when(F.col("model").isin(*models), F.col("user_profile_text"))).alias("user_profile_text"),
+        *[F.array_sort(F.collect_list(F.when(F.col("model") == m, record))).alias(f"_{m}") for m in models],
     )
-    paired = lists.where((F.size("_vs") > 0) & (F.size("_als") > 0))
+    paired = lists.where(F.least(*[F.size(f"_{m}") for m in models]) > 0)
     return paired.select(
-        "user_id", "user_profile_text", *[F.col(f"_{m}.{c}").alias(f"{c}_{m}") for m in MODELS for c in columns]
+        "user_id", "user_profile_text", *[F.col(f"_{m}.{c}").alias(f"{c}_{m}") for m in models for c in columns]
     )
 
 
@@ -101,13 +102,14 @@ def judge_pairwise(
     seed: int = 0,
     k: int = 20,
     params: GenerationParams = PAIRWISE_PARAMS,
+    models: tuple[str, str] = MODELS,
     **options,
 ) -> DataFrame:
     """Per user the model whose list was preferred.
 
     Lists are shown in a seeded order. Only A and B are answers; anything else selects nobody.
     """
-    prompts = pair_prompt(paired_lists(rows, k), seed).select("user_id", "model_a", "model_b", "comparison_prompt")
+    prompts = pair_prompt(paired_lists(rows, k, models), seed, models).select("user_id", "model_a", "model_b", "comparison_prompt")
     judged = generate(prompts, prompt_parts(instruction, "comparison_prompt"), provider, params, **options)
     answer = parse_answer("answer_text", PAIRWISE_JUDGEMENT)
     picked = judged.withColumn("_answer", answer)

@@ -341,11 +341,11 @@ def profile_prompts(spark, sf):
 
 @query(
     "ab_permutation",
-    f"SELECT c_custkey, instr('02468ace', substr(md5(CAST(c_custkey AS VARCHAR) || ':{SEED}'), 1, 1)) > 0 AS vs_first FROM customer",
+    f"SELECT c_custkey, instr('02468ace', substr(md5(CAST(c_custkey AS VARCHAR) || ':{SEED}'), 1, 1)) > 0 AS first_is_a FROM customer",
 )
 def ab_permutation(spark, sf):
     users = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("user_id"))
-    return users.select("c_custkey", X.vs_goes_first("user_id", SEED).alias("vs_first"))
+    return users.select("c_custkey", X.first_is_a("user_id", SEED).alias("first_is_a"))
 
 
 def _prompt_list(cte: str) -> str:
@@ -356,7 +356,7 @@ def _prompt_list(cte: str) -> str:
 
 
 _MARK = "=" * 23
-PAIR_SQL = f"""SELECT user_id, CASE WHEN first THEN 'vs' ELSE 'als' END AS model_a, CASE WHEN first THEN 'als' ELSE 'vs' END AS model_b,
+PAIR_SQL = f"""SELECT user_id, CASE WHEN first THEN 'first' ELSE 'second' END AS model_a, CASE WHEN first THEN 'second' ELSE 'first' END AS model_b,
   'USER PROFILE:' || chr(10) || 'likes ' || user_id || 'Compare the two lists of recommended recipes below and determine which list better aligns with the user''s profile and preferences.' || chr(10) || chr(10)
   || chr(10) || '{_MARK} BEGIN LIST of MODEL A {_MARK}' || chr(10) || CASE WHEN first THEN v ELSE a END || chr(10) || '{_MARK} END LIST {_MARK}' || chr(10)
   || chr(10) || '{_MARK} BEGIN LIST of MODEL B {_MARK}' || chr(10) || CASE WHEN first THEN a ELSE v END || chr(10) || '{_MARK} END LIST {_MARK}' || chr(10) AS comparison_prompt
@@ -380,7 +380,7 @@ def pair_prompt(spark, sf):
         found = _unseen(spark, sf, split, offset).join(parsed, "item_id", "left")
         lists.append(R.group_list(found, "user_id", ["title", "item_profile_text"], K))
     lists[0] = lists[0].withColumn("user_profile_text", F.concat(F.lit("likes "), "user_id"))
-    pairs = R.join_with_suffixes(*lists, ["user_id"], ("_vs", "_als"))
+    pairs = R.join_with_suffixes(*lists, ["user_id"], ("_first", "_second"))
     return X.pair_prompt(pairs, SEED).select("user_id", "model_a", "model_b", "comparison_prompt")
 
 

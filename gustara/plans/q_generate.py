@@ -211,20 +211,23 @@ def hyde_recall(spark, sf):
 
 
 def two_models(spark, sf, split):
-    """Both recommendation lists, marked by model, and the first model's recall per user."""
+    """Two vector searches with different user vectors as two models, so that SQL can give the same rows.
+
+    ``judge_als_*`` compare the search with the factorisation.
+    """
     base = item_vectors(spark, sf)
     lists = [
         vector_search(base, user_vectors(spark, sf, split.users, offset), K, exclude=split.train)
         for offset in (USER_VECTOR_OFFSET, SECOND_VECTOR_OFFSET)
     ]
-    marked = [found.select(F.lit(m).alias("model"), "user_id", "item_id", "rank") for m, found in zip(("vs", "als"), lists)]
+    marked = [found.select(F.lit(m).alias("model"), "user_id", "item_id", "rank") for m, found in zip(("first", "second"), lists)]
     return materialize(marked[0].unionByName(marked[1]), "two-models")
 
 
 def to_judge(spark, sf, threshold=0.05):
     split = stored_split(spark, sf)
     both = two_models(spark, sf, split)
-    per_user = recall_at_k(both.where(F.col("model") == "vs"), split.valid, K)
+    per_user = recall_at_k(both.where(F.col("model") == "first"), split.valid, K)
     chosen = users_at_least(per_user, threshold).select("user_id")
     rows = judge.recommendations_to_judge(both, chosen, user_profiles(spark, sf, split), item_profiles(spark, sf))
     return materialize(rows, "to-judge")
@@ -238,7 +241,7 @@ JUDGE_CTES = {
     "recall": RECALL,
     "rows_": """SELECT m.*, ip.title, up.user_profile_text, ip.item_profile_text, coalesce(contains(',' || up.food_preferences || ',', ',' || ip.food_type || ','), false) AS verdict,
       CASE WHEN ip.cuisine_type = up.cuisine_preference THEN 'high' ELSE 'low' END AS confidence
-      FROM (SELECT 'vs' AS model, user_id, item_id, rank FROM near_unseen UNION ALL SELECT 'als', user_id, item_id, rank FROM near_second) m
+      FROM (SELECT 'first' AS model, user_id, item_id, rank FROM near_unseen UNION ALL SELECT 'second', user_id, item_id, rank FROM near_second) m
       LEFT JOIN up USING (user_id) LEFT JOIN ip USING (item_id) WHERE user_id IN (SELECT user_id FROM recall WHERE hit_proportion >= 0.05)""",
 }
 
@@ -267,31 +270,44 @@ def negative_verdicts(spark, sf):
     "judge_pointwise_metrics",
     sql(
         JUDGE_VIEWS,
-        """SELECT user_id, v.l AS n_liked_vs, v.n AS n_judged_vs, round(v.l / CAST(v.n AS DOUBLE), 6) AS quality_score_vs, a.l AS n_liked_als, a.n AS n_judged_als, round(a.l / CAST(a.n AS DOUBLE), 6) AS quality_score_als
-        FROM (SELECT user_id, count(*) FILTER (WHERE verdict) AS l, count(*) AS n FROM rows_ WHERE model = 'vs' GROUP BY 1) v
-        JOIN (SELECT user_id, count(*) FILTER (WHERE verdict) AS l, count(*) AS n FROM rows_ WHERE model = 'als' GROUP BY 1) a USING (user_id)""",
+        """SELECT user_id, v.l AS n_liked_first, v.n AS n_judged_first, round(v.l / CAST(v.n AS DOUBLE), 6) AS quality_score_first, a.l AS n_liked_second, a.n AS n_judged_second, round(a.l / CAST(a.n AS DOUBLE), 6) AS quality_score_second
+        FROM (SELECT user_id, count(*) FILTER (WHERE verdict) AS l, count(*) AS n FROM rows_ WHERE model = 'first' GROUP BY 1) v
+        JOIN (SELECT user_id, count(*) FILTER (WHERE verdict) AS l, count(*) AS n FROM rows_ WHERE model = 'second' GROUP BY 1) a USING (user_id)""",
         **JUDGE_CTES,
     ),
 )
 def judge_metrics(spark, sf):
     metrics = judge.pointwise_metrics(judged_rows(spark, sf))
-    return metrics.withColumns({c: r6(c) for c in ("quality_score_vs", "quality_score_als")})
+    return metrics.withColumns({c: r6(c) for c in ("quality_score_first", "quality_score_second")})
 
 
-@query("judge_als_metrics")
-def judge_als(spark, sf):
-    """Quality of the vector search beside the weighted factorisation, per user with lists of both."""
+REAL_MODELS = ("vs", "als")
+
+
+def als_to_judge(spark, sf):
+    """Lists of the vector search beside those of the weighted factorisation, with the profiles of both sides."""
     split = stored_split(spark, sf)
     near = vector_search(item_vectors(spark, sf), user_vectors(spark, sf, split.users), K, exclude=split.train)
-    marked = [
-        found.select(F.lit(name).alias("model"), "user_id", "item_id", "rank")
-        for name, found in (("vs", near), ("als", weighted_als_lists(spark, sf, split)))
-    ]
+    lists = zip(REAL_MODELS, (near, weighted_als_lists(spark, sf, split)))
+    marked = [found.select(F.lit(name).alias("model"), "user_id", "item_id", "rank") for name, found in lists]
     rows = judge.recommendations_to_judge(
         marked[0].unionByName(marked[1]), split.users, user_profiles(spark, sf, split), item_profiles(spark, sf)
     )
-    judged = judge.judge_pointwise(rows, ProfileMatchProvider(), rules.POINTWISE_INSTRUCTION)
-    return judge.pointwise_metrics(materialize(judged, "judged"))
+    return materialize(rows, "to-judge")
+
+
+@query("judge_als_metrics")
+def judge_als(spark, sf):
+    """Quality of both models per user with lists of both."""
+    judged = judge.judge_pointwise(als_to_judge(spark, sf), ProfileMatchProvider(), rules.POINTWISE_INSTRUCTION)
+    return judge.pointwise_metrics(materialize(judged, "judged"), REAL_MODELS)
+
+
+@query("judge_als_pairwise")
+def judge_als_pairwise(spark, sf):
+    """Per user the model whose list was preferred, the second one being the weighted factorisation."""
+    rows = judge.judge_pairwise(als_to_judge(spark, sf), ListMatchProvider(), rules.PAIRWISE_INSTRUCTION, SEED, K, models=REAL_MODELS)
+    return rows.drop("error")
 
 
 @query(
@@ -300,8 +316,8 @@ def judge_als(spark, sf):
         JUDGE_VIEWS,
         """SELECT user_id, model_a, model_b, CASE WHEN b > a THEN 'B' ELSE 'A' END AS preferred_model, CASE WHEN b > a THEN model_b ELSE model_a END AS model_selected,
           CASE WHEN abs(a - b) >= 3 THEN 'high' ELSE 'low' END AS confidence, a || ' against ' || b || ' matching items' AS justification
-        FROM (SELECT user_id, CASE WHEN f THEN 'vs' ELSE 'als' END AS model_a, CASE WHEN f THEN 'als' ELSE 'vs' END AS model_b, CASE WHEN f THEN v ELSE s END AS a, CASE WHEN f THEN s ELSE v END AS b
-          FROM (SELECT user_id, count(*) FILTER (WHERE verdict AND model = 'vs') AS v, count(*) FILTER (WHERE verdict AND model = 'als') AS s,
+        FROM (SELECT user_id, CASE WHEN f THEN 'first' ELSE 'second' END AS model_a, CASE WHEN f THEN 'second' ELSE 'first' END AS model_b, CASE WHEN f THEN v ELSE s END AS a, CASE WHEN f THEN s ELSE v END AS b
+          FROM (SELECT user_id, count(*) FILTER (WHERE verdict AND model = 'first') AS v, count(*) FILTER (WHERE verdict AND model = 'second') AS s,
                 instr('02468ace', substr(md5(user_id || ':""" + str(SEED) + """'), 1, 1)) > 0 AS f FROM rows_ GROUP BY user_id))""",
         **JUDGE_CTES,
     ),

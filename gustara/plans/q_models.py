@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gustara.functions.text import nutrition_numeric
@@ -23,6 +25,7 @@ from gustara.operators.metrics import (
 from gustara.operators.ranker import importance_order, rank_items, rank_model, score
 from gustara.operators.skew import attach
 from gustara.operators.vector_search import vector_search
+from gustara.operators.weighted_als import fold_in, weighted_als_fit
 from gustara.operators.weights import (
     bm25_weight,
     confidence,
@@ -103,7 +106,7 @@ def weighted_als_lists(spark, sf, split):
     """Unseen items per user by the factorisation of the confidence, TF-IDF and BM25 weights of the training split."""
     entries = confidence(rating_with_age(split.train)).select("user_id", "item_id", "confidence")
     rows = materialize(tfidf_weight(entries, keep_idf=True), "tfidf")
-    return als_recommend(als_fit(bm25_weight(rows), "bm25", max_iter=10), split.train, K)
+    return als_recommend(weighted_als_fit(bm25_weight(rows), "bm25", iterations=10), split.train, K)
 
 
 @query("als_fit")
@@ -143,6 +146,18 @@ def recommend_weighted(spark, sf):
     return weighted_als_lists(spark, sf, stored_split(spark, sf))
 
 
+@query("als_fold_in")
+def recommend_folded(spark, sf):
+    """Lists of validation users by factors solved from their validation rows alone, on the training items.
+
+    The items a user has met there are left out, as for a user of the fit.
+    """
+    split = stored_split(spark, sf)
+    fitted = weighted_als_fit(split.train, iterations=5)
+    folded = replace(fitted, users=fold_in(fitted, split.valid))
+    return als_recommend(folded, split.valid, K)
+
+
 @query("als_recall_at_k")
 def als_recall(spark, sf):
     """Share of future positives in the lists of the weighted factorisation, per user."""

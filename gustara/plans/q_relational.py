@@ -288,7 +288,7 @@ def join_suffixes(spark, sf):
     "pair_lists_join",
     sql(
         "near_unseen near_second",
-        """SELECT user_id, a.l AS items_vs, b.l AS items_als FROM
+        """SELECT user_id, a.l AS items_first, b.l AS items_second FROM
         (SELECT user_id, string_agg(item_id, ',' ORDER BY rank) AS l FROM near_unseen GROUP BY 1) a JOIN
         (SELECT user_id, string_agg(item_id, ',' ORDER BY rank) AS l FROM near_second GROUP BY 1) b USING (user_id)""",
     ),
@@ -300,8 +300,8 @@ def pair_lists(spark, sf):
     for offset in (USER_VECTOR_OFFSET, SECOND_VECTOR_OFFSET):
         found = vector_search(base, user_vectors(spark, sf, split.users, offset), K, exclude=split.train)
         lists.append(R.group_list(found, "user_id", ["item_id"], K))
-    joined = R.join_with_suffixes(*lists, ["user_id"], ("_vs", "_als"))
-    return joined.select("user_id", F.array_join("item_id_vs", ",").alias("items_vs"), F.array_join("item_id_als", ",").alias("items_als"))
+    joined = R.join_with_suffixes(*lists, ["user_id"], ("_first", "_second"))
+    return joined.select("user_id", F.array_join("item_id_first", ",").alias("items_first"), F.array_join("item_id_second", ",").alias("items_second"))
 
 
 @query(

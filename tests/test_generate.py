@@ -151,7 +151,7 @@ def test_pointwise_judgement_and_metrics(spark):
     judged = J.judge_pointwise(judged_input(spark), ProfileMatchProvider(), "judge").cache()
     assert judged.where("verdict and confidence = 'high'").count() == 30 * 3 + 1
     assert J.negative_verdicts(judged).count() == 30 * 5
-    metrics = J.pointwise_metrics(judged)
+    metrics = J.pointwise_metrics(judged, ("vs", "als"))
     assert metrics.count() == 30
     row = metrics.first()
     assert (row["quality_score_vs"], row["quality_score_als"]) == (0.5, 0.25)
@@ -160,7 +160,7 @@ def test_pointwise_judgement_and_metrics(spark):
 
 
 def test_pairwise_judgement_follows_the_permutation(spark):
-    got = J.judge_pairwise(judged_input(spark), ListMatchProvider(), "judge", seed=3).collect()
+    got = J.judge_pairwise(judged_input(spark), ListMatchProvider(), "judge", seed=3, models=("vs", "als")).collect()
     assert len(got) == 30 and {r["preferred_model"] for r in got} == {"A", "B"}
     assert {r["model_selected"] for r in got} == {"vs"}
 
@@ -170,5 +170,5 @@ def test_other_answers_select_nobody(spark):
         def generate(self, requests, params):
             return ['{"preferred_model": "both"}' for _ in requests]
 
-    got = J.judge_pairwise(judged_input(spark), Undecided(), "judge").collect()
+    got = J.judge_pairwise(judged_input(spark), Undecided(), "judge", models=("vs", "als")).collect()
     assert {r["model_selected"] for r in got} == {None} and len(got) == 30

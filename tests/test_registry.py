@@ -58,6 +58,10 @@ def test_lists_of_the_weighted_factorisation(spark, database):
     assert all(0 <= measures[c] <= 1 for c in ("precision_at_k", "map_at_k", "ndcg_at_k"))
     judged = queries["judge_als_metrics"](spark, SF).toPandas()
     assert len(judged) > 0 and judged["quality_score_als"].between(0, 1).all() and judged["n_judged_als"].max() <= 20
+    picked = queries["judge_als_pairwise"](spark, SF).toPandas()
+    assert set(picked["user_id"]) == set(judged["user_id"]) and set(picked["model_a"]) | set(picked["model_b"]) == {"vs", "als"}
+    folded = queries["als_fold_in"](spark, SF).toPandas()
+    assert len(folded) > 0 and folded.groupby("user_id")["rank"].max().le(20).all()
     recall = queries["als_recall_at_k"](spark, SF).toPandas()
     assert set(recall["user_id"]) == set(found["user_id"]) and recall["hit_proportion"].between(0, 1).all()
 

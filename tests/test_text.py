@@ -191,13 +191,13 @@ def test_pair_prompt_order_and_shorter_list(spark):
         "user_id string, user_profile_text string, title_vs array<string>, item_profile_text_vs array<string>, "
         "title_als array<string>, item_profile_text_als array<string>",
     )
-    got = X.pair_prompt(df, 1).collect()
+    got = X.pair_prompt(df, 1, ("vs", "als")).collect()
     assert {r["model_a"] for r in got} == {"vs", "als"}
     for r in got:
         first, second = ("v1", "a1") if r["model_a"] == "vs" else ("a1", "v1")
         assert r["comparison_prompt"].index(f"Title: {first}") < r["comparison_prompt"].index(f"Title: {second}")
         assert "v2" not in r["comparison_prompt"] and ">>> Rank 0\n" in r["comparison_prompt"]
-    again = {r["user_id"]: r["model_a"] for r in X.pair_prompt(df.repartition(7), 1).collect()}
+    again = {r["user_id"]: r["model_a"] for r in X.pair_prompt(df.repartition(7), 1, ("vs", "als")).collect()}
     assert again == {r["user_id"]: r["model_a"] for r in got}
 
 
