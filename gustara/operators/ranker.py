@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustara.operators.features import feature_columns
+from gustara.operators.listwise import ListwiseRanker
 from gustara.operators.ordering import competition_rank, running_position
 from gustara.operators.skew import attach
 from gustara.session import materialize, work_dir
@@ -20,6 +21,9 @@ class Ranker:
     model: GBTRegressionModel
     features: list[str]
 
+    def importances(self) -> list[float]:
+        return self.model.featureImportances.toArray().tolist()
+
 
 def rank_model(
     matrix: DataFrame,
@@ -85,9 +89,9 @@ def review_rows(
     return attach(shown, user_profiles, "user_id", "left")
 
 
-def importance_order(ranker: Ranker, spark) -> DataFrame:
+def importance_order(ranker: Ranker | ListwiseRanker, spark) -> DataFrame:
     """Feature importances, largest first; one row per feature."""
-    rows = sorted(zip(ranker.features, ranker.model.featureImportances.toArray().tolist()), key=lambda r: (-r[1], r[0]))
+    rows = sorted(zip(ranker.features, ranker.importances()), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(
         [(i, name, value) for i, (name, value) in enumerate(rows)],
         "position int, feature_name string, feature_importance double",

@@ -12,7 +12,8 @@ from gustara.operators.generate import embed_text, generate, generate_profiles
 from gustara.operators.history import newest_rows
 from gustara.operators.hyde import hyde_search, semantic_search
 from gustara.operators.metrics import hit_rate_at_k, recall_at_k, recall_summary, users_at_least, users_at_most
-from gustara.operators.ranker import review_rows, score
+from gustara.operators.listwise import score_listwise
+from gustara.operators.ranker import review_rows
 from gustara.operators.vector_index import build_index, search_index
 from gustara.operators.vector_search import vector_search
 from gustara.plans import rules
@@ -389,7 +390,7 @@ def summary(spark, sf):
 def poor_user_review(spark, sf):
     """Users the model serves badly: their newest history beside ranked predictions and truth, with all profiles."""
     split, _, valid, ranker = fitted_ranker(spark, sf)
-    scored = materialize(one_per_pair(score(ranker, valid)), "scored")
+    scored = materialize(one_per_pair(score_listwise(ranker, valid)), "scored")
     poor = materialize(users_at_most(hit_rate_at_k(scored), 0.2, "hit_rate").select("user_id"), "poor")
     history = newest_rows(split.train.join(poor, "user_id", "left_semi"), 5)
     return review_rows(

@@ -15,6 +15,7 @@ from gustara.operators.features import (
     require_same_users,
     user_features,
 )
+from gustara.operators.listwise import fit_listwise, score_listwise
 from gustara.operators.metrics import (
     graded_ndcg_at_k,
     hit_rate_at_k,
@@ -22,7 +23,7 @@ from gustara.operators.metrics import (
     recall_at_k,
     results_table,
 )
-from gustara.operators.ranker import importance_order, rank_items, rank_model, score
+from gustara.operators.ranker import importance_order, rank_items
 from gustara.operators.skew import attach
 from gustara.operators.vector_search import vector_search
 from gustara.operators.weighted_als import fold_in, weighted_als_fit
@@ -268,7 +269,7 @@ def fitted_ranker(spark, sf):
     split = stored_split(spark, sf)
     users, products = user_features(split.train), product_rows(spark, sf)
     train, valid = (materialize(ranking_matrix(users, products, rating_with_age(rows)), "matrix") for rows in (split.train, split.valid))
-    return split, train, valid, rank_model(train, max_iter=10, max_depth=4)
+    return split, train, valid, fit_listwise(train, rounds=10, max_depth=4)
 
 
 def one_per_pair(scored):
@@ -280,13 +281,30 @@ def one_per_pair(scored):
 def ranker_hit_rates(spark, sf):
     """Hit rate of the ranking model per user in both splits."""
     _, train, valid, ranker = fitted_ranker(spark, sf)
-    return results_table(*[hit_rate_at_k(materialize(one_per_pair(score(ranker, m)), "scored")) for m in (valid, train)])
+    return results_table(*[hit_rate_at_k(materialize(one_per_pair(score_listwise(ranker, m)), "scored")) for m in (valid, train)])
 
 
 @query("score_and_rank_items")
 def score_and_rank(spark, sf):
     _, _, valid, ranker = fitted_ranker(spark, sf)
-    return rank_items(one_per_pair(score(ranker, valid)), items(spark, sf))
+    return rank_items(one_per_pair(score_listwise(ranker, valid)), items(spark, sf))
+
+
+@query(
+    "rank_stored_scores",
+    sql(
+        "valid items",
+        """SELECT s.*, CAST(rank() OVER (PARTITION BY user_id ORDER BY score DESC) AS BIGINT) AS score_rank, title
+        FROM (SELECT user_id, item_id, rating, round(rating_date, 6) AS rating_date, score FROM scored) s LEFT JOIN (SELECT item_id, title FROM items) USING (item_id)""",
+        aged=AGED_VALID,
+        scored=SCORED.format(aged="aged"),
+    ),
+)
+def rank_stored(spark, sf):
+    """The table of ``score_and_rank_items`` with a stored score, where SQL can give the same rows."""
+    scored = scored_pairs(spark, sf, stored_split(spark, sf).valid).withColumn("rating_date", r6("rating_date"))
+    ranked = rank_items(scored, items(spark, sf))
+    return ranked.withColumn("score_rank", F.col("score_rank").cast("long"))
 
 
 @query("importance_order")
