@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustara.functions.text import prompt_parts
-from gustara.operators.blocks import CELL, BlockGrid
 from gustara.operators.generate import embed_text, generate
-from gustara.operators.ordering import top_k
+from gustara.operators.text_index import text_match
 from gustara.operators.vector_search import vector_search
 from gustara.providers.base import EmbeddingProvider, GenerationParams, TextProvider
 from gustara.session import materialize
@@ -72,38 +68,3 @@ def semantic_search(
     return near.select("query_id", "item_id", "rank", F.lit("vector").alias("source")).unionByName(
         fallback.select("query_id", "item_id", "rank", F.lit("text").alias("source"))
     )
-
-
-def text_match(queries: DataFrame, base: DataFrame, k: int = 20, block_bytes: int = 4 * 1024 * 1024) -> DataFrame:
-    """(query_id, item_id, rank): the first ``k`` rows by id whose content contains the query text.
-
-    Case is ignored; an empty text matches nothing. Whole texts meet block by block, so neither
-    candidate pairs nor a common word can pile up in one task.
-    """
-    q = queries.select(F.col("query_id").cast("string").alias("id"), F.lower(F.trim("text")).alias("txt"))
-    q = q.where(F.col("txt") != "")
-    b = base.select(F.col("item_id").cast("string").alias("id"), F.lower("content").alias("txt"))
-    b = b.where(F.col("txt").isNotNull())
-    grid = BlockGrid.of(q, b, F.octet_length("txt"), block_bytes)
-    found = (
-        grid.left(q, "id")
-        .groupBy(*CELL)
-        .cogroup(grid.right(b, "id").groupBy(*CELL))
-        .applyInArrow(_block_contains(k), "query_id string, item_id string")
-    )
-    return top_k(found, ["query_id"], [F.col("item_id").asc()], k)
-
-
-def _block_contains(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = right.column("id").to_pylist(), right.column("txt").to_pylist()
-        rows = sorted(zip(ids, texts))
-        query_ids, item_ids = [], []
-        for query_id, needle in zip(left.column("id").to_pylist(), left.column("txt").to_pylist()):
-            hits = islice((i for i, text in rows if needle in text), k)
-            for item_id in hits:
-                query_ids.append(query_id)
-                item_ids.append(item_id)
-        return pa.table({"query_id": pa.array(query_ids, pa.string()), "item_id": pa.array(item_ids, pa.string())})
-
-    return run

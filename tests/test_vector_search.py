@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,11 +110,31 @@ def docs(spark):
     return spark.createDataFrame(list(DOCS.items()), "item_id string, content string")
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 20])
-def test_text_match(spark, rows, block_bytes):
+def test_text_match(spark, rows):
     queries = spark.createDataFrame([("q1", "Red soup"), ("q2", "cake "), ("q3", "tea"), ("q4", " "), ("q5", None)], "query_id string, text string")
-    got = rows(text_match(queries, docs(spark), 2, block_bytes))
-    assert got == [("q1", "d1", 1), ("q1", "d3", 2), ("q2", "d2", 1)]
+    assert rows(text_match(queries, docs(spark), 2)) == [("q1", "d1", 1), ("q1", "d3", 2), ("q2", "d2", 1)]
+
+
+def test_text_match_finds_what_contains_finds(spark, rows):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcAé.-") for _ in range(draw.randint(1, 5))) for _ in range(60)]
+    texts = [draw.choice([" ", "  ", "\n"]).join(draw.choice(words) for _ in range(draw.randint(1, 40))) for _ in range(80)]
+    base = [(f"d{n:02d}", t, "x") for n, t in enumerate(texts)] + [("d00", texts[0], "x"), ("none", None, "x"), ("empty", "", "x")]
+    needles = ["a", "é", "-", "ab", "zzzz", "not in any", "\n", ""]
+    for _ in range(60):
+        text = draw.choice(texts)
+        start = draw.randint(0, len(text) - 1)
+        needles.append(text[start : start + draw.choice([1, 2, 4, 9, 25, 200])].swapcase())  # cuts words anywhere
+    queries = spark.createDataFrame([(f"q{n:02d}", t, 1) for n, t in enumerate(needles)] + [("q10", needles[10], 1)], "query_id string, text string, n int")
+    got = rows(text_match(queries, spark.createDataFrame(base, "item_id string, content string, token string"), 5))
+    want = []
+    for n, needle in enumerate(needles):
+        needle = needle.strip(" ").lower()
+        hits = sorted({i for i, t, _ in base if t is not None and needle in t.lower()}) if needle.strip() else []
+        want += [(f"q{n:02d}", i, r + 1) for r, i in enumerate(hits[:5])]
+    assert got == sorted(want, key=repr)
+    empty = spark.createDataFrame([], "item_id string, content string")
+    assert text_match(queries, empty).count() == 0 and text_match(queries.limit(0), docs(spark)).count() == 0
 
 
 def test_semantic_search_falls_back_to_text(spark, rows):
