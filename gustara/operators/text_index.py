@@ -40,15 +40,16 @@ def text_match(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
     tokens = texts.select("item_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("token"))
 
     inner = asked.where(F.size("whole") > 0).select("query_id", F.explode("whole").alias("token"))
-    around = materialize(_tokens_around(asked.where(F.size("whole") == 0).select("query_id", "edge"), tokens), "around")
+    outer = asked.where(F.size("whole") == 0).select("query_id", "edge")
+    around = inner.limit(0) if outer.isEmpty() else materialize(_tokens_around(outer, tokens), "around")
     wanted = materialize(inner.select("token").unionByName(around.select("token")).distinct(), "wanted")
-    postings = materialize(tokens.join(wanted, "token", "left_semi").distinct(), "postings")
+    postings = materialize(tokens.join(wanted, "token", "left_semi"), "postings")
     frequency = materialize(postings.groupBy("token").agg(F.count("*").alias("df")), "frequency")
     # A token that no text holds has no frequency, is the rarest, and leaves the query without a result.
     weighed = inner.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = materialize(top_k(weighed, ["query_id"], [F.col("df").asc(), F.col("token").asc()], RAREST), "rarest")
     needed = rarest.groupBy("query_id").agg(F.count("*").alias("needed"))
-    met = postings.join(rarest.select("query_id", "token"), "token").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
+    met = postings.join(rarest.select("query_id", "token"), "token").groupBy("query_id", "item_id").agg(F.countDistinct("token").alias("n"))
     whole_hits = attach(met, needed, "query_id").where(F.col("n") == F.col("needed")).select("query_id", "item_id")
     part_hits = postings.join(around, "token").select("query_id", "item_id").distinct()
     candidates = materialize(whole_hits.unionByName(part_hits), "candidates")

@@ -113,7 +113,8 @@ def typed_user_profiles(spark, sf):
     sql("", "SELECT doc_id, CAST(i - 1 AS BIGINT) AS position, round(v[i], 6) AS value FROM e, range(1, 65) t(i)", e=rules.embed_sql("documents", "doc_id", "text", DIM)),
 )
 def embed_documents(spark, sf):
-    rows = embed_text(table(spark, sf, "documents").select("doc_id", "text"), "text", HashingProvider(DIM))
+    tasks = spark.sparkContext.defaultParallelism
+    rows = embed_text(table(spark, sf, "documents").select("doc_id", "text"), "text", HashingProvider(DIM), concurrency=tasks)
     exploded = rows.select("doc_id", F.posexplode("embedding").alias("position", "value"))
     return exploded.select("doc_id", F.col("position").cast("long").alias("position"), r6("value").alias("value"))
 
@@ -360,7 +361,7 @@ def semantic(spark, sf):
     """Benchmark passages looked up in all English documents."""
     embedder = HashingProvider(DIM)
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("content"), F.col("lang").alias("category"))
-    base = materialize(embed_text(docs, "content", embedder), "documents")
+    base = materialize(embed_text(docs, "content", embedder, concurrency=spark.sparkContext.defaultParallelism), "documents")
     queries_ = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     found = semantic_search(queries_, base, embedder, K, MAX_DISTANCE, "en")
     return found.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), "source")

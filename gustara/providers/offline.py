@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 from pyspark.sql import types as T
 
-_BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 
 @dataclass(frozen=True)
@@ -113,25 +111,35 @@ class HashingProvider:
     def __init__(self, dim: int = 64, cache_size: int = 200_000):
         self.dim = dim
         self.cache_size = cache_size
-        self._slots: dict[str, tuple[int, int]] = {}
+        self._slots = _Slots(dim)
 
     def embed(self, texts: list[str], task_type: str = "RETRIEVAL_DOCUMENT") -> list[np.ndarray]:
         return [self._embed_one(t) for t in texts]
 
     def _embed_one(self, text: str) -> np.ndarray:
-        tokens = [t for t in _BLANKS.split(text.lower()) if t]
+        tokens = text.lower().encode("utf-8", "surrogatepass").split()  # bytes split at blanks of ASCII only
         if not tokens:
             return np.empty(0)
-        slots = [self._slots.get(t) or self._slot(t) for t in tokens]
-        index, sign = zip(*slots)
-        counts = np.bincount(index, weights=sign, minlength=self.dim)
+        if len(self._slots) > self.cache_size:
+            self._slots.clear()
+        slots = np.fromiter(map(self._slots.__getitem__, tokens), np.int64, len(tokens))
+        counts = np.bincount(slots, minlength=2 * self.dim).reshape(self.dim, 2)
+        counts = (counts[:, 1] - counts[:, 0]).astype(np.float64)
         length = np.sqrt((counts**2).sum())
         return counts / length if length else np.empty(0)
 
-    def _slot(self, token: str) -> tuple[int, int]:
-        digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-        slot = (int(digest[:7], 16) % self.dim, 1 if digest[7] in "02468ace" else -1)
-        if len(self._slots) >= self.cache_size:
-            self._slots.clear()
-        self._slots[token] = slot
+
+class _Slots(dict):
+    """Token to twice its bucket, plus one for the sign plus; computed once per token."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        digest = hashlib.md5(token).hexdigest()
+        slot = self[token] = int(digest[:7], 16) % self.dim * 2 + (digest[7] in "02468ace")
         return slot
+
+    def __reduce__(self):
+        return _Slots, (self.dim,)
