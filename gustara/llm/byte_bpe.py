@@ -27,7 +27,8 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Pieces above this many bytes merge one by one through a heap: a matrix would take a round per byte.
 MATRIX_BYTES = 1024
 MATRIX_CELLS = 1 << 20
-PIECES_KEPT = 200_000
+# Pieces and ids remembered between two batches.
+PIECES_KEPT, IDS_KEPT = 200_000, 1 << 21
 PIECES_AT_ONCE = 1 << 17
 LONG_TEXT = 1 << 19
 CONTRACTIONS, WORD = "'s|'t|'re|'ve|'m|'ll|'d", r" ?\p{L}+"
@@ -87,22 +88,32 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
-class ByteBpe:
+class Decoder:
+    """Bytes of the tokens of one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.token_size = np.array([len(t) for t in tokens], np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gather(self.token_bytes, self.token_start[ids], self.token_size[ids]).tobytes()
+
+
+class ByteBpe(Decoder):
     """Encoder and decoder of one vocabulary. Ids are what tiktoken's ``encode_ordinary`` gives."""
 
     def __init__(self, path: str, pattern: str):
         self.whole = read_ranks(path)
+        super().__init__(self.whole)
         self.pairs = PairTable(self.whole)
         self.byte_ids = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
         # Words begin with a blank or a letter, contractions with an apostrophe: trying words first
         # gives the same pieces in less time.
         self.split = regex.compile(pattern.replace(f"{CONTRACTIONS}|{WORD}|", f"{WORD}|{CONTRACTIONS}|", 1))
-        tokens = [b""] * (max(self.whole.values()) + 1)
-        for token, rank in self.whole.items():
-            tokens[rank] = token
-        self.token_size = np.array([len(t) for t in tokens], np.int64)
-        self.token_start = np.cumsum(self.token_size) - self.token_size
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -110,6 +121,10 @@ class ByteBpe:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _forget_much(self) -> None:
+        if len(self.index) > PIECES_KEPT or self.used > IDS_KEPT:
+            self._forget()
+
     def _keep(self, pieces: list[str], rows: list[np.ndarray]) -> None:
         count, need = len(self.index), sum(r.size for r in rows)
         while self.flat.size < self.used + need:
@@ -227,8 +242,7 @@ class ByteBpe:
         """Token ids of whole texts; the new pieces of a batch go through the matrices together."""
         batches, long = [], {}
         fresh: set[str] = set()
-        if len(self.index) > PIECES_KEPT:
-            self._forget()
+        self._forget_much()
         for i, text in enumerate(texts):
             parts = self._pieces(text)
             if len(text) > LONG_TEXT:
@@ -244,8 +258,7 @@ class ByteBpe:
         return out
 
     def _encode_part(self, pieces: list[str]) -> np.ndarray:
-        if len(self.index) > PIECES_KEPT:
-            self._forget()
+        self._forget_much()
         self._learn(set(pieces).difference(self.index))
         return self._look_up(pieces)
 
@@ -257,15 +270,17 @@ class ByteBpe:
         """Token ids of a whole text."""
         return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return gather(self.token_bytes, self.token_start[ids], self.token_size[ids]).tobytes()
-
 
 @functools.lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@functools.lru_cache(maxsize=2)
+def load_decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
@@ -292,6 +307,38 @@ def encode_documents(
     return text_stage(docs, text, make, {out: "binary"}, keep)
 
 
+def round_trip(
+    docs: DataFrame,
+    text: str = "text",
+    out: str = "tokens",
+    decoded: str | None = "decoded",
+    vocabulary: str = VOCABULARY,
+    pattern: str = public_tokenizers.PATTERN,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Add ``out`` (as ``encode_documents``) and ``decoded`` (as ``decode_documents`` of it) in one stage.
+
+    Without ``decoded`` the bytes do not leave the stage: a text that they differ from is an error.
+    """
+
+    def make():
+        bpe = load(vocabulary_path(vocabulary), pattern)
+
+        def both(texts: list) -> list[list]:
+            tokens = bpe.encode_all([t or "" for t in texts])
+            back = [bpe.decode(ids) for ids in tokens]
+            packed = [ids.astype("<u4").tobytes() for ids in tokens]
+            if decoded is not None:
+                return [packed, back]
+            if any(b != (t or "").encode("utf-8", "surrogatepass") for b, t in zip(back, texts, strict=True)):
+                raise ValueError("decoded bytes differ from the text")
+            return [packed]
+
+        return both
+
+    return text_stage(docs, text, make, {out: "binary", **({decoded: "binary"} if decoded is not None else {})}, keep)
+
+
 def decode_documents(
     encoded: DataFrame,
     tokens: str = "tokens",
@@ -302,7 +349,7 @@ def decode_documents(
     """Add ``out``: the bytes that the packed ids of ``tokens`` stand for. NULL ids give no bytes."""
 
     def make():
-        bpe = load(vocabulary_path(vocabulary), public_tokenizers.PATTERN)
+        bpe = load_decoder(vocabulary_path(vocabulary))
         return lambda packed: [[bpe.decode(np.frombuffer(p or b"", "<u4").astype(np.int64)) for p in packed]]
 
     return text_stage(encoded, tokens, make, {out: "binary"}, keep)

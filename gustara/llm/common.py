@@ -63,6 +63,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(df: DataFrame) -> list[Column]:
+    """All columns under numbers, so that no name an operator adds can meet a given one; see ``named``."""
+    return [F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(df.columns)]
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of ``numbered(df)`` under the names they have in ``df``."""
+    return [F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
 KEY = ["no_id", "doc", "version"]
 
 
@@ -83,9 +93,10 @@ def text_stage(
     to carry along (default: all); an input column named like an added one is replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c in set(without(df, list(added)))]
-    fed = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias("__fed"))
+    given = df.select(*[F.col(quoted(c)) for c in kept])
+    fed = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.col(quoted(text)).alias("fed"))
     fields = [T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items()]
-    schema = T.StructType([*fed.schema.fields[:-1], *fields])
+    schema = T.StructType([*given.schema.fields, *fields])
     names, types = schema.names, [ARROW_TYPES[t] for t in added.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ found in which matches outweigh substitutions, and its matching tokens decide.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from gustara.session import materialize
 
 # The first mask is contiguous; the others skip tokens. A substitution costs as much as this many matches.
 MASKS = ("11111111", "11101101011", "1101010011011")
-MIN_TOKENS, MIN_MATCHED, MISMATCH = 8, 13, 3
+MIN_MATCHED, MISMATCH = 13, 3
 # A seed table of at most this many rows (about 40 bytes each) is sent to every executor.
 BROADCAST_SEEDS = 1_000_000
 
@@ -28,17 +30,18 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, carried: list[str]) -> DataFrame:
+def seeds(rows: DataFrame, carried: list[str], masks: Sequence[str] = MASKS) -> DataFrame:
     """(carried, at, before, seed, span) for every mask and window of the array ``tokens``.
 
     ``before`` is the token in front of the window, ``span`` the hash of all tokens below a spaced
     mask, NULL for the contiguous one.
     """
-    least = min(map(len, MASKS))
+    least = min(map(len, masks))
     starts = F.when(F.size("tokens") >= least, F.sequence(F.lit(0), F.size("tokens") - least))
     placed = rows.select(*carried, "tokens", F.explode_outer(starts).alias("at"))
 
-    def window(number: int, mask: str) -> Column:
+    def window(mask: str) -> Column:
+        number = MASKS.index(mask) if mask in MASKS else -len(mask)
         here = [F.get("tokens", F.col("at") + i) for i in range(len(mask))]
         seen = F.xxhash64(F.lit(number), *[h for h, m in zip(here, mask, strict=True) if m == "1"])
         seed = F.when(F.col("at") + len(mask) <= F.size("tokens"), seen)
@@ -46,15 +49,15 @@ def seeds(rows: DataFrame, carried: list[str]) -> DataFrame:
         return F.struct(seed.alias("seed"), span.alias("span"))
 
     before = F.get("tokens", F.col("at") - 1).alias("before")
-    windows = F.array(*[window(n, m) for n, m in enumerate(MASKS)])
+    windows = F.array(*[window(m) for m in masks])
     found = placed.where(F.col("at").isNotNull()).select(*carried, "at", before, F.explode(windows).alias("w"))
     return found.select(*carried, "at", "before", "w.seed", "w.span").where(F.col("seed").isNotNull())
 
 
-def benchmark_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item, tokens) of the items with at least MIN_TOKENS tokens; equal ones once, by their smallest id."""
+def benchmark_items(benchmark: DataFrame, item_id: str, text: str, min_tokens: int) -> DataFrame:
+    """(item, tokens) of the items with at least ``min_tokens`` tokens; equal ones once, by their smallest id."""
     items = benchmark.select(F.col(quoted(item_id)).alias("item"), token_hashes(F.col(quoted(text))).alias("tokens"))
-    items = items.where(F.size("tokens") >= MIN_TOKENS).groupBy("tokens").agg(F.min("item").alias("item"))
+    items = items.where(F.size("tokens") >= max(1, min_tokens)).groupBy("tokens").agg(F.min("item").alias("item"))
     return items.withColumn("item_key", F.xxhash64("tokens"))
 
 
@@ -73,23 +76,30 @@ def matched_tokens(item: Column, there: Column) -> Column:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", min_matched: int = MIN_MATCHED,
+    item_text: str = "text", min_matched: int = MIN_MATCHED, min_tokens: int = 1,
 ) -> DataFrame:
     """(document key, item, matched, at): every benchmark item found in every document.
 
     An item is found where an aligned stretch has at least ``min_matched`` matching tokens, or all of
     the item's if it has fewer; ``matched`` is the best stretch and ``at`` the token in the document
-    where the item's first token lies (negative: before its start). Items of fewer than MIN_TOKENS
-    tokens, NULL texts and NULL items are never found.
+    where the item's first token lies (negative: before its start). An item shorter than the first mask
+    is one contiguous seed of its own length. Items of fewer than ``min_tokens`` tokens, items
+    without a token, NULL texts and NULL items are never found.
     """
-    items = materialize(benchmark_items(benchmark, item_id, item_text), "items")
-    asked = materialize(seeds(items, ["item_key"]), "seeds").withColumnsRenamed(
+    items = materialize(benchmark_items(benchmark, item_id, item_text, min_tokens), "items")
+    least = min(map(len, MASKS))
+    short = items.where(F.size("tokens") < least).select(F.size("tokens").alias("n")).distinct().collect()  # fewer than the mask's length
+    own = ["1" * r["n"] for r in sorted(short, key=lambda r: r["n"])]
+    asked = seeds(items.where(F.size("tokens") >= least), ["item_key"])
+    for mask in own:
+        asked = asked.unionByName(seeds(items.where(F.size("tokens") == len(mask)), ["item_key"], [mask]))
+    asked = materialize(asked, "seeds").withColumnsRenamed(
         {"at": "item_at", "before": "item_before", "span": "item_span"}
     )
     if asked.count() <= BROADCAST_SEEDS:
         asked = F.broadcast(asked)
     tokens = docs.select(*document_key(docs, doc_id, text), token_hashes(F.col(quoted(text))).alias("tokens"))
-    joined = seeds(tokens, KEY).join(asked, "seed")
+    joined = seeds(tokens, KEY, [*MASKS, *own]).join(asked, "seed")
     # A contiguous hit that goes on to the left is known from its first window; a spaced hit without
     # a substitution is known from a contiguous one.
     first = F.col("item_span").isNull() & ((F.col("item_at") == 0) | ~F.col("before").eqNullSafe(F.col("item_before")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gustara.llm.common import beside_texts, quoted, text_stage
+from gustara.llm.common import beside_texts, named, numbered, quoted, text_stage
 from gustara.llm.components import components
 from gustara.operators.skew import attach
 from gustara.session import materialize
@@ -335,12 +335,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     Of rows that share that id the first one by a hash of the text stays.
     """
     classes = near_duplicates(docs, doc_id, text, similarity).groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    marked = classes.where("id <> class_id or n > 1").select(F.col("id").alias("__id"), (F.col("id") != F.col("class_id")).alias("__gone"))
-    rows = docs.withColumn("__id", F.col(quoted(doc_id)).cast("bigint"))
-    left = beside_texts(rows, marked, "__id", "left").where(~F.coalesce("__gone", F.lit(False)))
+    marked = classes.where("id <> class_id or n > 1").select("id", (F.col("id") != F.col("class_id")).alias("gone"))
+    said = F.xxhash64(F.col(quoted(text))).alias("said")
+    rows = docs.select(*numbered(docs), F.col(quoted(doc_id)).cast("bigint").alias("id"), said)
+    left = beside_texts(rows, marked, "id", "left").where(~F.coalesce("gone", F.lit(False)))
     # The join has the rows of an id together already; rows without one are spread by their text.
-    said = F.xxhash64(F.col(quoted(text)))
-    alone = F.when(F.col("__id").isNull(), said)
-    ranked = left.withColumn("__rank", F.row_number().over(W.partitionBy("__id", alone).orderBy(said)))
-    kept = ranked.where("__id is null or __rank = 1")
-    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
+    alone = F.when(F.col("id").isNull(), F.col("said"))
+    ranked = left.withColumn("place", F.row_number().over(W.partitionBy("id", alone).orderBy("said")))
+    return ranked.where("id is null or place = 1").select(*named(docs))

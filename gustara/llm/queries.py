@@ -77,8 +77,7 @@ def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_byte_bpe")
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    both = byte_bpe.decode_documents(encoded)
+    both = byte_bpe.round_trip(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return both.select(
         "doc_id",
         (F.octet_length("tokens") / 4).cast("bigint").alias("n_tokens"),

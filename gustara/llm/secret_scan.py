@@ -16,7 +16,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustara.llm.common import beside_texts, quoted, without
+from gustara.llm.common import beside_texts, named, quoted, without
 
 MOST_ALTERNATIVES = 64
 
@@ -165,7 +165,9 @@ def scan_secrets(
     whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     kept = [c for c in (keep or docs.columns) if c in without(docs, ["secrets"])]
     clean = F.translate(whole, OPEN + MIDDLE + CLOSE, STAND_IN * 3)
-    rows = docs.select(*[F.col(quoted(c)) for c in kept], clean.alias("__clean"), F.col(quoted(doc_id)).alias("__key"))
+    given = docs.select(*[F.col(quoted(c)) for c in kept])
+    numbers = [F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(kept)]
+    rows = docs.select(*numbers, clean.alias("__clean"), F.col(quoted(doc_id)).alias("__key"))
     # A row without an id has no posting to be found by: all rules scan it.
     found = candidates(docs, F.col(quoted(doc_id)), whole, rules).withColumnsRenamed({"key": "__key", "kinds": "__kinds"})
     rows = beside_texts(rows, found, "__key", "left")
@@ -178,4 +180,4 @@ def scan_secrets(
         listed = F.when(asked, spans_of(F.col("__clean"), rule)).otherwise(F.lit(""))
 
         spans.append(F.transform(F.filter(F.split(listed, ","), lambda s: s != ""), entry_of(rank, rule.kind)))
-    return rows.select(*[F.col(quoted(c)) for c in kept], F.array_sort(F.concat(*spans)).alias("secrets"))
+    return rows.select(*named(given), F.array_sort(F.concat(*spans)).alias("secrets"))

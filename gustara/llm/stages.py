@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustara.llm import byte_bpe, line_dedup, toxicity
-from gustara.llm.common import prepare, quoted, table, without
+from gustara.llm.common import named, numbered, prepare, table, without
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     there is one, is the length of the text that stays.
     """
     prepare(spark)
-    done = line_dedup.dedup_lines(docs, out="__removed")
-    emptied = (F.col("__removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    rows = done.where(~F.coalesce(emptied, F.lit(False)))
-    columns = [F.col(quoted(c)) for c in docs.columns]
+    rows = docs.select(*numbered(docs))
+    said = F.col(f"__c{docs.columns.index('text')}")
+    ids, texts = (f"__c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    done = line_dedup.dedup_lines(rows, ids, texts, out="removed")
+    emptied = (F.col("removed") > 0) & (F.trim(F.regexp_replace(said, r"\s+", " ")) == "")
+    left = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        counted = F.when(F.col("__removed") > 0, length).otherwise(F.col("n_chars")).alias("n_chars")
-        columns = [counted if c == "n_chars" else F.col(quoted(c)) for c in docs.columns]
-    return rows.select(*columns)
+        given = f"__c{docs.columns.index('n_chars')}"
+        length = F.length(said).cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn(given, F.when(F.col("removed") > 0, length).otherwise(F.col(given)))
+    return left.select(*named(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +57,5 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Columns of these names in the documents are replaced.
     """
     prepare(spark)
-    encoded = byte_bpe.encode_documents(docs, out="tokens")
-    decoded = byte_bpe.decode_documents(encoded, out="__decoded")
-    whole = F.col("__decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    checked = F.when(whole, F.col("tokens")).otherwise(F.raise_error(F.lit("decoded bytes differ from the text")))
-    kept = [F.col(quoted(c)) for c in without(docs, ["tokens", "n_tokens"])]
-    rows = decoded.select(*kept, checked.alias("tokens"))
-    return rows.withColumn("n_tokens", (F.octet_length("tokens") / 4).cast("bigint"))
+    encoded = byte_bpe.round_trip(docs, decoded=None, keep=without(docs, ["tokens", "n_tokens"]))
+    return encoded.withColumn("n_tokens", (F.octet_length("tokens") / 4).cast("bigint"))

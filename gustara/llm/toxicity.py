@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustara.llm.common import quoted, text_stage
+from gustara.llm.common import named, numbered, quoted, text_stage
 from gustara.llm.linear import BITS, ORDERS, Grams, fit_logistic, log_count_ratio
 from gustara.session import materialize
 
@@ -124,5 +124,6 @@ def score_toxicity(
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", at_least: float = 0.5) -> DataFrame:
     """Rows whose score stays below ``at_least``, with their own columns."""
-    scored = score_toxicity(docs, model, text, "__toxicity")
-    return scored.where(F.col("__toxicity") < at_least).select(*[F.col(quoted(c)) for c in docs.columns])
+    rows = docs.select(*numbered(docs), F.col(quoted(text)).alias("said"))
+    scored = score_toxicity(rows, model, "said", "toxicity", keep=[c for c in rows.columns if c != "said"])
+    return scored.where(F.col("toxicity") < at_least).select(*named(docs))

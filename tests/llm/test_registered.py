@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, key):
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     got = entry_module.queries()[key](spark, SF).toPandas()
     assert compare(got, con.execute(entry_module.oracle_sql()[key]).df()).startswith("ok")
