@@ -8,23 +8,68 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from gustara.operators.relational import require_unique
+from gustara.session import materialize
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header whose quoted fields may span lines.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
+
 
-    Multi-line files cannot be split, so each is one task: convert once to parquet.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header in every file, whose quoted fields may span lines; a file is read by many tasks.
+
+    Spark cuts files into byte ranges and a line belongs to the range in which it begins. A record
+    begins at a line with an even number of quotes before it in the file: quotes are counted per
+    range, the counts of a file's ranges are summed up (one row per range), and every line learns its
+    parity inside its range. Records that begin and end in one line are parsed where they are; only the
+    lines of longer ones are shuffled, to the line that their record begins with, however many ranges
+    that is back. Fields follow RFC 4180: quotes inside are doubled, and a field with a quote is quoted.
+    Empty lines are skipped; lines end with a line feed, after a carriage return or not.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    lines = _csv_lines(spark, path)
+    whole = lines.where(F.col("starts") & (F.col("odd") == 0))
+    parts = lines.where(~F.col("starts") | (F.col("odd") == 1))
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("block", "seq", "value")))["value"], "\n").alias("value")
+    spanning = parts.groupBy("file", "from_block", "from_seq").agg(joined)
+    spanning = spanning.select("file", F.col("from_block").alias("block"), F.col("from_seq").alias("seq"), "value")
+    records = whole.select("file", "block", "seq", "value").unionByName(spanning)
+    heads = materialize(records.where("block = 0").groupBy("file").agg(F.min("seq").alias("head")), "heads")
+    records = records.join(heads, "file").where((F.col("block") > 0) | (F.col("seq") > F.col("head")))
+    text = F.regexp_replace("value", r"\r$", "")
+    ddl = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+    return records.where(text != "").select(F.from_csv(text, ddl, CSV_OPTIONS).alias("row")).select("row.*")
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its file, range (``block``) and place, the parity of its quotes (``odd``), whether a
+    record ``starts`` with it, and the place of the line that its record starts with (``from_*``)."""
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2
+    read = spark.read.option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = materialize(read.select(*place, F.monotonically_increasing_id().alias("seq"), "value", odd.alias("odd")), "lines")
+    in_file = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    counted = lines.groupBy("file", "block").agg(F.sum("odd").alias("n"))
+    counted = counted.select("file", "block", (F.coalesce(F.sum("n").over(in_file), F.lit(0)) % 2).alias("open"))
+    in_range = W.partitionBy("file", "block").orderBy("seq")
+    before = F.coalesce(F.sum("odd").over(in_range.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = ((before + F.col("open")) % 2 == 0).alias("starts")
+    lines = lines.join(materialize(counted, "ranges"), ["file", "block"]).select("file", "block", "seq", "value", "odd", starts)
+    begun = F.last(F.when(F.col("starts"), F.col("seq")), ignorenulls=True).over(in_range.rowsBetween(W.unboundedPreceding, 0))
+    lines = materialize(lines.withColumn("begun", begun), "marked-lines")
+    ends = lines.groupBy("file", "block").agg(F.max(F.when(F.col("starts"), F.col("seq"))).alias("last"))
+    last = F.last(F.when(F.col("last").isNotNull(), F.struct("block", "last")), ignorenulls=True).over(in_file)
+    carried = materialize(ends.select("file", "block", last.alias("carried")), "carried")
+    rows = lines.join(carried, ["file", "block"])
+    here = F.col("begun").isNotNull()
+    from_block = F.when(here, F.col("block")).otherwise(F.col("carried.block"))
+    from_seq = F.when(here, F.col("begun")).otherwise(F.col("carried.last"))
+    return rows.select("file", "block", "seq", "value", "odd", "starts", from_block.alias("from_block"), from_seq.alias("from_seq"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
