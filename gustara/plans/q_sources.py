@@ -101,17 +101,19 @@ def create_database(spark, sf):
 
 @query(
     "add_column_update",
-    """SELECT vec_id, CAST(label AS BIGINT) AS label, CASE WHEN vec_id % 50 = 7 THEN '' WHEN vec_id % 50 <> 8 THEN array_to_string(
+    """SELECT vec_id, CAST(CASE WHEN vec_id % 6 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS VARCHAR) AS label, CASE WHEN vec_id % 50 = 7 THEN '' WHEN vec_id % 50 <> 8 THEN array_to_string(
          [CAST(CASE WHEN vec_id % 50 = 9 THEN 0 ELSE CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) END AS VARCHAR) FOR x IN embedding], ' ') END AS micro
        FROM embeddings""",
 )
 def add_column_update(spark, sf):
-    """Vectors arrive keyed for some rows; the others keep NULL."""
+    """Vectors arrive keyed for some rows; the others keep NULL. Then labels are set anew, half of them to NULL."""
     target = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     updates = flawed_vectors(spark, sf).where(F.col("embedding").isNotNull())
-    updated = update_column(target, updates, "vec_id", "embedding")
+    anew = F.when(F.col("vec_id") % 6 != 0, F.col("label") + 100).alias("label")
+    relabelled = target.where(F.col("vec_id") % 3 == 0).select("vec_id", anew)
+    updated = update_column(update_column(target, updates, "vec_id", "embedding"), relabelled, "vec_id", "label")
     scaled = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
-    return updated.select("vec_id", "label", F.array_join(scaled, " ").alias("micro"))
+    return updated.select("vec_id", F.col("label").cast("string").alias("label"), F.array_join(scaled, " ").alias("micro"))
 
 
 @query(

@@ -99,6 +99,8 @@ def test_update_column(spark, rows):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     updates = spark.createDataFrame([(2, "new")], "k int, v string")
     assert rows(T.update_column(target, updates, "k", "v")) == [(1, "a"), (2, "new")]
+    emptied = spark.createDataFrame([(1, None), (3, "none asks for it")], "k int, v string")
+    assert rows(T.update_column(target, emptied, "k", "v")) == sorted([(1, None), (2, "b")], key=repr)
     added = updates.withColumnRenamed("v", "w")
     assert rows(T.update_column(target, added, "k", "w")) == sorted([(1, "a", None), (2, "b", "new")], key=repr)
     with pytest.raises(R.DuplicateKeyError):
