@@ -20,7 +20,7 @@ STAGES = [
     ("byte_bpe", stages.byte_bpe_stage),
 ]
 
-# Trained and hashed stages have no SQL form; tests/llm holds run() against a brute-force version.
+# Trained and hashed stages have no SQL form; tests/llm/test_pipeline.py holds every stage of run() against a plain form.
 ORACLE_SQL = None
 
 
