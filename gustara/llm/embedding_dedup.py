@@ -4,8 +4,9 @@ Unit vectors at cosine c are at squared distance 2 - 2c. After a rotation the co
 into blocks; by the pigeonhole, two vectors within the distance are, in some block, within that
 block's share of it, in proportion to its size. Each block is a range join in a low-dimensional
 space: its first coordinates are cut into cells twice as wide as the block's radius, a vector stands
-in every cell that its radius reaches and asks in its own. Inside a cell the block distances choose
-the candidates and the cosine in double precision decides. A pair counts in the first block that
+in every cell that its radius reaches and asks in its own. Inside a cell, k-d leaves compare all
+coordinates of the block; the distance summed over the blocks then thins out the candidates, and the
+cosine in double precision decides. A pair counts in the first block that
 brings it together, so no pair is counted twice and no pairs need to be written down.
 """
 
@@ -25,9 +26,13 @@ from gustara.operators.skew import attach
 from gustara.session import materialize
 
 MINIMUM = 0.95
-BLOCK_SIZE, CELL_COORDINATES = 8, 2
-TILE_ROWS = 16_384
-SLACK = 1e-7
+# Blocks have eight coordinates, or more in vectors so long that there would be over 16 blocks:
+# each block sends every vector once more.
+BLOCK_SIZE, MOST_BLOCKS, CELL_COORDINATES = 8, 16, 2
+# Bytes of one side of a tile, its vectors in double precision.
+TILE_BYTES = 32 << 20
+LEAF_ROWS = 128
+SLACK, SINGLE_SLACK = 1e-7, 1e-5
 
 
 @functools.lru_cache(maxsize=8)
@@ -38,7 +43,8 @@ def rotation(size: int) -> np.ndarray:
 
 
 def block_edges(size: int) -> list[tuple[int, int]]:
-    return [(at, min(size, at + BLOCK_SIZE)) for at in range(0, size, BLOCK_SIZE)]
+    step = max(BLOCK_SIZE, -(-size // MOST_BLOCKS))
+    return [(at, min(size, at + step)) for at in range(0, size, step)]
 
 
 def shares(size: int, minimum: float) -> np.ndarray:
@@ -125,41 +131,84 @@ def tile_links(
     place, edges, share = turned(vectors), block_edges(vectors.shape[1]), shares(vectors.shape[1], minimum)
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     begin, end = edges[block]
-    part = np.ascontiguousarray(place[:, begin:end])
-    square = np.einsum("ij,ij->i", part, part)
     root, counts = np.arange(ids.size), np.zeros(ids.size, np.int64)
-    for at in range(0, asking.size, 512):
-        left = asking[at : at + 512]
-        for to in range(0, offered.size, 4096):
-            right = offered[to : to + 4096]
-            near = square[left][:, None] + square[right] - 2 * (part[left] @ part[right].T) <= share[block] + SLACK
-            x, y = np.nonzero(near)
-            x, y = left[x], right[y]
-            other = ids[x] != ids[y]
-            x, y = x[other], y[other]
-            for cut in range(0, x.size, 1 << 16):
-                a, b = x[cut : cut + (1 << 16)], y[cut : cut + (1 << 16)]
-                linked = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= minimum
-                a, b = a[linked], b[linked]
-                first = brought_together(place, edges, share, a, b) == block
-                a, b = a[first], b[first]
-                np.add.at(counts, a, weights[b])
-                join_roots(root, a, b)
+    for x, y in range_join(place[:, begin:end], asking, offered, share[block]):
+        for cut in range(0, x.size, 1 << 16):
+            a, b = x[cut : cut + (1 << 16)], y[cut : cut + (1 << 16)]
+            other = ids[a] != ids[b]
+            a, b = within_budget(place, edges, share, block, a[other], b[other])
+            linked = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= minimum
+            a, b = a[linked], b[linked]
+            np.add.at(counts, a, weights[b])
+            join_roots(root, a, b)
     told = np.flatnonzero((counts > 0) | (root != np.arange(ids.size)))
     return ids[told], counts[told], ids[root[told]]
 
 
-def brought_together(place: np.ndarray, edges: list, share: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first block in which each pair is within its share."""
-    first = np.full(a.size, -1)
-    for block, (begin, end) in enumerate(edges):
+def leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The rows in groups of at most ``LEAF_ROWS``, cut at the median of their widest coordinate."""
+    out, left = [], [rows]
+    while left:
+        rows = left.pop()
+        if rows.size <= LEAF_ROWS:
+            out.append(rows)
+            continue
+        here = points[rows]
+        axis = int(np.argmax(here.max(0) - here.min(0)))
+        order, half = np.argpartition(here[:, axis], rows.size // 2), rows.size // 2
+        left += [rows[order[:half]], rows[order[half:]]]
+    return out
+
+
+def range_join(points: np.ndarray, asking: np.ndarray, offered: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an asking and an offered row within about ``share`` by squared distance; none of those within it is left out.
+
+    Both sides are cut into k-d leaves; leaves whose boxes, in all coordinates, are further apart than
+    the share are skipped. The distances of the others are single-precision products with a slack.
+    """
+    if not asking.size or not offered.size:
+        return
+    left, right = leaves(points, asking), leaves(points, offered)
+    sizes, rows = np.array([r.size for r in right]), np.concatenate(right)
+    lowest, highest = np.array([points[r].min(0) for r in right]), np.array([points[r].max(0) for r in right])
+    square = np.einsum("ij,ij->i", points, points)
+    one = np.ones_like(square)
+    asks = np.column_stack([-2 * points, one, square]).astype(np.float32)
+    offers = np.column_stack([points, square, one]).astype(np.float32)[rows]
+    for leaf in left:
+        low, high = points[leaf].min(0), points[leaf].max(0)
+        gap = np.maximum(np.maximum(lowest - high, low - highest), 0)
+        close = np.flatnonzero(np.repeat(np.einsum("ij,ij->i", gap, gap) <= share + SLACK, sizes))
+        for at in range(0, close.size, 4096):
+            some = close[at : at + 4096]
+            near = np.flatnonzero(asks[leaf] @ offers[some].T <= np.float32(share + SINGLE_SLACK))
+            if near.size:
+                yield leaf[near // some.size], rows[some[near % some.size]]
+
+
+def within_budget(
+    place: np.ndarray, edges: list, share: np.ndarray, block: int, a: np.ndarray, b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose first block within its share is ``block`` and whose distance is within the whole budget.
+
+    The squared distance grows block by block, and a pair goes as soon as it is too far or an earlier
+    block has brought it together.
+    """
+    far, total = share.sum(), 0.0
+    for other in [block, *(i for i in range(len(edges)) if i != block)]:
+        begin, end = edges[other]
         gap = place[a, begin:end] - place[b, begin:end]
-        first[(first < 0) & (np.einsum("ij,ij->i", gap, gap) <= share[block])] = block
-    return first
+        square = np.einsum("ij,ij->i", gap, gap)
+        total = total + square
+        stay = total <= far
+        if other <= block:
+            stay &= (square <= share[block]) if other == block else (square > share[other])
+        a, b, total = a[stay], b[stay], total[stay]
+    return a, b
 
 
 def link_vectors(
-    table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", minimum: float = MINIMUM, tile_rows: int = TILE_ROWS
+    table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", minimum: float = MINIMUM, tile_rows: int | None = None
 ) -> DataFrame:
     """Per row: ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -167,23 +216,24 @@ def link_vectors(
     (which must be below 1). ``n_links`` counts other rows linked directly, ``component_id`` is the
     smallest id reachable over links, ``kept`` tells the row of that id. Vectors that are NULL, empty
     or zero, or hold NULL or non-finite components, link with nothing. Ids are whole numbers; rows
-    without one are left out, and rows that share one must hold the same vector and count as one.
+    that share one are one row, and of their different vectors the one with the smallest hash counts.
+    Rows without an id are one row as well: no links, and NULL as ``component_id`` and ``kept``.
 
-    Equal vectors are one row with a weight. Cells with more than ``tile_rows`` rows are cut into
-    tiles by a hash of the id, every tile of asking rows with every tile of offered ones.
+    Equal vectors are one row with a weight. Cells with more than ``tile_rows`` rows (default: those
+    of ``TILE_BYTES``) are cut into tiles by a hash of the id, every tile of asking rows with every
+    tile of offered ones.
     """
     rows = table.select(F.col(quoted(vec_id)).cast("bigint").alias("id"), F.col(quoted(embedding)).alias("vector"))
-    rows = rows.where("id is not null")
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     limit = F.lit(float("inf"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < limit))
     usable = F.coalesce(finite & (F.size("vector") > 0), F.lit(False))
     usable = usable & F.coalesce(F.when(usable, (squares > 0) & (squares < limit)), F.lit(False))
-    good = rows.where(usable).select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
-    hashes = good.select("id", "h1", "h2").distinct()
+    good = rows.where(usable & F.col("id").isNotNull()).select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    hashes = good.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
     equal = materialize(hashes.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("weight")), "equal")
     member = materialize(attach(hashes, equal, ["h1", "h2"]).select("id", "node", "weight"), "members")
-    nodes = good.join(equal.select(F.col("node").alias("id"), "weight"), "id").dropDuplicates(["id"])
+    nodes = good.join(equal.withColumnRenamed("node", "id"), ["id", "h1", "h2"]).dropDuplicates(["id"])
     cells = materialize(spread_cells(nodes.select("id", "weight", "vector"), minimum), "cells")
     width = next(f.dataType.elementType.simpleString() for f in table.schema.fields if f.name == embedding)
     kind = np.float32 if width == "float" else np.float64
@@ -191,7 +241,8 @@ def link_vectors(
     # Tiles: cells beyond the limit get as many parts on each side as their rows need.
     keys = ["size", "block", "cell"]
     counted = cells.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.col("asks").cast("int")).alias("asking"))
-    parts = counted.where("asking > 0 and rows > 1").select(*keys, F.ceil(F.col("rows") / tile_rows).cast("int").alias("parts"))
+    most = F.lit(tile_rows) if tile_rows else F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("size"))))
+    parts = counted.where("asking > 0 and rows > 1").select(*keys, F.ceil(F.col("rows") / most).cast("int").alias("parts"))
     placed = attach(cells, parts, keys)
     mine = F.pmod(F.xxhash64("id"), "parts").cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)

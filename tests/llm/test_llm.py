@@ -188,6 +188,40 @@ def test_vectors_link_as_in_brute_force(session, tile_rows):
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("size", "rows", "noise"), [(64, 3000, 0.02), (1024, 120, 0.005), (5, 300, 0.1)])
+def test_dense_cluster_of_near_copies(session, size, rows, noise):
+    draw = np.random.default_rng(size)
+    data = draw.normal(size=size) / np.sqrt(size) + draw.normal(size=(rows, size)) * noise
+    data = np.vstack([data, draw.normal(size=(rows // 4, size))])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    table = session.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_vectors(table).collect()}
+    assert [got[i] for i in range(len(data))] == (near.sum(1) - 1).tolist()
+    assert max(got.values()) > rows // 2
+
+
+def test_vectors_with_repeated_and_missing_ids(session):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (None, [1.0, 0.0]), (None, None)]
+    table = session.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.link_vectors(table).collect()}
+    assert len(got) == 4 and got[None] == (0, None, None)
+    # The row of id 1 has one of its vectors, and what links with it says the same.
+    assert sorted([got[2], got[3]]) in ([(0, 2, True), (1, 1, False)], [(0, 3, True), (1, 1, False)])
+    assert got[1] == (1, 1, True)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.2])
+def test_range_join_leaves_no_pair_out(share):
+    points = np.random.default_rng(1).normal(size=(900, 8)) * 0.125
+    asking, offered = np.arange(0, 900, 2), np.arange(300, 900)
+    found = [np.column_stack(p) for p in embedding_dedup.range_join(points, asking, offered, share)]
+    found = {tuple(p) for p in np.vstack(found).tolist()}
+    gaps = ((points[asking][:, None] - points[offered]) ** 2).sum(-1)
+    wanted = {(int(asking[i]), int(offered[j])) for i, j in np.argwhere(gaps <= share)}
+    assert wanted <= found and all(((points[a] - points[b]) ** 2).sum() <= share + 2e-5 for a, b in found)
+
+
 def test_warc_round_trip(session, tmp_path):
     long = "é" * 600
     html = [long, "short", "short", None, "", long, "WARC/1.1\r\n\r\n" + "y" * 2000, long]
