@@ -4,8 +4,8 @@ A text is the sequence of its five-word k-mers, each labelled with its occurrenc
 takes the two smallest k-mers by a hash and keeps them in text order, so texts agree in a sketch
 only if they share k-mers in the same order. Bands of two sketches are the buckets. Within a bucket,
 members are aligned with few chosen ones until what is left has to be compared with all others, so a
-group of copies costs links in its size, not its square. A pair links if the k-mers aligned in order,
-within a band around the diagonal, are at least 0.8 of all k-mers of both.
+group of copies costs links in its size, not its square. A pair links if the words that a banded
+alignment matches in order are at least 0.8 of the words of the longer text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from gustara.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, SKETCHES_PER_BAND, TAKEN = 20, 2, 2
-# K-mers of one side of a tile, and k-mer columns counted at once in it.
-TILE_KMERS, TILE_COLUMNS = 400_000, 4096
+# Words of one side of a tile, and word columns counted at once in it.
+TILE_WORDS, TILE_COLUMNS = 400_000, 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 MOST = np.uint64(2**64 - 1)
 WORD = re.compile(r"\w+")
@@ -111,39 +111,89 @@ def bands_of(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return bucket.view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
-    """K-mers of two texts matched in order, no further off the diagonal than ``similarity`` allows.
-
-    Labelled k-mers are distinct within a text, so the best alignment is the longest increasing
-    chain of the places of common ones.
-    """
-    band = int((1 - similarity) / (1 + similarity) * (a.size + b.size)) + 1
-    _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+def chained(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words that an increasing chain of common k-mers matches in order: no more than an alignment does."""
+    width = min(WORDS, a.size, b.size)
+    _, x, y = np.intersect1d(kmers(a), kmers(b), assume_unique=True, return_indices=True)
     near = np.abs(x - y) <= band
-    x, y = x[near], y[near]
-    y = y[np.argsort(x)]
-    if y.size < 2 or (y[1:] > y[:-1]).all():
-        return int(y.size)
-    chain: list[int] = []
-    for place in y.tolist():
-        at = bisect.bisect_left(chain, place)
-        if at == len(chain):
-            chain.append(place)
-        else:
-            chain[at] = place
-    return len(chain)
+    order = np.argsort(x[near])
+    x, y = x[near][order], y[near][order]
+    if not y.size:
+        return 0
+    if (y[1:] <= y[:-1]).any():
+        tops: list[int] = []
+        last: list[int] = []
+        before = np.full(y.size, -1)
+        for i, place in enumerate(y.tolist()):
+            at = bisect.bisect_left(tops, place)
+            before[i] = last[at - 1] if at else -1
+            if at == len(tops):
+                tops.append(place)
+                last.append(i)
+            else:
+                tops[at], last[at] = place, i
+        chain, i = [], last[-1]
+        while i >= 0:
+            chain.append(i)
+            i = before[i]
+        x, y = x[chain[::-1]], y[chain[::-1]]
+    return int(np.minimum(np.minimum(np.diff(x), np.diff(y)), width).sum()) + width
+
+
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Most words that two texts match in order, no match further than ``band`` off the diagonal.
+
+    The column of the alignment table is one whole number of a bit per place in the band; a bit is 0
+    where the alignment grows, so a word of ``b`` costs a few operations on it.
+    """
+    places: dict[int, list[int]] = {}
+    for place, word in enumerate(a.tolist()):
+        places.setdefault(word, []).append(place)
+    full = (1 << (2 * band + 1)) - 1
+    column, matched = full, 0
+    for j, word in enumerate(b.tolist()):
+        low = j - band  # the place of bit 0
+        if j:
+            matched += ~column & 1
+            column = column >> 1 | 1 << (2 * band)
+        here = places.get(word)
+        if here:
+            hits = 0
+            for place in here[bisect.bisect_left(here, low) : bisect.bisect_right(here, j + band)]:
+                hits |= 1 << (place - low)
+            grown = column & hits
+            column = (column + grown | column - grown) & full
+    return matched + (~column & full).bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the aligned k-mers are at least ``similarity`` of all k-mers of both texts."""
-    if min(a.size, b.size) < similarity * max(a.size, b.size):
+    """Whether the words aligned in order are at least ``similarity`` of the longer text's words.
+
+    Unmatched words bound how far a match can lie off the diagonal, so the band loses no such pair.
+    Words that both texts begin and end with match; bounds from below and above come before the alignment.
+    """
+    longer, shorter = max(a.size, b.size), min(a.size, b.size)
+    need = int(np.ceil(similarity * longer - 1e-9))
+    band = longer - need
+    if shorter < need:
+        return False
+    apart = np.flatnonzero(a[:shorter] != b[:shorter])
+    head = int(apart[0]) if apart.size else shorter
+    a, b, need = a[head:], b[head:], need - head
+    shorter -= head
+    apart = np.flatnonzero(a[::-1][:shorter] != b[::-1][:shorter])
+    tail = int(apart[0]) if apart.size else shorter
+    a, b, need = a[: a.size - tail], b[: b.size - tail], need - tail
+    if need <= 0 or min(a.size, b.size) < need:
+        return need <= 0
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    if np.intersect1d(kmers(a, 1), kmers(b, 1), assume_unique=True).size < need:
         return False
-    matched = aligned(a, b, similarity)
-    return matched >= similarity * (a.size + b.size - matched)
+    return chained(a, b, band) >= need or aligned(a, b, band) >= need
 
 
-def common_kmers(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of common k-mers of every left with every right text, as products of 0/1 matrices."""
+def common_words(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common occurrence-labelled words of every left with every right text, as products of 0/1 matrices."""
     sides = [np.concatenate(s) if s else np.empty(0, np.int64) for s in (left, right)]
     shared = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
     counts = np.zeros((len(left), len(right)), np.float32)
@@ -169,15 +219,16 @@ def common_kmers(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def tile_pairs(bucket: int, rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
     """Links between asking and offered rows of one bucket that lie in different components.
 
-    A row is (id, component, asks, asks here, offered here, marks, bands). A pair counts in the first
+    A row is (id, component, asks, asks here, offered here, words, bands). A pair counts in the first
     bucket that both share.
     """
     left, right = [r for r in rows if r[3]], [r for r in rows if r[4]]
     if len(left) * len(right) > 64:
         sizes = [np.array([r[5].size for r in side]) for side in (left, right)]
-        # Aligned k-mers are common ones, so too few common ones rule a pair out.
-        least = similarity / (1 + similarity) * (sizes[0][:, None] + sizes[1]) - 0.5
-        chosen = zip(*np.nonzero(common_kmers([r[5] for r in left], [r[5] for r in right]) >= least), strict=True)
+        # Aligned words are common ones, so too few common ones rule a pair out.
+        least = similarity * np.maximum(sizes[0][:, None], sizes[1]) - 0.5
+        labelled = [[kmers(r[5].view(np.uint64), 1) for r in side] for side in (left, right)]
+        chosen = zip(*np.nonzero(common_words(*labelled) >= least), strict=True)
     else:
         chosen = ((i, j) for i in range(len(left)) for j in range(len(right)))
     out = []
@@ -191,15 +242,15 @@ def tile_pairs(bucket: int, rows: list[tuple], similarity: float) -> list[tuple[
     return out
 
 
-def compare_rest(group: DataFrame, pivots: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def compare_rest(group: DataFrame, pivots: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of a bucket that no pivot has brought into one component.
 
     Members apart from their bucket's pivot ask all others. Buckets are cut into tiles of bounded
-    k-mers by a hash of the id, each part of asking rows with each part of offered ones; a tile's
+    words by a hash of the id, each part of asking rows with each part of offered ones; a tile's
     pairs stay inside its task, only links leave it.
     """
     known = attach(group, pivots, "bucket").withColumn("asks", F.col("component") != F.col("pc"))
-    total = F.ceil(F.sum("n") / TILE_KMERS).cast("int").alias("parts")
+    total = F.ceil(F.sum("n") / TILE_WORDS).cast("int").alias("parts")
     split = known.groupBy("bucket").agg(F.max("asks").alias("any"), total).where("any").select("bucket", "parts")
     placed = attach(known.select("bucket", "id", "component", "asks"), split, "bucket")
     mine = F.pmod(F.xxhash64("id"), "parts").cast("int")
@@ -214,7 +265,7 @@ def compare_rest(group: DataFrame, pivots: DataFrame, marks: DataFrame, similari
         ),
         "tiles",
     )
-    filled = tiles.join(marks, "id").select("bucket", "i", "j", "id", "component", "asks", "left", "right", "marks", "bands")
+    filled = tiles.join(words, "id").select("bucket", "i", "j", "id", "component", "asks", "left", "right", "words", "bands")
     sorted_tiles = filled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +286,7 @@ def compare_rest(group: DataFrame, pivots: DataFrame, marks: DataFrame, similari
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, h1, h2, n, bands): two hashes of the word sequence, its k-mer count and its buckets.
+    """(id, h1, h2, n, bands): two hashes of the word sequence, its word count and its buckets.
 
     Rows without an id or without a word have no sketch: they link with nothing.
     """
@@ -252,7 +303,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 marks = kmers(hashed(words))
                 firsts.append(int.from_bytes(whole[:8], "little", signed=True))
                 seconds.append(int.from_bytes(whole[8:], "little", signed=True))
-                counts.append(marks.size)
+                counts.append(len(words))
                 bands.append(bands_of(marks))
             return firsts, seconds, counts, bands
 
@@ -262,27 +313,27 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return text_stage(rows.where("id is not null and said is not null"), "said", make, added, ["id"]).where("n > 0")
 
 
-def kmers_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, marks, bands): the labelled k-mers and buckets of the documents with these ids."""
+def words_by_id(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, words, bands): the hashed words and buckets of the documents with these ids."""
     rows = docs.select(F.col(quoted(doc_id)).cast("bigint").alias("id"), F.col(quoted(text)).alias("said"))
 
     def make():
         hashed = WordHashes()
 
         def stage(texts):
-            marks = [kmers(hashed(words_of(t))) for t in texts]
-            return [m.view(np.int64) for m in marks], [bands_of(m) for m in marks]
+            words = [hashed(words_of(t)) for t in texts]
+            return [w.view(np.int64) for w in words], [bands_of(kmers(w)) for w in words]
 
         return stage
 
-    added = {"marks": "array<bigint>", "bands": "array<bigint>"}
+    added = {"words": "array<bigint>", "bands": "array<bigint>"}
     return text_stage(beside_texts(rows, ids, "id", "left_semi"), "said", make, added, ["id"])
 
 
-def align_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def align_pairs(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of ids that link."""
-    first = pairs.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("x")), "a")
-    both = first.join(marks.select(F.col("id").alias("b"), F.col("marks").alias("y")), "b").select("a", "b", "x", "y")
+    first = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    both = first.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,18 +362,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = nodes.select("id", "n", F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     buckets = materialize(attach(buckets, shared, "bucket", "left_semi"), "buckets")
-    marks = materialize(kmers_of(buckets.select("id").distinct(), docs, doc_id, text), "kmers")
+    words = materialize(words_by_id(buckets.select("id").distinct(), docs, doc_id, text), "words")
     links = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     # Every member with its bucket's smallest id first; then what is still apart from it with all others.
     first = F.min(F.struct("id", "n")).alias("p")
     centers = buckets.groupBy("bucket").agg(first).select("bucket", F.col("p.id").alias("b"), F.col("p.n").alias("m"))
     pairs = attach(buckets, centers, "bucket").where("id <> b").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
     pairs = materialize(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    found = align_pairs(pairs, marks, similarity)
+    found = align_pairs(pairs, words, similarity)
     group = attach(buckets, components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     group = materialize(group, "grouped")
     pivots = group.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.component").alias("pc"))
-    found = found.unionByName(compare_rest(group, pivots, marks, similarity))
+    found = found.unionByName(compare_rest(group, pivots, words, similarity))
     classes = components(links.unionByName(found))
     rows = attach(ids, classes, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
     sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -140,6 +141,38 @@ def test_benchmark_passages_are_found_with_substitutions(session):
     assert kept.count() == len(texts) + 1 - 2 and kept.columns == frame(session, texts).columns
 
 
+def in_order(a, b):
+    """Longest common subsequence by the whole table; 0 where too few words are common to reach 0.8."""
+    if (Counter(a) & Counter(b)).total() < 0.8 * max(len(a), len(b)):
+        return 0
+    row = np.zeros(len(b) + 1, np.int64)
+    for word in a:
+        hit = np.append(0, row[:-1] + np.array([w == word for w in b]))
+        row = np.maximum.accumulate(np.maximum(row, hit))
+    return int(row[-1])
+
+
+def test_banded_alignment_is_the_whole_table_where_it_links():
+    code = {w: i * 2654435761 % 2**61 for i, w in enumerate("abcdefgh")}
+    for trial in range(400):
+        draw = random.Random(trial)
+        a = [draw.choice("abcdefgh"[: draw.randint(1, 8)]) for _ in range(draw.randint(1, 40))]
+        b = [w for w in a if draw.random() > 0.08]
+        for _ in range(draw.randint(0, 6)):
+            b.insert(draw.randint(0, len(b)), draw.choice("abcdefgh"))
+        x, y = (np.array([code[w] for w in t], np.int64) for t in (a, b))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        most = int(table[-1, -1])
+        whole = max(len(a), len(b))
+        assert order_minhash.similar(x, y, 0.8) == order_minhash.similar(y, x, 0.8) == (bool(b) and most >= 0.8 * whole)
+        if b:
+            assert order_minhash.aligned(x, y, whole) == most
+            assert order_minhash.chained(x.view(np.uint64), y.view(np.uint64), whole) <= most
+
+
 def test_order_minhash_finds_the_classes_of_brute_force(session):
     base = [prose(200, 900 + i) for i in range(8)]
     texts = list(ODD) + base + [base[0], base[0]]
@@ -148,11 +181,11 @@ def test_order_minhash_finds_the_classes_of_brute_force(session):
         for _ in range(DRAW.randint(1, 6)):
             words[DRAW.randrange(200)] = DRAW.choice(VOCABULARY)
         texts.append(" ".join(words))
-    marks = [order_minhash.kmers(order_minhash.WordHashes()(order_minhash.words_of(t))) for t in texts]
+    said = [re.findall(r"\w+", (t or "").lower()) for t in texts]
     group = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if marks[a].size and marks[b].size and order_minhash.similar(marks[a].view(np.int64), marks[b].view(np.int64), 0.8):
+            if said[a] and said[b] and in_order(said[a], said[b]) >= 0.8 * max(len(said[a]), len(said[b])):
                 x, y = sorted((group[a], group[b]))
                 group = [x if g == y else g for g in group]
     got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(frame(session, texts)).collect()}
@@ -162,7 +195,7 @@ def test_order_minhash_finds_the_classes_of_brute_force(session):
 
 
 def test_tiles_give_the_same_links_as_pairs(monkeypatch, session):
-    monkeypatch.setattr(order_minhash, "TILE_KMERS", 500)
+    monkeypatch.setattr(order_minhash, "TILE_WORDS", 500)
     test_order_minhash_finds_the_classes_of_brute_force(session)
 
 
