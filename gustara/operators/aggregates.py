@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustara.operators.ordering import running_position
+from gustara.operators.selection import select_quantiles
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
@@ -31,51 +29,33 @@ def mean_std(df: DataFrame, column: str) -> DataFrame:
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """One row with the exact linear-interpolated quantiles ``q0``, ``q1``, ... of a column.
 
-    The exact percentile aggregate keeps every distinct value in one buffer. Here distinct
-    values are counted, numbered over range partitions, and only the values at the wanted
-    positions are picked.
+    NULLs are left out, NaN is the largest value; without a value all quantiles are NULL.
     """
-    value = F.col(column).cast("double")
-    counted = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-    placed = running_position(counted, [], [("v", True)], "position", weight="n")
-    first, last = F.col("position") - 1, F.col("position") + F.col("n") - 2
-    total = df.agg(F.count(column).alias("n")).scalar()
-    picks = []
-    for i, share in enumerate(shares):
-        at = (total - 1) * share
-        for name, wanted in ((f"lo{i}", F.floor(at)), (f"hi{i}", F.ceil(at))):
-            picks.append(F.max(F.when((wanted >= first) & (wanted <= last), F.col("v"))).alias(name))
-    found = placed.agg(*picks, F.max(total).alias("_total"))
-    results = []
-    for i, share in enumerate(shares):
-        at = (F.col("_total") - 1) * share
-        step = F.col(f"hi{i}") - F.col(f"lo{i}")
-        results.append((F.col(f"lo{i}") + step * (at - F.floor(at))).alias(f"q{i}"))
-    return found.select(*results)
+    found = select_quantiles(df, [column], shares)[column]
+    return df.sparkSession.range(1).select(*[F.lit(q).cast("double").alias(f"q{i}") for i, q in enumerate(found)])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max, one row per numeric column."""
+    """count, mean, std, min, exact quartiles and max, one row per numeric column; a name may repeat."""
+    quartiles = select_quantiles(df, list(dict.fromkeys(columns)), (0.25, 0.5, 0.75))
     rows = []
     for name in columns:
         value = F.col(name).cast("double")
-        quartiles = quantiles(df, name, (0.25, 0.5, 0.75))
-        packed = quartiles.select(F.struct("q0", "q1", "q2").alias("q")).scalar()
-        basic = df.agg(
-            F.lit(name).alias("column_name"),
-            F.count(name).alias("n_values"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ).withColumn("q", packed)
+        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[name])
         rows.append(
-            basic.select(
-                "column_name", "n_values", "mean", "std", "min",
-                F.col("q.q0").alias("q25"), F.col("q.q1").alias("q50"), F.col("q.q2").alias("q75"), "max",
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.count(name).alias("n_values"),
+                F.avg(value).alias("mean"),
+                F.stddev_samp(value).alias("std"),
+                F.min(value).alias("min"),
+                q25.alias("q25"),
+                q50.alias("q50"),
+                q75.alias("q75"),
+                F.max(value).alias("max"),
             )
         )
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
