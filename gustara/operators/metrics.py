@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -106,12 +108,23 @@ def hit_rate_at_k(scored: DataFrame, truth: str = "rating_date", score: str = "s
     return both.groupBy("user_id").agg((F.count("_hit") / F.lit(k)).alias("hit_rate"))
 
 
-def graded_ndcg_at_k(scored: DataFrame, truth: str = "rating", score: str = "score", k: int = 5) -> DataFrame:
-    """Per user NDCG with linear gains; score ties go to the smaller item id."""
+def graded_ndcg_at_k(
+    scored: DataFrame, truth: str = "rating", score: str = "score", k: int = 5, average_ties: bool = False
+) -> DataFrame:
+    """Per user NDCG with linear gains.
+
+    Score ties go to the smaller item id, or with ``average_ties`` every row of a tie gets the mean gain
+    of the tie, as if all its orders were averaged; item ids do not count then. NULL scores come last
+    and tie with each other; a NULL gain is 0.
+    """
     tie = F.col("item_id").asc()
-    rows = scored.select("user_id", "item_id", F.col(truth).alias("gain"), F.col(score).alias("_score"))
+    gain = F.coalesce(F.col(truth), F.lit(0)).alias("gain")
+    rows = scored.select("user_id", "item_id", gain, F.col(score).alias("_score"))
     gained = F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0))
-    actual = top_k(rows, ["user_id"], [F.col("_score").desc(), tie], k).groupBy("user_id").agg(gained.alias("dcg"))
+    if average_ties:
+        actual = _tied_gain(rows, k)
+    else:
+        actual = top_k(rows, ["user_id"], [F.col("_score").desc(), tie], k).groupBy("user_id").agg(gained.alias("dcg"))
     ideal = top_k(rows, ["user_id"], [F.col("gain").desc(), tie], k).groupBy("user_id").agg(gained.alias("idcg"))
     return actual.join(ideal, "user_id").select(
         "user_id",
@@ -119,6 +132,25 @@ def graded_ndcg_at_k(scored: DataFrame, truth: str = "rating", score: str = "sco
     )
 
 
+def _tied_gain(rows: DataFrame, k: int) -> DataFrame:
+    """(user_id, dcg): mean gain of each tie times the discounts of the places it takes among the first ``k``.
+
+    A tie is one row before any window, and a user's first ``k`` ties reach place ``k``.
+    """
+    ties = rows.groupBy("user_id", "_score").agg(F.count("*").alias("n"), F.avg("gain").alias("mean"))
+    first = top_k(ties, ["user_id"], [F.col("_score").desc()], k)
+    end = F.sum("n").over(W.partitionBy("user_id").orderBy("rank"))
+    discounts = [0.0]
+    for place in range(1, k + 1):
+        discounts.append(discounts[-1] + 1 / math.log2(place + 1))
+    upto = F.array(*[F.lit(d) for d in discounts])
+    placed = first.withColumn("end", end).select(
+        "user_id", "mean", F.least("end", F.lit(k)).cast("int").alias("last"), F.least(F.col("end") - F.col("n"), F.lit(k)).cast("int").alias("before")
+    )
+    taken = F.get(upto, F.col("last")) - F.get(upto, F.col("before"))
+    return placed.groupBy("user_id").agg(F.sum(F.col("mean") * taken).alias("dcg"))
+
+
 def results_table(valid: DataFrame, train: DataFrame) -> DataFrame:
     """Per user hit rates of both splits with their difference."""
     joined = valid.select("user_id", F.col("hit_rate").alias("val_hit_rate")).join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from gustara.functions.text import parse_items, prompt_parts
 from gustara.operators import catalog, judge
 from gustara.operators.generate import embed_text, generate, generate_profiles
 from gustara.operators.history import newest_rows
+from gustara.operators.ledger import generate_once
 from gustara.operators.hyde import hyde_search, semantic_search
 from gustara.operators.metrics import hit_rate_at_k, recall_at_k, recall_summary, users_at_least, users_at_most
 from gustara.operators.listwise import score_listwise
@@ -38,7 +40,7 @@ from gustara.plans.registry import query
 from gustara.providers.base import Retry
 from gustara.providers.offline import HashingProvider, ListMatchProvider, ProfileMatchProvider
 from gustara.schemas import ITEM_PROFILE, USER_PROFILE
-from gustara.session import materialize
+from gustara.session import materialize, work_dir
 
 AT_ONCE = Retry(attempts=2, wait_seconds=0.0, give_up=None)
 ITEM_COLUMNS = ("parsed_ingredients", "parsed_recipe", "percent_daily_values")
@@ -91,6 +93,25 @@ def generate_retry(spark, sf):
     return rows.select("doc_id", "error", "answer_text")
 
 
+@dataclass(frozen=True)
+class SilentProvider:
+    """Refuses every call."""
+
+    def generate(self, requests, params):
+        raise ValueError("asked again")
+
+
+@query("generate_ledger", "SELECT doc_id, CASE WHEN contains(text, 'token = ') THEN 'ValueError: asked again' END AS error, CASE WHEN NOT contains(text, 'token = ') THEN '{\"notes\": \"' || length(text) || '\"}' END AS answer_text FROM documents")
+def generate_from_ledger(spark, sf):
+    """A second run asks only what the first one got no answer for: here its provider refuses, and the answers stand."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger = f"{work_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    parts = prompt_parts("Summarise", "text")
+    generate_once(docs, parts, RefusingProvider("token = "), ledger, "notes", retry=AT_ONCE)
+    rows = generate_once(docs, parts, SilentProvider(), ledger, "notes", retry=AT_ONCE)
+    return rows.select("doc_id", "error", "answer_text")
+
+
 @query("item_profiles", sql("parsed", "SELECT item_id, food_type, cuisine_type, flavors FROM ip", ip=ITEM_PROFILE_SQL))
 def typed_item_profiles(spark, sf):
     return item_profiles(spark, sf).select(

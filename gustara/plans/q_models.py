@@ -206,6 +206,23 @@ def graded_ndcg(spark, sf):
     return graded_ndcg_at_k(scored, k=10).withColumn("ndcg", r6("ndcg"))
 
 
+@query(
+    "ndcg_tie_averaged",
+    sql(
+        "train items",
+        """SELECT a.user_id, round(a.d / b.d, 6) AS ndcg FROM
+        (SELECT user_id, sum(mean * CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) AS d FROM (SELECT user_id, avg(rating) OVER (PARTITION BY user_id, floor(score)) AS mean, row_number() OVER (PARTITION BY user_id ORDER BY floor(score) DESC) AS r FROM scored) GROUP BY 1) a JOIN
+        (SELECT user_id, sum(rating / log2(r + 1)) AS d FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM scored) WHERE r <= 10 GROUP BY 1) b USING (user_id)""",
+        aged=AGED,
+        scored=SCORED.format(aged="aged"),
+    ),
+)
+def tie_averaged_ndcg(spark, sf):
+    """The community rating in whole stars as the score, so most rows of a user are tied."""
+    scored = scored_pairs(spark, sf, stored_split(spark, sf).train).withColumn("score", F.floor("score"))
+    return graded_ndcg_at_k(materialize(scored, "scored"), k=10, average_ties=True).withColumn("ndcg", r6("ndcg"))
+
+
 PRODUCT = "SELECT i.item_id, i.aver_rate, i.review_nums, " + ", ".join(f'n."{k}"' for k in ITEM_NUTRIENTS) + " FROM items i JOIN nutrition n USING (item_id)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import random
 
@@ -72,6 +73,21 @@ def test_graded_ndcg(spark):
     assert got["u"] == pytest.approx(want) and got["z"] == 0.0
 
 
+def test_graded_ndcg_averages_all_orders_of_a_tie(spark):
+    rnd = random.Random(3)
+    rows = [(u, str(i), float(rnd.randint(0, 5)), 0.0, rnd.choice((0.0, 1.0, 2.0, None))) for u in "ab" for i in range(7)]
+    rows += [("hot", str(i), float(i % 3), 0.0, 1.0) for i in range(40)] + [("null", "a", None, 0.0, None)]
+    got = {r["user_id"]: r["ndcg"] for r in M.graded_ndcg_at_k(spark.createDataFrame(rows, SCORED), k=4, average_ties=True).collect()}
+    for user in "ab":
+        mine = [(s if s is not None else -1.0, g) for u, _, g, _, s in rows if u == user]
+        orders = [p for p in itertools.permutations(mine) if all(x[0] >= y[0] for x, y in itertools.pairwise(p))]
+        dcg = [sum(g / math.log2(i + 2) for i, (_, g) in enumerate(p[:4])) for p in orders]
+        ideal = sum(g / math.log2(i + 2) for i, g in enumerate(sorted((g for _, g in mine), reverse=True)[:4]))
+        assert got[user] == pytest.approx(sum(dcg) / len(dcg) / ideal)
+    assert got["hot"] == pytest.approx((39 / 40) / 2) and got["null"] == 0.0
+    assert M.graded_ndcg_at_k(spark.createDataFrame([], SCORED), average_ties=True).collect() == []
+
+
 def test_results_and_extremes(spark):
     rates = "user_id string, hit_rate double"
     table = M.results_table(spark.createDataFrame([("a", 0.2), ("b", 1.0)], rates), spark.createDataFrame([("a", 0.6), ("b", 1.0)], rates))
