@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from gustara.functions.text import parse_items, prompt_parts
 from gustara.operators import catalog, judge
+from gustara.operators.filtered_search import filtered_search
 from gustara.operators.generate import embed_text, generate, generate_profiles
 from gustara.operators.history import newest_rows
-from gustara.operators.ledger import generate_once
 from gustara.operators.hyde import hyde_search, semantic_search
+from gustara.operators.ledger import generate_once
 from gustara.operators.metrics import hit_rate_at_k, recall_at_k, recall_summary, users_at_least, users_at_most
 from gustara.operators.listwise import score_listwise
 from gustara.operators.ranker import review_rows
@@ -183,6 +184,27 @@ def search_filtered(spark, sf):
     return _out(vector_search(base, user_vectors(spark, sf, split.users), K, "EUCLIDEAN"))
 
 
+@query(
+    "vector_search_mixed_filters",
+    sql(
+        "item_vec items",
+        f"""{NEAR_OUT}(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(distance, 9), item_id) AS rank FROM
+        (SELECT u.item_id AS user_id, i.item_id, list_cosine_distance(u.v, i.v) AS distance FROM known u JOIN known i
+        ON coalesce(u.label % 3 = 0, true) OR (u.label % 3 = 1 AND i.label = u.label) OR (u.label % 3 = 2 AND i.label IN (u.label, u.label + 1) AND i.category = u.category))) WHERE rank <= {K}""",
+        known="SELECT v.*, i.category FROM item_vec v LEFT JOIN items i USING (item_id)",
+    ),
+)
+def search_mixed(spark, sf):
+    """Every stored vector as a query: any item, items of its label, or items of its category and two labels."""
+    base = item_vectors(spark, sf).join(items(spark, sf).select("item_id", "category"), "item_id", "left")
+    base = materialize(base, "known-vectors")
+    label, text = F.col("label"), F.col("label").cast("string")
+    both = F.create_map(F.lit("category"), F.array("category"), F.lit("label"), F.array(text, (label + 1).cast("string")))
+    wanted = F.when(label % 3 == 1, F.create_map(F.lit("label"), F.array(text))).when(label % 3 == 2, both)
+    queries = base.select(F.col("item_id").alias("user_id"), "embedding", wanted.alias("filters"))
+    return _out(filtered_search(base, queries, ["category", "label"], k=K))
+
+
 HYDE_SQL = f"""SELECT user_id, item_id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(distance, 9), item_id) AS rank FROM (
     SELECT user_id, item_id, list_cosine_distance(h.v, b.v) AS distance FROM he h, ie b)) WHERE rank <= {K}"""
