@@ -13,6 +13,7 @@ from gustara.schemas import RAW_INTERACTIONS
 from gustara.session import work_dir
 from gustara.sources.files import binary_manifest, write_files
 from gustara.sources.sql import register_functions, register_views
+from gustara.sources.keyed import read_keyed, update_keyed, write_keyed
 from gustara.sources.tables import (
     create_namespace,
     enrich_table,
@@ -116,6 +117,23 @@ def add_column_update(spark, sf):
     return updated.select("vec_id", F.col("label").cast("string").alias("label"), F.array_join(scaled, " ").alias("micro"))
 
 
+@query(
+    "keyed_update",
+    """SELECT vec_id, CAST(CASE WHEN vec_id % 6 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN CAST(label AS BIGINT) + 100 ELSE CAST(label AS BIGINT) END AS VARCHAR) AS label,
+         CASE WHEN label = 3 THEN 'third' END AS note FROM embeddings""",
+)
+def keyed_update(spark, sf):
+    """The same in a table of hash buckets, of which an update rewrites those that hold a key; a note is a new column."""
+    target = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    folder = _scratch(spark, "keyed")
+    write_keyed(target, folder, "vec_id", buckets=16)
+    notes = target.where(F.col("label") == 3).select("vec_id", F.lit("third").alias("note"))
+    anew = F.when(F.col("vec_id") % 6 != 0, F.col("label") + 100).alias("label")
+    update_keyed(spark, folder, notes, "vec_id", "note")
+    update_keyed(spark, folder, target.where(F.col("vec_id") % 3 == 0).select("vec_id", anew), "vec_id", "label")
+    return read_keyed(spark, folder, ["vec_id", "label", "note"]).withColumn("label", F.col("label").cast("string"))
+
+
 @query(
     "binary_file_manifest",
     """SELECT CAST(page_id AS VARCHAR) AS id, 'store/pages/' || page_id || '.html' AS dst, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length
