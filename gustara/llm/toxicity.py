@@ -56,7 +56,8 @@ def fit_toxicity(
 
     The sample's classes are weighted back to their shares among all usable labelled rows. Rows
     with a NULL or held-out id, a label other than 0 and 1, or no text row are not learned from; an
-    id labelled twice with both values is learned as toxic. Without both labels the model scores
+    id labelled twice with both values is learned as toxic, and of rows that share an id the first text
+    in order is learned from. Without both labels the model scores
     every text with the share of toxic rows.
 
     N-grams are counted and chosen by Spark; the driver receives the chosen ones of the sample.
@@ -77,6 +78,7 @@ def fit_toxicity(
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(
         F.broadcast(chosen[0].union(chosen[1])), "__id"
     )
+    sample = sample.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
 
     def make():
         grams = Grams()

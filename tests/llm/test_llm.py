@@ -281,6 +281,17 @@ def test_loser_tree_merges_runs():
         assert [warc.order_of(r) for r in merged] == sorted(warc.order_of(r) for run in runs for r in run)
 
 
+def test_toxicity_learns_repeated_rows_once(session):
+    rows = [(i, prose(30, i) + (" vile slur" if i % 3 == 0 else "")) for i in range(200)]
+    docs = session.createDataFrame(rows, "doc_id bigint, text string")
+    labels = session.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    once = toxicity.fit_toxicity(docs, labels)
+    emptied = docs.union(docs).union(docs.selectExpr("doc_id", "cast(null as string)"))
+    again = toxicity.fit_toxicity(emptied, labels.union(labels))
+    assert once.weights.any()
+    assert np.allclose(once.weights, again.weights) and once.bias == pytest.approx(again.bias)
+
+
 def test_toxicity_learns_marked_words_and_scores_whole_texts(session):
     rows = [(i, f"{prose(40, i)} {'grumbler' if i % 3 == 0 else ''} {prose(40, -i)}", None, None, 0) for i in range(300)]
     kinds = "doc_id bigint, text string, score string, n_tokens string, key int"
