@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from gustara.operators.blocks import CELL, BlockGrid
 from gustara.operators.ordering import top_k
-from gustara.operators.vector_search import DISTANCES, _matrix, _nearest, valid_vectors
+from gustara.operators.vector_search import _CELLS, DISTANCES, Screen, _found, _in_id_order, _lengths, _matrix, _nearest, _vectors
 
 NOTHING = (np.empty(0, dtype=int), np.empty(0, dtype=int))
-ROWS_AT_ONCE = 1024
 
 
 def filtered_search(
@@ -47,9 +46,9 @@ def filtered_search(
     if distance not in DISTANCES:
         raise ValueError(f"distance must be one of {DISTANCES}")
     held = F.array(*[F.col(a).cast("string") for a in attributes]).cast("array<string>").alias("held")
-    b = valid_vectors(base, vector).select(F.col(base_id).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("vec"), held)
+    b = _vectors(base, base_id, vector, held)
     asked = F.coalesce(F.to_json(F.col(filters)), F.lit("{}")).alias("filter")
-    q = valid_vectors(queries, vector).select(F.col(query_id).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("vec"), asked)
+    q = _vectors(queries, query_id, vector, asked)
     grid = BlockGrid.of(q, b, F.size("vec") * 8, block_bytes)
     search = _block_search(list(attributes), k, distance)
     found = (
@@ -101,32 +100,28 @@ def _block_search(attributes: list[str], k: int, distance: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return out.empty_table()
-        ids = np.array(right.column("id").to_pylist(), dtype=object)
-        by_id = np.argsort(ids)  # equal keys then resolve in id order
-        ids, base = ids[by_id], _matrix(right.column("vec"))[by_id]
-        held = right.column("held").to_pylist()
-        maps = bitmaps([held[i] for i in by_id], attributes)
-        asked = np.array(left.column("id").to_pylist(), dtype=object)
-        query = _matrix(left.column("vec"))
+        ids, base, by_id = _in_id_order(right)  # equal keys then resolve in id order
+        maps = bitmaps(right.column("held").take(pa.array(by_id)).to_pylist(), attributes)
+        asked, query = left.column("id").combine_chunks(), _matrix(left.column("vec"))
         if base.shape[1] != query.shape[1]:
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
         if distance == "COSINE":
-            query, base = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (query, base))
-        norms = np.linalg.norm(base, axis=1)
+            query /= _lengths(query)[:, None]
+            base /= _lengths(base)[:, None]
+        whole = Screen(base)
         by_filter = defaultdict(list)
         for row, wanted in enumerate(left.column("filter").to_pylist()):
             by_filter[wanted].append(row)
         parts = []
         for wanted, rows in by_filter.items():
             columns = passing(json.loads(wanted), maps, len(ids))
-            some, lengths = base[columns], norms[columns]
-            for at in range(0, len(rows) if columns.size else 0, ROWS_AT_ONCE):
-                mine = np.array(rows[at : at + ROWS_AT_ONCE])
-                r, c, dist, key = _nearest(query[mine], some, lengths, k, distance, NOTHING)
-                parts.append((asked[mine[r]], ids[columns[c]], dist, key))
-        if not parts:
-            return out.empty_table()
-        joined = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(joined, out, strict=True)], schema=out)
+            if not columns.size:
+                continue
+            some, step = whole.of(columns), max(1, _CELLS // columns.size)
+            for at in range(0, len(rows), step):
+                mine = np.array(rows[at : at + step])
+                r, c, dist, key = _nearest(query[mine], some, k, distance, NOTHING)
+                parts.append((mine[r], columns[c], dist, key))
+        return _found(parts, asked, ids, out) if parts else out.empty_table()
 
     return run

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
 # distances are of the order of 1, significant digits for the others, whose vectors have any length.
 TIE_DIGITS = 9
 _CELLS = 4_000_000  # distances held at a time
+_ROWS = 32_768  # pairs of vectors compared in double precision at a time
 _GROUP = 32  # columns per group of the short list
 
 
@@ -53,15 +54,24 @@ def vector_search(
     """
     if distance not in DISTANCES:
         raise ValueError(f"distance must be one of {DISTANCES}")
-    b = _vectors(base, base_id, vector)
-    q = _vectors(queries, query_id, vector)
+    best = _best(_vectors(base, base_id, vector), _vectors(queries, query_id, vector), k, distance, _pairs(exclude, query_id, base_id), block_bytes)
+    return best.select(
+        F.col("query").alias(query_id), F.col("base").alias(base_id), "distance", "rank"
+    )
+
+
+def _pairs(exclude: DataFrame | None, query_id: str, base_id: str) -> DataFrame | None:
+    if exclude is None:
+        return None
+    return exclude.select(F.col(query_id).cast("string").alias("id"), F.col(base_id).cast("string").alias("excluded"))
+
+
+def _best(b: DataFrame, q: DataFrame, k: int, distance: str, exclude: DataFrame | None, block_bytes: int) -> DataFrame:
+    """(query, base, distance, tie_key, rank) for rows of (id, vec)."""
     grid = BlockGrid.of(q, b, F.size("vec") * 8, block_bytes, exclude)
     query_rows = grid.left(q.withColumn("excluded", F.lit(None).cast("string")), "id")
     if exclude is not None:
-        pairs = exclude.select(
-            F.col(query_id).cast("string").alias("id"), F.col(base_id).cast("string").alias("excluded")
-        )
-        pairs = pairs.join(q.select("id"), "id", "left_semi").distinct()
+        pairs = exclude.join(q.select("id"), "id", "left_semi").distinct()
         removed = grid.cells(pairs, "id", "excluded").withColumn("vec", F.lit(None).cast(q.schema["vec"].dataType))
         query_rows = query_rows.unionByName(removed)
     candidates = (
@@ -69,15 +79,12 @@ def vector_search(
         .cogroup(grid.right(b, "id").groupBy(*CELL))
         .applyInArrow(_block_search(k, distance), "query string, base string, distance double, tie_key double")
     )
-    best = top_k(candidates, ["query"], [F.col("tie_key").asc(), F.col("base").asc()], k)
-    return best.select(
-        F.col("query").alias(query_id), F.col("base").alias(base_id), "distance", "rank"
-    )
+    return top_k(candidates, ["query"], [F.col("tie_key").asc(), F.col("base").asc()], k)
 
 
-def _vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """Ids as text; vectors as stored, so single precision travels at half the size."""
-    kept = valid_vectors(df, vector).select(F.col(id_column).cast("string").alias("id"), F.col(vector).alias("vec"))
+def _vectors(df: DataFrame, id_column: str, vector: str, *more: Column) -> DataFrame:
+    """Ids as text; vectors as stored, so single precision travels at half the size; and ``more`` columns."""
+    kept = valid_vectors(df, vector).select(F.col(id_column).cast("string").alias("id"), F.col(vector).alias("vec"), *more)
     if isinstance(kept.schema["vec"].dataType.elementType, (T.FloatType, T.DoubleType)):
         return kept
     return kept.withColumn("vec", F.col("vec").cast("array<double>"))
@@ -90,84 +97,131 @@ def _block_search(k: int, distance: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         is_vector = left.column("excluded").is_null()
-        vectors, removed = left.filter(is_vector), left.filter(pc.invert(is_vector))
+        removed = left.select(["id", "excluded"]).filter(pc.invert(is_vector))
+        vectors = left.filter(is_vector) if removed.num_rows else left
         if vectors.num_rows == 0 or right.num_rows == 0:
             return out.empty_table()
-        base_ids = np.array(right.column("id").to_pylist(), dtype=object)
-        by_id = np.argsort(base_ids)  # equal keys below then resolve in id order
-        base_ids = base_ids[by_id]
-        base = _matrix(right.column("vec"))[by_id]
-        query_ids = np.array(vectors.column("id").to_pylist(), dtype=object)
-        query = _matrix(vectors.column("vec"))
+        base_ids, base, _ = _in_id_order(right)  # equal keys below then resolve in id order
+        query_ids, query = vectors.column("id").combine_chunks(), _matrix(vectors.column("vec"))
         if base.shape[1] != query.shape[1]:
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
         if distance == "COSINE":
-            query, base = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (query, base))
-        base_norms = np.linalg.norm(base, axis=1)
+            query /= _lengths(query)[:, None]
+            base /= _lengths(base)[:, None]
+        screen = Screen(base)
         skip_rows, skip_cols = _positions(removed, query_ids, base_ids)
         parts = []
         step = max(1, _CELLS // len(base))
         for start in range(0, len(query), step):
-            inside = (skip_rows >= start) & (skip_rows < start + step)
-            skip = (skip_rows[inside] - start, skip_cols[inside])
-            rows, cols, dist, key = _nearest(query[start : start + step], base, base_norms, k, distance, skip)
-            parts.append((query_ids[rows + start], base_ids[cols], dist, key))
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+            some = slice(*np.searchsorted(skip_rows, [start, start + step]))
+            skip = (skip_rows[some] - start, skip_cols[some])
+            rows, cols, dist, key = _nearest(query[start : start + step], screen, k, distance, skip)
+            parts.append((rows + start, cols, dist, key))
+        return _found(parts, query_ids, base_ids, out)
 
     return run
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks()
-    lengths = np.diff(values.offsets.to_numpy())
-    if len(set(lengths.tolist())) > 1:
-        raise ValueError(f"vectors of different dimensions in one column: {sorted(set(lengths.tolist()))}")
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+def _in_id_order(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids and vectors of a block by id, and the rows' order; the vectors are copied once."""
+    ids = np.array(table.column("id").to_pylist(), dtype=object)
+    by_id = np.argsort(ids)
+    places = np.empty(len(by_id), dtype=np.int64)
+    places[by_id] = np.arange(len(by_id))
+    return pa.array(ids[by_id], pa.string()), _matrix(table.column("vec"), places), by_id
+
+
+def _matrix(column: pa.ChunkedArray, places: np.ndarray | None = None) -> np.ndarray:
+    """Vectors as rows of doubles, filled chunk by chunk; row i goes to row ``places[i]``."""
+    chunks = [c for c in column.chunks if len(c)]
+    lengths = {int(n) for c in chunks for n in np.unique(np.diff(c.offsets.to_numpy()))}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different dimensions in one column: {sorted(lengths)}")
+    out, at = np.empty((len(column), max(lengths, default=0))), 0
+    for c in chunks:
+        rows = slice(at, at + len(c))
+        out[rows if places is None else places[rows]] = c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        at += len(c)
+    return out
 
 
-def _positions(removed: pa.Table, query_ids: np.ndarray, base_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every excluded pair that is present in this block pair."""
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+
+
+def _positions(removed: pa.Table, query_ids: pa.Array, base_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every excluded pair that is present in this block pair, by row."""
     if removed.num_rows == 0:
         return np.empty(0, dtype=int), np.empty(0, dtype=int)
-    row_of = {v: i for i, v in enumerate(query_ids)}
-    col_of = {v: i for i, v in enumerate(base_ids)}
-    pairs = [
-        (row_of[q], col_of[b])
-        for q, b in zip(removed.column("id").to_pylist(), removed.column("excluded").to_pylist())
-        if q in row_of and b in col_of
-    ]
-    found = np.array(pairs, dtype=int).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
-
-
-def _nearest(query, base, base_norms, k, distance, skip):
+    rows, cols = (_last_place(removed.column(c), ids) for c, ids in (("id", query_ids), ("excluded", base_ids)))
+    present = (rows >= 0) & (cols >= 0)
+    rows, cols = rows[present], cols[present]
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order]
+
+
+def _last_place(wanted: pa.ChunkedArray, ids: pa.Array) -> np.ndarray:
+    """Place of each wanted id among the ids, the last one of equal ids, or -1."""
+    backwards = ids.take(pa.array(np.arange(len(ids))[::-1]))
+    found = pc.fill_null(pc.index_in(wanted, value_set=backwards), len(ids)).to_numpy()
+    return len(ids) - 1 - found.astype(np.int64)
+
+
+def _found(parts: list[tuple], query_ids: pa.Array, base_ids: pa.Array, out: pa.Schema) -> pa.Table:
+    """Rows of the result from places of queries and base rows."""
+    rows, cols, dist, key = (np.concatenate(c) for c in zip(*parts, strict=True))
+    columns = [query_ids.take(pa.array(rows)), base_ids.take(pa.array(cols)), pa.array(dist), pa.array(key)]
+    return pa.table(columns, schema=out)
+
+
+class Screen:
+    """Base vectors with what the short list needs: lengths, and a copy in single precision where that cannot overflow."""
+
+    def __init__(self, base: np.ndarray):
+        self.base, self.lengths = base, _lengths(base)
+        self.largest = self.lengths.max()
+        self.small = base.astype(np.float32) if 1e-15 < self.largest < 1e15 else None
+
+    def of(self, columns: np.ndarray) -> Screen:
+        return self if len(columns) == len(self.base) else Screen(self.base[columns])
+
+
+def _nearest(query, screen, k, distance, skip):
     """Row, column, distance and tie key of the k nearest base rows per query, without ``skip``.
 
     A matrix of closeness (larger is closer) finds a short list that surely holds the answer:
-    all columns as close as the k-th best group of columns, with room for rounding. Distances,
-    ties and order are then settled on that list only. For COSINE both sides have unit length.
+    all columns as close as the k-th best group of columns, with room for rounding, which is that of
+    single precision where lengths allow it. Distances, ties and order are then settled on that list
+    only, in double precision. For COSINE both sides have unit length.
     """
-    closeness = query @ base.T
-    query_norms, largest = np.linalg.norm(query, axis=1), base_norms.max()
+    base, largest, query_norms = screen.base, screen.largest, _lengths(query)
     if not np.isfinite(largest) or not np.isfinite(query_norms).all():
         raise ValueError("a vector without finite length reached the search")
-    slack = (2.0 * 10.0**-TIE_DIGITS + 1e-12) * query_norms * largest
+    single = screen.small is not None and 1e-15 < query_norms.min() and query_norms.max() < 1e15
+    closeness = query.astype(np.float32) @ screen.small.T if single else query @ base.T
+    # A product of d rounded terms is off by less than (d + 4) units of the lengths' product.
+    off = 2.0 * (base.shape[1] + 4) * np.finfo(closeness.dtype).eps
+    slack = (2.0 * 10.0**-TIE_DIGITS + off) * query_norms * largest
     if distance == "EUCLIDEAN":
-        closeness = 2.0 * closeness - base_norms**2
-        slack = (4.0 * 10.0**-TIE_DIGITS + 1e-12) * (query_norms + largest) ** 2
+        closeness *= 2.0
+        closeness -= (screen.lengths**2).astype(closeness.dtype)
+        slack = (4.0 * 10.0**-TIE_DIGITS + 2.0 * off) * (query_norms + largest) ** 2
     closeness[skip] = -np.inf
     limit = _kth_largest(_group_maxima(closeness, k), k) - slack
-    rows, cols = np.nonzero(closeness >= limit[:, None])
-    found = closeness[rows, cols]
-    kept = np.isfinite(found)
-    rows, cols, found = rows[kept], cols[kept], found[kept]
+    lowest = np.nextafter(limit.astype(closeness.dtype), -np.inf, dtype=closeness.dtype)
+    rows, cols = np.nonzero(closeness >= lowest[:, None])
+    kept = np.isfinite(closeness[rows, cols])
+    rows, cols = rows[kept], cols[kept]
+    del closeness
+    dist = np.empty(len(rows))
+    for at in range(0, len(rows), _ROWS):  # a few vectors at a time
+        q, b = query[rows[at : at + _ROWS]], base[cols[at : at + _ROWS]]
+        if distance == "EUCLIDEAN":  # the product form loses digits for near copies
+            dist[at : at + _ROWS] = _lengths(q - b)
+        else:
+            dist[at : at + _ROWS] = -np.einsum("ij,ij->i", q, b)
     if distance == "COSINE":
-        dist = np.clip(1.0 - found, 0.0, 2.0)
-    elif distance == "DOT_PRODUCT":
-        dist = -found
-    else:  # the product form loses digits for near copies
-        dist = np.linalg.norm(query[rows] - base[cols], axis=1)
+        dist = np.clip(1.0 + dist, 0.0, 2.0)
     key = np.round(dist, TIE_DIGITS) if distance == "COSINE" else _significant(dist, TIE_DIGITS)
     key = key + 0.0  # no negative zero
     order = np.lexsort((cols, key, rows))

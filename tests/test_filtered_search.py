@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 
-from gustara.operators.filtered_search import filtered_search
+from gustara.operators.filtered_search import _block_search, filtered_search
 
 BASE = "item_id string, embedding array<double>, kind string, size int, filters string"
 QUERIES = "user_id string, embedding array<double>, filters map<string, array<string>>"
@@ -48,3 +51,17 @@ def test_unknown_attribute_and_empty_sides(spark):
     assert filtered_search(left, right.where("false"), ["kind", "size"]).collect() == []
     with pytest.raises(PythonException, match="unknown attributes"):
         filtered_search(left, right, ["kind"]).collect()
+
+
+def test_memory_of_a_block_does_not_grow_with_the_queries():
+    """Distances are held a bounded number at a time, whatever the number of queries with one filter."""
+    rng, n = np.random.default_rng(2), 20_000
+    ids = pa.array([f"{i:06d}" for i in range(n)])
+    held = pa.array([["a"]] * n)
+    right = pa.table({"id": ids, "vec": pa.array(list(rng.normal(size=(n, 4)))), "held": held})
+    left = right.slice(0, 2000).drop(["held"]).append_column("filter", pa.array(["{}"] * 2000))
+    tracemalloc.start()
+    found = _block_search(["kind"], 5, "COSINE")(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 10_000 and peak < 100 << 20

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gustara.operators.hyde import semantic_search, text_match
-from gustara.operators.vector_search import search_matches, vector_search
+from gustara.operators.vector_search import _block_search, search_matches, vector_search
 from gustara.providers.offline import HashingProvider
 
 RNG = np.random.default_rng(5)
@@ -66,6 +68,24 @@ def test_exclusions_never_leak_and_leave_k(spark, block_bytes):
     assert all(len(v) == 20 for v in got.values())
 
 
+def test_exclusions_of_a_block_stay_arrow_columns():
+    """Many exclusions cost some bytes each, not Python objects; the last of equal ids is the one left out."""
+    rng, pairs = np.random.default_rng(4), 300_000
+    right = pa.table({"id": [f"i{i}" for i in range(600)] + ["i0"], "vec": pa.array(list(rng.normal(size=(601, 4))))})
+    names = pa.array([f"q{i}" for i in range(100)])
+    vectors = pa.table({"id": names, "excluded": pa.nulls(100, pa.string()), "vec": right.column("vec").slice(0, 100)})
+    at = np.arange(pairs)
+    gone = {"id": names.take(pa.array(at // 500 % 100)), "excluded": right.column("id").combine_chunks().take(pa.array(at % 500))}
+    left = pa.concat_tables([vectors, pa.table({**gone, "vec": pa.nulls(pairs, pa.list_(pa.float64()))})])
+    tracemalloc.start()
+    found = _block_search(101, "COSINE")(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    listed = zip(found.column("query").to_pylist(), found.column("base").to_pylist(), strict=True)
+    assert {i for q, i in listed if q == "q7"} == {"i0", *(f"i{i}" for i in range(500, 600))}
+    assert peak < 30 << 20, peak
+
+
 def test_fewer_candidates_than_k(spark):
     few = dict(list(BASE.items())[:3])
     found = vector_search(frame(spark, few, "item_id"), frame(spark, QUERY, "user_id"), 20)
