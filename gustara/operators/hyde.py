@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gustara.functions.text import prompt_parts
 from gustara.operators.generate import embed_text, generate
 from gustara.operators.text_index import text_match
-from gustara.operators.vector_search import vector_search
+from gustara.operators.vector_search import search_repeated, vector_search
 from gustara.providers.base import EmbeddingProvider, GenerationParams, TextProvider
 from gustara.session import materialize
 
@@ -38,9 +38,9 @@ def hyde_search(
     embedder: EmbeddingProvider,
     k: int = 20,
 ) -> DataFrame:
-    """Nearest items of every user's hypothetical profile."""
+    """Nearest items of every user's hypothetical profile; equal profiles and equal items are compared once."""
     profiles = hypothetical_profiles(users, instruction, provider, embedder)
-    return vector_search(base, profiles, k)
+    return search_repeated(base, profiles, k)
 
 
 def semantic_search(

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from gustara.functions.scalars import is_valid_vector
 from gustara.operators.blocks import CELL, BlockGrid
 from gustara.operators.ordering import top_k
+from gustara.session import materialize
 
 DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
 # Distances equal to this many digits are ties, ordered by base id: decimals for COSINE, whose
@@ -60,6 +61,51 @@ def vector_search(
     )
 
 
+def search_repeated(
+    base: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    distance: str = "COSINE",
+    base_id: str = "item_id",
+    query_id: str = "user_id",
+    vector: str = "embedding",
+    block_bytes: int = 64 * 1024 * 1024,
+) -> DataFrame:
+    """The rows of ``vector_search`` without exclusions, for tables in which many vectors are equal.
+
+    Equal vectors are one class on either side, and only classes are compared. The ``k`` nearest base
+    classes of a query class, by distance and first id, hold its ``k`` nearest rows, and of each
+    only the ``k`` smallest ids can be among them.
+    """
+    if distance not in DISTANCES:
+        raise ValueError(f"distance must be one of {DISTANCES}")
+    b_classes, b_rows = _classes(_vectors(base, base_id, vector))
+    q_classes, q_rows = _classes(_vectors(queries, query_id, vector))
+    smallest = materialize(top_k(b_rows, ["class"], [F.col("id").asc()], k), "smallest-ids")
+    first = smallest.where(F.col("rank") == 1).select("class", F.col("id").alias("first"))
+    # The first id leads, so ties between classes resolve by it; the class number keeps repeated ids apart.
+    named = b_classes.join(first, "class").select(F.concat_ws("\0", "first", F.col("class").cast("string")).alias("id"), "vec")
+    named = materialize(named, "base-classes")
+    near = _best(named, q_classes.select(F.col("class").cast("string").alias("id"), "vec"), k, distance, None, block_bytes)
+    near = near.select(
+        F.col("query").cast("bigint").alias("asked"), F.substring_index("base", "\0", -1).cast("bigint").alias("class"), "distance", "tie_key"
+    )
+    order = [F.col("tie_key").asc(), F.col("base").asc()]
+    met = materialize(near, "near-classes").join(smallest.select("class", F.col("id").alias("base")), "class")
+    lists = materialize(top_k(met, ["asked"], order, k).drop("rank", "class"), "class-lists")
+    found = q_rows.join(lists, F.col("class") == F.col("asked")).select(F.col("id").alias("query"), "base", "distance", "tie_key")
+    # A repeated query id ranks the rows of all its vectors together.
+    best = top_k(found, ["query"], order, k)
+    return best.select(F.col("query").alias(query_id), F.col("base").alias(base_id), "distance", "rank")
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, vec) of the distinct vectors and (class, id) of all rows."""
+    distinct = rows.select("vec").distinct().withColumn("class", F.monotonically_increasing_id())
+    classes = materialize(distinct, "classes")
+    return classes, materialize(rows.join(classes, "vec").select("class", "id"), "members")
+
+
 def _pairs(exclude: DataFrame | None, query_id: str, base_id: str) -> DataFrame | None:
     if exclude is None:
         return None

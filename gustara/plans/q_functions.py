@@ -298,10 +298,15 @@ FROM (SELECT r.user_id, count(*) AS n_history, avg(r.rating) AS avg_rating, stri
   LEFT JOIN parsed p USING (item_id) WHERE r.rn <= 25 GROUP BY r.user_id)"""
 
 
+def parsed_items(spark, sf):
+    """The parsed catalogue; it may be one file, so its rows are spread before Python reads their literals."""
+    return X.parse_items(items(spark, sf), spark.sparkContext.defaultParallelism)
+
+
 def user_histories(spark, sf, split):
     """(user_id, n_history, history_string) of the split's users."""
     recent = H.recent_history(split.train, reviews=comments(spark, sf))
-    return X.history_text(recent.rows, X.parse_items(items(spark, sf)))
+    return X.history_text(recent.rows, parsed_items(spark, sf))
 
 
 @query("history_text", sql("train comments parsed", HISTORY_SQL))
@@ -328,7 +333,7 @@ def history_text(spark, sf):
 )
 def profile_prompts(spark, sf):
     """Short item prompts of the whole catalogue and short user prompts of the split's users."""
-    parsed = X.parse_items(items(spark, sf))
+    parsed = parsed_items(spark, sf)
     split = stored_split(spark, sf)
     rows = H.attach_comments(split.train, comments(spark, sf)).withColumnRenamed("user_comment", "text")
     history = H.newest_rows(rows, 10).join(parsed, "item_id")
@@ -374,7 +379,7 @@ FROM (SELECT x.user_id, x.body AS v, y.body AS a, instr('02468ace', substr(md5(x
 )
 def pair_prompt(spark, sf):
     split = stored_split(spark, sf)
-    parsed = X.parse_items(items(spark, sf)).select("item_id", "title", F.col("parsed_ingredients").alias("item_profile_text"))
+    parsed = parsed_items(spark, sf).select("item_id", "title", F.col("parsed_ingredients").alias("item_profile_text"))
     lists = []
     for offset in (USER_VECTOR_OFFSET, SECOND_VECTOR_OFFSET):
         found = _unseen(spark, sf, split, offset).join(parsed, "item_id", "left")
@@ -394,7 +399,7 @@ def pair_prompt(spark, sf):
 def schema_prompts(spark, sf):
     """Every item's prompt with the answer schema spelled out."""
     instruction = f"Answer as {X.schema_prompt(POINTWISE_JUDGEMENT)}: "
-    parsed = X.parse_items(items(spark, sf))
+    parsed = parsed_items(spark, sf)
     return parsed.select("item_id", X.prompt_text(instruction, "parsed_ingredients").alias("prompt"), F.lit(X.output_ddl(POINTWISE_JUDGEMENT)).alias("output_schema"))
 
 
@@ -411,5 +416,5 @@ def file_stem(spark, sf):
 
 @query("prompt_from_columns", sql("parsed", "SELECT item_id, 'Profile this: ' || parsed_ingredients || parsed_recipe || percent_daily_values AS prompt FROM parsed"))
 def prompt_from_columns(spark, sf):
-    parsed = X.parse_items(items(spark, sf))
+    parsed = parsed_items(spark, sf)
     return parsed.select("item_id", X.prompt_text("Profile this: ", "parsed_ingredients", "parsed_recipe", "percent_daily_values").alias("prompt"))

@@ -10,8 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gustara.operators import hyde
+from gustara.operators import vector_search as vector_module
 from gustara.operators.hyde import semantic_search, text_match
-from gustara.operators.vector_search import _block_search, search_matches, vector_search
+from gustara.operators.vector_search import _block_search, search_matches, search_repeated, vector_search
 from gustara.providers.offline import HashingProvider
 
 RNG = np.random.default_rng(5)
@@ -86,6 +88,31 @@ def test_exclusions_of_a_block_stay_arrow_columns():
     assert peak < 30 << 20, peak
 
 
+@pytest.mark.parametrize("kind", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+def test_repeated_vectors_give_the_rows_of_the_plain_search(spark, kind):
+    """Copies on both sides, ties between classes, repeated ids, more copies than k."""
+    few = [v for v in list(BASE.values())[:6]] + [2.0 * BASE["i0"]]
+    base = [(f"b{i % 70}", [float(x) for x in few[i % 7]]) for i in range(100)]
+    query = [(f"q{i % 25}", [float(x) for x in few[i % 4]]) for i in range(30)]
+    frames = spark.createDataFrame(base, "item_id string, embedding array<double>"), spark.createDataFrame(query, "user_id string, embedding array<double>")
+    plain, classes = (
+        sorted((r["user_id"], r["rank"], r["item_id"], round(r["distance"], 9)) for r in f(*frames, 20, kind).collect()) for f in (vector_search, search_repeated)
+    )
+    assert plain == classes
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(hyde, "embed_text", lambda rows, *a: rows.withColumn("embedding", F.array(F.lit(1.0), F.length("hyde_profile_text") * 1.0)))
+    monkeypatch.setattr(hyde, "generate", lambda rows, *a: rows.select("user_id", F.lit("x").alias("full_response"), F.col("user_profile_text").alias("answer_text")))
+    grid = vector_module.BlockGrid.of
+    monkeypatch.setattr(vector_module.BlockGrid, "of", staticmethod(lambda q, b, *a: met.append((q.count(), b.count())) or grid(q, b, *a)))
+    users = spark.createDataFrame([(f"u{i}", "ab" * (i % 2)) for i in range(40)], "user_id string, user_profile_text string")
+    base = spark.createDataFrame([(f"i{i}", [1.0, float(i % 3)]) for i in range(60)], "item_id string, embedding array<double>")
+    found = hyde.hyde_search(users, base, "", None, None, 20)
+    assert found.count() == 800 and met == [(2, 3)]
+
+
 def test_fewer_candidates_than_k(spark):
     few = dict(list(BASE.items())[:3])
     found = vector_search(frame(spark, few, "item_id"), frame(spark, QUERY, "user_id"), 20)
