@@ -154,8 +154,7 @@ def _binned(rows: DataFrame, ranker: ListwiseRanker, label: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
             bins = ranker.bins([c.to_numpy(zero_copy_only=False).astype(float) for c in given.columns[3:]])
-            packed = pa.array([b.tobytes() for b in bins], pa.binary())
-            yield pa.RecordBatch.from_arrays([*given.columns[:3], pa.array(np.zeros(len(bins))), packed], names=["user_id", "rid", "gain", "score", "bins"])
+            yield pa.RecordBatch.from_arrays([*given.columns[:3], pa.array(np.zeros(len(bins))), _packed(bins)], names=["user_id", "rid", "gain", "score", "bins"])
 
     return fed.mapInArrow(run, STATE)
 
@@ -164,7 +163,9 @@ def _pulled(state: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
     """Rows of PULLED: all rows with their own gradients, and what the first rows get from others."""
     first = top_k(state, ["user_id"], [F.col("score").desc(), F.col("rid")], k)
     lists = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rid", "gain", "score", "bins"))).alias("t"))  # k rows
-    lists = lists.select("user_id", *[F.col(f"t.{c}").alias(f"top_{c}") for c in ("rid", "gain", "score", "bins")]).join(ideal, "user_id")
+    # The bins of a user's first rows travel as one value, end to end.
+    bins = F.concat(*[F.coalesce(F.get("t.bins", F.lit(i)), F.lit(bytearray())) for i in range(k)]).alias("top_bins")
+    lists = lists.select("user_id", *[F.col(f"t.{c}").alias(f"top_{c}") for c in ("rid", "gain", "score")], bins).join(ideal, "user_id")
     columns = ["user_id", "rid", "gain", "score", "bins", "top_rid", "top_gain", "top_score", "top_bins", "ideal"]
     fed = attach(state, lists, "user_id").select(*columns)
     names = T._parse_datatype_string(PULLED).names
@@ -189,19 +190,33 @@ def _pulled(state: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
             told = np.flatnonzero(back_h.ravel() > 0)
             if told.size:
                 ids, at, back = np.unique(top_rid.ravel()[told], return_index=True, return_inverse=True)
-                flat = given.column("top_bins")
-                starts = flat.offsets.to_numpy()[:-1] - flat.offsets.to_numpy()[0]
-                source = starts[told[at] // k] + told[at] % k
+                starts, flat = _held(given.column("top_bins"))
+                width = np.diff(_held(given.column("bins"))[0][:2])[0]
+                places = starts[told[at] // k] + told[at] % k * width
+                theirs = _packed(flat[places[:, None] + np.arange(width)])
                 sums = [np.bincount(back, b.ravel()[told]) for b in (back_g, back_h)]
                 n = len(ids)
-                rest = [pa.nulls(n, pa.string()), pa.array(ids), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), flat.flatten().take(pa.array(source))]
+                rest = [pa.nulls(n, pa.string()), pa.array(ids), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), theirs]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.zeros(n, bool)), *map(pa.array, sums)], names=names)
 
     return fed.mapInArrow(run, PULLED)
 
 
+def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column, read where Arrow holds them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return ends, np.frombuffer(column.buffers()[2], np.uint8)
+
+
 def _unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    """Bins of the rows; every row has equally many."""
+    ends, flat = _held(column)
+    return flat[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def _packed(bins: np.ndarray) -> pa.Array:
+    ends = np.arange(len(bins) + 1, dtype=np.int32) * np.int32(bins.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bins))])
 
 
 def _histograms(pulled: DataFrame, tree: Tree, nodes: np.ndarray, n_features: int) -> np.ndarray:
@@ -216,10 +231,13 @@ def _histograms(pulled: DataFrame, tree: Tree, nodes: np.ndarray, n_features: in
             bins = _unpacked(given.column("bins"))
             at = np.searchsorted(nodes, end := tree.node(bins))
             live = np.flatnonzero((at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == end))
-            for c, name in enumerate(("g", "h")):
-                weight = given.column(name).to_numpy()[live]
-                for f in range(n_features):
-                    cells = np.bincount(at[live] * (BINS + 1) + bins[live, f], weight, minlength=len(nodes) * (BINS + 1))
+            first = at[live] * (BINS + 1)
+            by_feature = np.ascontiguousarray(bins[live].T)
+            weights = [given.column(name).to_numpy()[live] for name in ("g", "h")]
+            for f, mine in enumerate(by_feature):
+                place = first + mine
+                for c, weight in enumerate(weights):
+                    cells = np.bincount(place, weight, minlength=len(nodes) * (BINS + 1))
                     total[:, f, :, c] += cells.reshape(len(nodes), BINS + 1)
         filled = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total.ravel()[filled])], names=["place", "value"])

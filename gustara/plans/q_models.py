@@ -228,7 +228,8 @@ PRODUCT = "SELECT i.item_id, i.aver_rate, i.review_nums, " + ", ".join(f'n."{k}"
 
 def product_rows(spark, sf):
     rows = items(spark, sf)
-    return item_features(rows, nutrition_numeric(rows.select("item_id", "nutritions"), "nutritions"))
+    tasks = spark.sparkContext.defaultParallelism  # the catalogue may be one file
+    return item_features(rows, nutrition_numeric(rows.select("item_id", "nutritions"), "nutritions", partitions=tasks))
 
 
 @query("product_features", sql("items", PRODUCT, nutrition=NUTRITION_SQL))

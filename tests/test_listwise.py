@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from gustara.operators.listwise import Tree, _histograms, _pulled, fit_listwise, lambda_gradients, score_listwise
+from gustara.operators.listwise import Tree, _histograms, _pulled, _unpacked, fit_listwise, lambda_gradients, score_listwise
 from gustara.operators.metrics import graded_ndcg_at_k
 from gustara.operators.ranker import importance_order, rank_model, score
 
@@ -112,3 +114,14 @@ def test_gradients_without_first_rows():
     none = np.full((2, K), np.nan)
     out = lambda_gradients(np.array([1.0, 3.0]), np.zeros(2), np.array([-1, -1]), none, none, np.array([0.0, 1.0]))
     assert all((x == 0).all() for x in out)
+
+
+def test_bins_are_read_in_place():
+    """No Python object per row; slices of a batch start where they start."""
+    bins = np.random.default_rng(3).integers(0, 65, (100_000, 5)).astype(np.uint8)
+    column = pa.array([b.tobytes() for b in bins], pa.binary())
+    tracemalloc.start()
+    whole, some = _unpacked(column), _unpacked(column.slice(7, 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (whole == bins).all() and (some == bins[7:27]).all() and peak < 1 << 20
