@@ -25,6 +25,7 @@ from gustara.operators.skew import attach
 from gustara.session import materialize
 
 PART_ROWS = 1 << 17
+SMALL_SIDE = 10_000  # factors that are sent to every task
 
 
 @dataclass(frozen=True)
@@ -123,9 +124,13 @@ def solve_side(entries: DataFrame, factors: DataFrame, row: str, column: str, re
         return entries.sparkSession.createDataFrame([], solved_schema)
     side = square.shape[0]
     base = square + reg * np.eye(side)
-    met = entries.select(row, column, "value", F.col(f"{row}_parts").alias("parts")).join(factors, column)
-    met = met.withColumn("part", F.pmod(F.xxhash64(column), F.col("parts")).cast("int")).drop(column)
-    dealt = met.repartition(row, "part").sortWithinPartitions(row, "part").select(row, "part", "parts", "value", "embedding")
+    part = F.pmod(F.xxhash64(column), F.col("parts")).cast("int").alias("part")
+    met = entries.select(row, column, "value", F.col(f"{row}_parts").alias("parts")).select("*", part)
+    if factors.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE:  # few factors: entries travel without them
+        met = met.repartition(row, "part").join(F.broadcast(factors), column)
+    else:
+        met = met.join(factors, column).repartition(row, "part")
+    dealt = met.sortWithinPartitions(row, "part").select(row, "part", "parts", "value", "embedding")
     schema = T.StructType([*solved_schema.fields, T.StructField("partial", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

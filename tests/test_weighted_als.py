@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from gustara.operators import weighted_als
 from gustara.operators.weighted_als import fold_in, gram, start_factors, weighted_als_fit
 
 DRAW = random.Random(2)
@@ -85,3 +86,20 @@ def test_empty_tables(spark):
     fitted = weighted_als_fit(none, rank=3, iterations=1)
     assert fitted.users.count() == 0 and fitted.items.count() == 0 and gram(fitted.items) is None
     assert fold_in(fitted, spark.createDataFrame(ROWS[:3], SCHEMA)).count() == 0
+
+
+def test_few_factors_meet_the_entries_after_the_shuffle(spark, monkeypatch):
+    """Entries are dealt without factors where these are few; the factors are those of the other plan."""
+    rows = [(f"u{i % 40}", f"i{i * 7 % 11}", 1.0 + i % 3) for i in range(300)]
+    given = spark.createDataFrame(rows, "user_id string, item_id string, rating double")
+    sent = []
+    broadcast = weighted_als.F.broadcast
+    monkeypatch.setattr(weighted_als.F, "broadcast", lambda side: sent.append(1) or broadcast(side))
+    fits = []
+    for few in (10_000, 11, 0):
+        monkeypatch.setattr(weighted_als, "SMALL_SIDE", few)
+        fitted = weighted_als.weighted_als_fit(given, rank=4, iterations=2, part_rows=16)
+        fits.append({r["user_id"]: r["embedding"] for r in fitted.users.collect()})
+        assert len(sent) == {10_000: 4, 11: 6, 0: 6}[few]
+    for other in fits[1:]:
+        assert other.keys() == fits[0].keys() and all(np.allclose(other[u], fits[0][u], rtol=1e-9, atol=1e-12) for u in other)
