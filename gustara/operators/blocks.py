@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 CELL = ("lb", "rb")
 MIN_LEFT_ROWS = 4096
 CELL_ROW_BYTES = 64
+CELLS_PER_TASK = 3
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class BlockGrid:
 
         ``width`` is the size of a row in bytes; ``cell_rows`` are further rows that will go to
         single cells and count as part of the left side. The left side is cut finer, down to
-        4096 rows a block, while that still adds parallel tasks.
+        4096 rows a block, until every parallel task has some blocks to even out the load.
         """
         counts = _size(left, width, 0).union(_size(right, width, 1))
         if cell_rows is not None:
@@ -46,7 +47,7 @@ class BlockGrid:
         left_bytes += found.get(2, (0, 0))[1]
         rows = [max(1, int(block_bytes * n / b)) if b else 1 for n, b in ((n_left, left_bytes), (n_right, right_bytes))]
         tasks = left.sparkSession.sparkContext.defaultParallelism
-        finer = min(tasks, math.ceil(n_left / MIN_LEFT_ROWS))
+        finer = min(CELLS_PER_TASK * tasks, math.ceil(n_left / MIN_LEFT_ROWS))
         return BlockGrid(max(1, math.ceil(n_left / rows[0]), finer), max(1, math.ceil(n_right / rows[1])))
 
     def left(self, df: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gustara.operators.blocks import CELL, BlockGrid
 from gustara.operators.ordering import top_k
-from gustara.operators.vector_search import _CELLS, DISTANCES, Screen, _found, _in_id_order, _lengths, _matrix, _nearest, _vectors
+from gustara.operators.vector_search import _CELLS, DISTANCES, Screen, _found, _id_order, _lengths, _matrix, _nearest, _stored, _vectors
 
 NOTHING = (np.empty(0, dtype=int), np.empty(0, dtype=int))
 
@@ -100,15 +100,15 @@ def _block_search(attributes: list[str], k: int, distance: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return out.empty_table()
-        ids, base, by_id = _in_id_order(right)  # equal keys then resolve in id order
+        by_id = _id_order(right)  # equal keys then resolve in id order
+        ids, base = right.column("id").combine_chunks().take(pa.array(by_id)), _stored(right.column("vec"), by_id)
         maps = bitmaps(right.column("held").take(pa.array(by_id)).to_pylist(), attributes)
         asked, query = left.column("id").combine_chunks(), _matrix(left.column("vec"))
         if base.shape[1] != query.shape[1]:
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
         if distance == "COSINE":
             query /= _lengths(query)[:, None]
-            base /= _lengths(base)[:, None]
-        whole = Screen(base)
+        whole = Screen(base, distance)
         by_filter = defaultdict(list)
         for row, wanted in enumerate(left.column("filter").to_pylist()):
             by_filter[wanted].append(row)

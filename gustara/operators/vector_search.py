@@ -27,7 +27,8 @@ DISTANCES = ("COSINE", "DOT_PRODUCT", "EUCLIDEAN")
 # distances are of the order of 1, significant digits for the others, whose vectors have any length.
 TIE_DIGITS = 9
 _CELLS = 4_000_000  # distances held at a time
-_ROWS = 32_768  # pairs of vectors compared in double precision at a time
+_LOOKUP = 131_072  # excluded pairs looked up at a time
+_ROWS = 4_096  # vectors, or pairs of them, taken in double precision at a time
 _GROUP = 32  # columns per group of the short list
 
 
@@ -143,19 +144,18 @@ def _block_search(k: int, distance: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         is_vector = left.column("excluded").is_null()
-        removed = left.select(["id", "excluded"]).filter(pc.invert(is_vector))
-        vectors = left.filter(is_vector) if removed.num_rows else left
+        vectors = left.select(["id", "vec"]).filter(is_vector) if left.column("excluded").null_count < left.num_rows else left
         if vectors.num_rows == 0 or right.num_rows == 0:
             return out.empty_table()
-        base_ids, base, _ = _in_id_order(right)  # equal keys below then resolve in id order
-        query_ids, query = vectors.column("id").combine_chunks(), _matrix(vectors.column("vec"))
+        query_ids, by_id = vectors.column("id").combine_chunks(), _id_order(right)  # equal keys below then resolve in id order
+        base_ids = right.column("id").combine_chunks().take(pa.array(by_id))
+        skip_rows, skip_cols = _positions(left.select(["id", "excluded"]), query_ids, base_ids)
+        query, base = _matrix(vectors.column("vec")), _stored(right.column("vec"), by_id)
         if base.shape[1] != query.shape[1]:
             raise ValueError(f"vectors of {query.shape[1]} and {base.shape[1]} dimensions cannot be compared")
         if distance == "COSINE":
             query /= _lengths(query)[:, None]
-            base /= _lengths(base)[:, None]
-        screen = Screen(base)
-        skip_rows, skip_cols = _positions(removed, query_ids, base_ids)
+        screen = Screen(base, distance)
         parts = []
         step = max(1, _CELLS // len(base))
         for start in range(0, len(query), step):
@@ -163,27 +163,30 @@ def _block_search(k: int, distance: str):
             skip = (skip_rows[some] - start, skip_cols[some])
             rows, cols, dist, key = _nearest(query[start : start + step], screen, k, distance, skip)
             parts.append((rows + start, cols, dist, key))
+        del query, base, screen  # before the result is built
         return _found(parts, query_ids, base_ids, out)
 
     return run
 
 
-def _in_id_order(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Ids and vectors of a block by id, and the rows' order; the vectors are copied once."""
-    ids = np.array(table.column("id").to_pylist(), dtype=object)
-    by_id = np.argsort(ids)
-    places = np.empty(len(by_id), dtype=np.int64)
-    places[by_id] = np.arange(len(by_id))
-    return pa.array(ids[by_id], pa.string()), _matrix(table.column("vec"), places), by_id
+def _id_order(table: pa.Table) -> np.ndarray:
+    """Rows of a block in the order of their ids."""
+    return pc.sort_indices(table.column("id").combine_chunks()).to_numpy().astype(np.int64)
 
 
-def _matrix(column: pa.ChunkedArray, places: np.ndarray | None = None) -> np.ndarray:
-    """Vectors as rows of doubles, filled chunk by chunk; row i goes to row ``places[i]``."""
+def _stored(column: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
+    """Vectors as rows in the precision they have in the column."""
+    return _matrix(column, order, np.float32 if column.type.value_type == pa.float32() else np.float64)
+
+
+def _matrix(column: pa.ChunkedArray, order: np.ndarray | None = None, kind: type = np.float64) -> np.ndarray:
+    """Vectors as rows of doubles, filled chunk by chunk; row i is the column's row ``order[i]``."""
     chunks = [c for c in column.chunks if len(c)]
     lengths = {int(n) for c in chunks for n in np.unique(np.diff(c.offsets.to_numpy()))}
     if len(lengths) > 1:
         raise ValueError(f"vectors of different dimensions in one column: {sorted(lengths)}")
-    out, at = np.empty((len(column), max(lengths, default=0))), 0
+    out, at = np.empty((len(column), max(lengths, default=0)), dtype=kind), 0
+    places = None if order is None else _places(order)
     for c in chunks:
         rows = slice(at, at + len(c))
         out[rows if places is None else places[rows]] = c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
@@ -191,17 +194,28 @@ def _matrix(column: pa.ChunkedArray, places: np.ndarray | None = None) -> np.nda
     return out
 
 
+def _places(order: np.ndarray) -> np.ndarray:
+    places = np.empty(len(order), dtype=np.int64)
+    places[order] = np.arange(len(order))
+    return places
+
+
 def _lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
-def _positions(removed: pa.Table, query_ids: pa.Array, base_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every excluded pair that is present in this block pair, by row."""
-    if removed.num_rows == 0:
-        return np.empty(0, dtype=int), np.empty(0, dtype=int)
-    rows, cols = (_last_place(removed.column(c), ids) for c, ids in (("id", query_ids), ("excluded", base_ids)))
-    present = (rows >= 0) & (cols >= 0)
-    rows, cols = rows[present], cols[present]
+def _positions(left: pa.Table, query_ids: pa.Array, base_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every excluded pair that is present in this block pair, by row; ``_LOOKUP`` pairs are looked up at a time."""
+    found = [(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32))]
+    for at in range(0, left.num_rows, _LOOKUP):
+        some = left.slice(at, _LOOKUP)
+        removed = some.filter(some.column("excluded").is_valid())
+        if removed.num_rows:
+            rows, cols = (_last_place(removed.column(c), ids) for c, ids in (("id", query_ids), ("excluded", base_ids)))
+            present = (rows >= 0) & (cols >= 0)
+            found.append((rows[present], cols[present]))
+    rows, cols = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
     order = np.argsort(rows, kind="stable")
     return rows[order], cols[order]
 
@@ -210,7 +224,7 @@ def _last_place(wanted: pa.ChunkedArray, ids: pa.Array) -> np.ndarray:
     """Place of each wanted id among the ids, the last one of equal ids, or -1."""
     backwards = ids.take(pa.array(np.arange(len(ids))[::-1]))
     found = pc.fill_null(pc.index_in(wanted, value_set=backwards), len(ids)).to_numpy()
-    return len(ids) - 1 - found.astype(np.int64)
+    return (len(ids) - 1 - found).astype(np.int32)
 
 
 def _found(parts: list[tuple], query_ids: pa.Array, base_ids: pa.Array, out: pa.Schema) -> pa.Table:
@@ -221,15 +235,32 @@ def _found(parts: list[tuple], query_ids: pa.Array, base_ids: pa.Array, out: pa.
 
 
 class Screen:
-    """Base vectors with what the short list needs: lengths, and a copy in single precision where that cannot overflow."""
+    """Base vectors as stored with what the short list needs: lengths, and a copy in single precision where that cannot overflow.
 
-    def __init__(self, base: np.ndarray):
-        self.base, self.lengths = base, _lengths(base)
+    Doubles are made of the rows that are asked for; for COSINE these have unit length.
+    """
+
+    def __init__(self, stored: np.ndarray, distance: str):
+        self.stored, self.distance, n = stored, distance, len(stored)
+        pieces = [slice(at, at + _ROWS) for at in range(0, n, _ROWS)]
+        self.sizes = np.empty(n) if distance == "COSINE" else None
+        self.lengths, self.small = np.empty(n), np.empty(stored.shape, dtype=np.float32)
+        with np.errstate(over="ignore"):  # the copy is dropped then
+            for some in pieces:
+                if self.sizes is not None:
+                    self.sizes[some] = _lengths(stored[some].astype(np.float64))
+                rows = self.rows(some)
+                self.lengths[some], self.small[some] = _lengths(rows), rows
         self.largest = self.lengths.max()
-        self.small = base.astype(np.float32) if 1e-15 < self.largest < 1e15 else None
+        if not 1e-15 < self.largest < 1e15:
+            self.small = None
+
+    def rows(self, places: np.ndarray | slice) -> np.ndarray:
+        found = self.stored[places].astype(np.float64, copy=False)
+        return found if self.sizes is None else found / self.sizes[places, None]
 
     def of(self, columns: np.ndarray) -> Screen:
-        return self if len(columns) == len(self.base) else Screen(self.base[columns])
+        return self if len(columns) == len(self.stored) else Screen(self.stored[columns], self.distance)
 
 
 def _nearest(query, screen, k, distance, skip):
@@ -240,28 +271,24 @@ def _nearest(query, screen, k, distance, skip):
     single precision where lengths allow it. Distances, ties and order are then settled on that list
     only, in double precision. For COSINE both sides have unit length.
     """
-    base, largest, query_norms = screen.base, screen.largest, _lengths(query)
+    largest, query_norms = screen.largest, _lengths(query)
     if not np.isfinite(largest) or not np.isfinite(query_norms).all():
         raise ValueError("a vector without finite length reached the search")
     single = screen.small is not None and 1e-15 < query_norms.min() and query_norms.max() < 1e15
-    closeness = query.astype(np.float32) @ screen.small.T if single else query @ base.T
+    closeness = query.astype(np.float32) @ screen.small.T if single else query @ screen.rows(slice(None)).T
     # A product of d rounded terms is off by less than (d + 4) units of the lengths' product.
-    off = 2.0 * (base.shape[1] + 4) * np.finfo(closeness.dtype).eps
+    off = 2.0 * (query.shape[1] + 4) * np.finfo(closeness.dtype).eps
     slack = (2.0 * 10.0**-TIE_DIGITS + off) * query_norms * largest
     if distance == "EUCLIDEAN":
         closeness *= 2.0
         closeness -= (screen.lengths**2).astype(closeness.dtype)
         slack = (4.0 * 10.0**-TIE_DIGITS + 2.0 * off) * (query_norms + largest) ** 2
     closeness[skip] = -np.inf
-    limit = _kth_largest(_group_maxima(closeness, k), k) - slack
-    lowest = np.nextafter(limit.astype(closeness.dtype), -np.inf, dtype=closeness.dtype)
-    rows, cols = np.nonzero(closeness >= lowest[:, None])
-    kept = np.isfinite(closeness[rows, cols])
-    rows, cols = rows[kept], cols[kept]
+    rows, cols = _short_list(closeness, k, slack)
     del closeness
     dist = np.empty(len(rows))
     for at in range(0, len(rows), _ROWS):  # a few vectors at a time
-        q, b = query[rows[at : at + _ROWS]], base[cols[at : at + _ROWS]]
+        q, b = query[rows[at : at + _ROWS]], screen.rows(cols[at : at + _ROWS])
         if distance == "EUCLIDEAN":  # the product form loses digits for near copies
             dist[at : at + _ROWS] = _lengths(q - b)
         else:
@@ -285,16 +312,41 @@ def _significant(values: np.ndarray, digits: int) -> np.ndarray:
     return np.where(unit > 0, np.round(values / np.where(unit > 0, unit, 1.0)) * unit, values)
 
 
-def _group_maxima(closeness, k):
-    """Largest value of every group of columns; the k-th of them bounds the k-th value from below."""
+def _short_list(closeness, k, slack):
+    """Finite places at most ``slack`` below a value that k groups of columns reach; a group is every G-th column.
+
+    Only the groups that reach it are looked into, so the matrix is read once.
+    """
     n, m = closeness.shape
-    if m // _GROUP < k:
-        return closeness
-    whole = m // _GROUP * _GROUP
-    maxima = closeness[:, :whole].reshape(n, -1, _GROUP).max(axis=2)
-    if whole == m:
-        return maxima
-    return np.hstack([maxima, closeness[:, whole:].max(axis=1, keepdims=True)])
+    width = m // _GROUP
+    if width < k:
+        rows, cols = np.nonzero(closeness >= _lowest(closeness, k, slack)[:, None])
+    else:
+        whole = width * _GROUP
+        maxima = closeness[:, :whole].reshape(n, _GROUP, width).max(axis=1)
+        if whole < m:
+            maxima = np.hstack([maxima, closeness[:, whole:].max(axis=1, keepdims=True)])
+        lowest = _lowest(maxima, k, slack)
+        rows, cols = _members(closeness, *np.nonzero(maxima >= lowest[:, None]), lowest, width)
+    kept = np.isfinite(closeness[rows, cols])
+    return rows[kept], cols[kept]
+
+
+def _lowest(values, k, slack):
+    limit = _kth_largest(values, k) - slack
+    return np.nextafter(limit.astype(values.dtype), -np.inf, dtype=values.dtype)
+
+
+def _members(closeness, rows, groups, lowest, width):
+    """Row and column of the members of groups that are no less than ``lowest``; the last group is the rest of the columns."""
+    found = []
+    for place in range(_GROUP):  # one member of every group at a time
+        cols = np.where(groups < width, groups + place * width, width * _GROUP + place)
+        there = np.flatnonzero(cols < closeness.shape[1])
+        there = there[closeness[rows[there], cols[there]] >= lowest[rows[there]]]
+        found.append((rows[there], cols[there]))
+    rows, cols = (np.concatenate(c) for c in zip(*found, strict=True))
+    return rows, cols
 
 
 def _kth_largest(values, k):

@@ -88,6 +88,55 @@ def test_exclusions_of_a_block_stay_arrow_columns():
     assert peak < 30 << 20, peak
 
 
+def test_a_full_cell_holds_no_second_copy_of_its_rows():
+    """Single-precision base vectors stay as stored, excluded pairs are looked up in pieces, few columns reach the short list."""
+    rng, n, pairs = np.random.default_rng(6), 60_000, 600_000
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 64).astype(np.float32)), 64).cast(pa.list_(pa.float32()))
+    right = pa.table({"id": [f"i{i}" for i in range(n)], "vec": vectors})
+    names = pa.array([f"q{i}" for i in range(100)])
+    asked = pa.table({"id": names, "excluded": pa.nulls(100, pa.string()), "vec": right.column("vec").slice(0, 100)})
+    at = np.arange(pairs)
+    gone = {"id": names.take(pa.array(at % 100)), "excluded": right.column("id").combine_chunks().take(pa.array(at // 100 * 7))}
+    left = pa.concat_tables([asked, pa.table({**gone, "vec": pa.nulls(pairs, vectors.type)})])
+    tracemalloc.start()
+    found = _block_search(20, "COSINE")(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 2000
+    mine = {q: i for q, i, d in zip(*found.select(["query", "base", "distance"]).to_pydict().values(), strict=True) if d < 1e-6}
+    assert mine == {f"q{i}": f"i{i}" for i in range(100) if i % 7}  # q0, q7, ... leave themselves out
+    assert peak < 70 << 20, peak
+
+
+def test_every_parallel_task_has_some_blocks(spark):
+    """One block more than tasks would leave all but one of them idle half of the time."""
+    left, right = spark.range(4096 * 40), spark.range(10)
+    grid = vector_module.BlockGrid.of(left, right, F.lit(512))
+    assert (grid.n_left, grid.n_right) == (3 * spark.sparkContext.defaultParallelism, 1)
+    assert vector_module.BlockGrid.of(spark.range(4097), right, F.lit(512)).n_left == 2
+
+
+@pytest.mark.parametrize("kind", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
+@pytest.mark.parametrize("n", [639, 640, 1000, 2048])
+def test_short_list_of_groups_and_the_rest_of_the_columns(kind, n):
+    """Block widths on both sides of k groups, with and without columns left over; a query may lose all but two rows."""
+    rng = np.random.default_rng(n)
+    base, query = rng.normal(size=(n, 8)).astype(np.float32), rng.normal(size=(9, 8)).astype(np.float32)
+    base[n // 2 :: 3] = base[0]
+    ids = [f"b{i:04d}" for i in rng.permutation(n)]
+    excluded = [("q0", i) for i in ids[2:]] + [("q1", i) for i in ids[::2]]
+    kind_of = pa.list_(pa.float32())
+    asked = pa.table({"id": [f"q{i}" for i in range(9)], "excluded": pa.nulls(9, pa.string()), "vec": pa.array(list(query), kind_of)})
+    gone = pa.table({"id": [q for q, _ in excluded], "excluded": [i for _, i in excluded], "vec": pa.nulls(len(excluded), kind_of)})
+    found = _block_search(20, kind)(pa.concat_tables([gone, asked]), pa.table({"id": ids, "vec": pa.array(list(base), kind_of)}))
+    got = {}
+    for q, i in zip(found.column("query").to_pylist(), found.column("base").to_pylist(), strict=True):
+        got.setdefault(q, []).append(i)
+    for at, v in enumerate(query.astype(float)):
+        rows = [(round(distance(v, b, kind), 9), i) for b, i in zip(base.astype(float), ids) if (f"q{at}", i) not in excluded]
+        assert got[f"q{at}"] == [i for _, i in sorted(rows)[:20]]
+
+
 @pytest.mark.parametrize("kind", ["COSINE", "DOT_PRODUCT", "EUCLIDEAN"])
 def test_repeated_vectors_give_the_rows_of_the_plain_search(spark, kind):
     """Copies on both sides, ties between classes, repeated ids, more copies than k."""
