@@ -8,25 +8,34 @@ first row's bins and its part of the gradient.
 
 A tree grows by levels. Each level is one pass: tasks add up gradients by node, feature and bin, and
 the sums (nodes x features x bins) decide the splits. Features are cut into bins once, at quantiles.
+
+All rounds run inside one stage whose tasks keep their rows (``resident``). Where tasks cannot run side by
+side or share no folder, or a task's rows would be too many to keep, a level is a job of its own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustara.operators import resident
 from gustara.operators.features import feature_columns
 from gustara.operators.ordering import top_k
 from gustara.operators.skew import attach
-from gustara.session import materialize
+from gustara.session import materialize, work_dir
 
 BINS = 64  # bins of known values; bin 0 holds the missing ones
+TASK_ROWS = 1 << 16  # rows that are worth a task of their own
+KEPT_ROWS = 1 << 23  # rows a task keeps at most, at about 80 bytes and one per feature
+SCORED = 1 << 13  # rows that go through all trees together
 STATE = "user_id string, rid bigint, gain double, score double, bins binary"
 PULLED = "user_id string, rid bigint, gain double, score double, bins binary, own boolean, g double, h double"
 
@@ -73,10 +82,31 @@ class ListwiseRanker:
         found = [np.where(np.isnan(x), 0, np.searchsorted(e, x, "left") + 1) for x, e in zip(columns, self.edges, strict=True)]
         return np.stack(found, axis=1).astype(np.uint8)
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
+    def score(self, bins: np.ndarray, packed: list[tuple[int, np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        packed = self.packed() if packed is None else packed
         out = np.zeros(len(bins))
+        for low in range(0, len(bins), SCORED):
+            some = bins[low : low + SCORED]
+            flat, row = np.ascontiguousarray(some).ravel(), np.arange(len(some), dtype=np.int64) * bins.shape[1]
+            for depth, code, value in packed:
+                at = np.zeros(len(some), np.int64)
+                for _ in range(depth):
+                    here = code.take(at)
+                    at = 2 * at + 1 + (flat.take(row + (here >> 8)) > (here & 255))
+                out[low : low + SCORED] += value.take(at)
+        return out
+
+    def packed(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Depth, feature and cut as one number, and step of every tree; a leaf hands its value down to the left."""
+        out = []
         for tree in self.trees:
-            out += self.step * tree.value[tree.node(bins)]
+            value = self.step * tree.value
+            for level in range(tree.depth):
+                low, high = 2**level - 1, 2 ** (level + 1) - 1
+                below = value[2 * low + 1 : 2 * high + 1 : 2]  # left children
+                below[:] = np.where(tree.feature[low:high] < 0, value[low:high], below)
+            inner = tree.feature >= 0
+            out.append((tree.depth, np.where(inner, 256 * tree.feature + tree.cut, 255), value))
         return out
 
 
@@ -88,18 +118,24 @@ def lambda_gradients(gain, score, place, top_gain, top_score, ideal):
     where there are fewer. The last two results are matrices, zero for rows that are among the first
     (they meet the others from their own side).
     """
-    k = top_gain.shape[1]
+    n, k = top_gain.shape
     discount = 1.0 / np.log2(np.arange(k) + 2.0)
     mine = np.where(place >= 0, discount[np.maximum(place, 0)], 0.0)
-    there = ~np.isnan(top_gain) & (np.arange(k) != place[:, None])
-    other_gain, other_score = np.where(there, top_gain, 0.0), np.where(there, top_score, 0.0)
-    sign = np.sign(gain[:, None] - other_gain)
-    change = np.abs(gain[:, None] - other_gain) * np.abs(mine[:, None] - discount) / np.where(ideal > 0, ideal, 1.0)[:, None]
-    change = np.where(there & (ideal > 0)[:, None], change, 0.0)
-    wrong = 1.0 / (1.0 + np.exp(np.clip(sign * (score[:, None] - other_score), -500, 500)))
-    pull, bend = -sign * wrong * change, wrong * (1.0 - wrong) * change
-    below = (place < 0)[:, None]
-    return pull.sum(1), bend.sum(1), np.where(below, -pull, 0.0), np.where(below, bend, 0.0)
+    share = np.where(ideal > 0, 1.0, 0.0) / np.where(ideal > 0, ideal, 1.0)
+    below = place < 0
+    g, h, back_g, back_h = np.zeros(n), np.zeros(n), np.empty((k, n)), np.empty((k, n))
+    for j in range(k):  # a row meets itself without effect
+        there = ~np.isnan(top_gain[:, j])
+        more = np.where(there, gain - top_gain[:, j], 0.0)
+        ahead = np.where(there, score - top_score[:, j], 0.0)
+        wrong = 1.0 / (1.0 + np.exp(np.clip(ahead, -500, 500)))  # if this row is to be first
+        change = more * (np.abs(mine - discount[j]) * share)
+        pull, bend = -change * np.where(more > 0, wrong, 1.0 - wrong), np.abs(change) * (wrong * (1.0 - wrong))
+        g += pull
+        h += bend
+        np.multiply(pull, -1.0 * below, out=back_g[j])
+        np.multiply(bend, below, out=back_h[j])
+    return g, h, back_g.T, back_h.T
 
 
 def fit_listwise(
@@ -124,17 +160,80 @@ def fit_listwise(
     found = rows.agg(*[F.percentile_approx(F.when(~F.isnan(_number(c)), _number(c)), quantiles, 10_000).alias(c) for c in features]).first()
     ranker = ListwiseRanker(features, [np.unique(np.array(v or [], float)) for v in found], step, gains=np.zeros(len(features)))
     state = materialize(_binned(rows, ranker, label), "binned")
+    if tasks := _tasks(state):
+        _by_tasks(state, ranker, tasks, k, rounds, max_depth, penalty, least_curvature)
+    else:
+        _by_jobs(state, ranker, k, rounds, max_depth, penalty, least_curvature)
+    return ranker
+
+
+def _tasks(state: DataFrame) -> int:
+    """Number of tasks that keep the rows; 0 if they cannot."""
+    spark, n_rows = state.sparkSession, state.count()
+    if n_rows <= TASK_ROWS:
+        return 1
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    try:
+        resident.reach(work_dir(spark))
+    except (OSError, ValueError, pa.ArrowException):
+        return 0
+    scheduler = spark.sparkContext._jsc.sc()
+    slots = scheduler.maxNumConcurrentTasks(scheduler.resourceProfileManager().defaultResourceProfile())
+    tasks = min(slots, -(-n_rows // TASK_ROWS))
+    return tasks if tasks and n_rows <= tasks * KEPT_ROWS else 0
+
+
+def _by_tasks(state: DataFrame, ranker: ListwiseRanker, tasks: int, k: int, rounds: int, depth: int, penalty: float, least: float) -> None:
+    """All rounds in one stage; users with over a quarter of a task's share of the rows are dealt over all tasks."""
+    hot: list[str] = []
+    if tasks > 1:
+        sizes = state.groupBy("user_id").count()
+        hot = [r["user_id"] for r in sizes.where(F.col("count") > state.count() // (4 * tasks)).orderBy("user_id").collect()]  # below 4 x tasks
+    key = F.when(F.col("user_id").isin(hot), F.col("rid")).otherwise(F.xxhash64("user_id"))
+    dealt = state.select("user_id", "rid", "gain", "bins").repartition(tasks, key).sortWithinPartitions("user_id", "rid")
+    n_features, step = len(ranker.features), ranker.step
+    folder = f"{work_dir(state.sparkSession).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        attempt = BarrierTaskContext.get().allGather(uuid.uuid4().hex)[0] if tasks > 1 else ""
+        exchange = resident.Exchange(f"{folder}/{attempt}", number, tasks)
+        rows = resident.Rows(batches, n_features, hot, exchange)
+        gains, all_gains = np.zeros(len(rows.kept)), np.zeros(n_features)
+        for tree in resident.boost(rows, rounds, lambda: Tree(depth), gains, k, BINS + 1, step, penalty, least, exchange, lambda_gradients):
+            if number == 0:
+                inner, all_gains[rows.kept] = tree.feature >= 0, gains
+                feature = np.where(inner, rows.kept[np.where(inner, tree.feature, 0)], -1)
+                values = [np.asarray(x).tobytes() for x in (feature.astype(np.int64), tree.cut, tree.value, all_gains)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["feature", "cut", "value", "gains"])
+
+    try:
+        found = dealt.mapInArrow(run, "feature binary, cut binary, value binary, gains binary", barrier=tasks > 1).collect()  # trees
+    finally:
+        if tasks > 1:
+            files, path = resident.reach(folder)
+            if files.get_file_info(path).type == resident.fs.FileType.Directory:
+                files.delete_dir(path)
+    for row in found:  # in the order of task 0
+        tree = Tree(depth)
+        tree.feature, tree.cut, tree.value = (np.frombuffer(row[c], kind).copy() for c, kind in (("feature", np.int64), ("cut", np.int64), ("value", float)))
+        ranker.trees.append(tree)
+        ranker.gains = np.frombuffer(row["gains"]).copy()
+
+
+def _by_jobs(state: DataFrame, ranker: ListwiseRanker, k: int, rounds: int, depth: int, penalty: float, least: float) -> None:
+    """All rounds with one job per level."""
     best = top_k(state.select("user_id", "rid", "gain"), ["user_id"], [F.col("gain").desc(), F.col("rid")], k)
     ideal = materialize(best.groupBy("user_id").agg(F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("ideal")), "ideal")
     for n in range(rounds):
         pulled = materialize(_pulled(state, ideal, k), f"pulled-{n}")
-        tree = _grow(pulled, ranker, max_depth, penalty, least_curvature)
+        tree = _grow(pulled, ranker, depth, penalty, least)
         if tree is None:
             break
         ranker.trees.append(tree)
         if n + 1 < rounds:
-            state = materialize(_moved(pulled, tree, step), f"scored-{n}")
-    return ranker
+            state = materialize(_moved(pulled, tree, ranker.step), f"scored-{n}")
 
 
 def _number(column: str):
@@ -298,9 +397,10 @@ def score_listwise(ranker: ListwiseRanker, matrix: DataFrame, keep: Sequence[str
     schema = T.StructType([*fed.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = ranker.packed()
         for given in batches:
             columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in given.columns[len(keep) :]]
-            score = pa.array(ranker.score(ranker.bins(columns)))
+            score = pa.array(ranker.score(ranker.bins(columns), packed))
             yield pa.RecordBatch.from_arrays([*given.columns[: len(keep)], score], names=schema.names)
 
     return fed.mapInArrow(run, schema)

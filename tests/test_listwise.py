@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from gustara.operators import listwise
 from gustara.operators.listwise import Tree, _histograms, _pulled, _unpacked, fit_listwise, lambda_gradients, score_listwise
 from gustara.operators.metrics import graded_ndcg_at_k
 from gustara.operators.ranker import importance_order, rank_model, score
@@ -125,3 +126,26 @@ def test_bins_are_read_in_place():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (whole == bins).all() and (some == bins[7:27]).all() and peak < 1 << 20
+
+
+def test_tasks_that_keep_their_rows_grow_the_trees_of_jobs(spark, monkeypatch):
+    """With one task, and with three that share out a user with most of the rows."""
+    draw, rows = random.Random(11), []
+    for user, n in {"hot": 300, "a": 40, "b": 3, "c": 1, "flat": 6, **{f"u{i}": 12 for i in range(12)}}.items():
+        for i in range(n):
+            x, y = draw.randint(0, 9), draw.choice([None, 0.5, draw.random()])
+            label = 2.0 if user == "flat" else float(draw.randint(0, 2) + (x > 6) + (y is None))
+            rows.append((user, f"i{i}", label, label, x, y, 3.0))
+    matrix = spark.createDataFrame(rows, "user_id string, item_id string, rating double, rating_date double, x int, y double, same double").cache()
+    fits = {}
+    for tasks in (0, 1, 3):
+        monkeypatch.setattr(listwise, "_tasks", lambda state: tasks)
+        fits[tasks] = fit_listwise(matrix, rounds=4, max_depth=3, step=0.3)
+    by_jobs = fits[0]
+    assert len(by_jobs.trees) == 4
+    for tasks in (1, 3):
+        for one, two in zip(by_jobs.trees, fits[tasks].trees, strict=True):
+            assert (one.feature == two.feature).all() and (one.cut == two.cut).all() and np.allclose(one.value, two.value)
+        assert np.allclose(by_jobs.gains, fits[tasks].gains)
+    bins = np.random.default_rng(5).integers(0, 65, (1000, 3)).astype(np.uint8)
+    assert np.allclose(by_jobs.score(bins), sum(0.3 * t.value[t.node(bins)] for t in by_jobs.trees))
