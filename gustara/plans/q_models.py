@@ -282,12 +282,15 @@ def results(spark, sf):
 # ---- Ranking model -------------------------------------------------------------------------
 
 
+RANKER = {"rounds": 500, "max_depth": 8, "step": 0.05}  # the surveyed model's trees (SURVEY M13)
+
+
 def fitted_ranker(spark, sf):
     """Split, ranking matrices of both splits (features of the training split) and the model."""
     split = stored_split(spark, sf)
     users, products = user_features(split.train), product_rows(spark, sf)
     train, valid = (materialize(ranking_matrix(users, products, rating_with_age(rows)), "matrix") for rows in (split.train, split.valid))
-    return split, train, valid, fit_listwise(train, rounds=10, max_depth=4)
+    return split, train, valid, fit_listwise(train, **RANKER)
 
 
 def one_per_pair(scored):

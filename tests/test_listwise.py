@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from gustara.operators import listwise
 from gustara.operators.listwise import Tree, _histograms, _pulled, _unpacked, fit_listwise, lambda_gradients, score_listwise
 from gustara.operators.metrics import graded_ndcg_at_k
 from gustara.operators.ranker import importance_order, rank_model, score
+from gustara.plans import q_models
 
 K = 5
 
@@ -149,3 +151,13 @@ def test_tasks_that_keep_their_rows_grow_the_trees_of_jobs(spark, monkeypatch):
         assert np.allclose(by_jobs.gains, fits[tasks].gains)
     bins = np.random.default_rng(5).integers(0, 65, (1000, 3)).astype(np.uint8)
     assert np.allclose(by_jobs.score(bins), sum(0.3 * t.value[t.node(bins)] for t in by_jobs.trees))
+
+
+def test_registered_ranker_has_all_trees_of_the_surveyed_model(monkeypatch):
+    split = SimpleNamespace(train=None, valid=None)
+    monkeypatch.setattr(q_models, "stored_split", lambda spark, sf: split)
+    for name in ("user_features", "product_rows", "rating_with_age", "ranking_matrix", "materialize"):
+        monkeypatch.setattr(q_models, name, lambda *given: None)
+    monkeypatch.setattr(q_models, "fit_listwise", lambda matrix, **given: given)
+    asked = q_models.fitted_ranker(None, "")[-1]
+    assert (asked["rounds"], asked["max_depth"], asked["step"]) == (500, 8, 0.05)
