@@ -77,16 +77,18 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str = "step", partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", partition_by: str | None = None, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used after expensive or order-sensitive stages. Compared with ``checkpoint()`` the stage
     is computed once rather than twice, and readers of the table prune columns and know its
     size, which the join planner needs. With ``partition_by`` readers of one value skip the rest.
+    Writers and readers hold a row group; ``group_rows`` bounds its rows where they are large.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path, partitionBy=partition_by)
+    options = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    df.write.mode("errorifexists").options(**options).parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,10 +7,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from gustara.llm import lexical_search as ls
 from gustara.llm.common import prepare
+from gustara.session import materialize
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 DRAW = random.Random(4)
@@ -114,3 +116,20 @@ def test_long_texts_and_empty_tables(session, monkeypatch):
     assert ls.rank_documents(none, asked).count() == 0
     assert ls.rank_documents(some, asked.limit(0)).count() == 0
     assert [r["score"] for r in ls.rank_documents(some, asked).collect()] == [s for *_, s, _ in brute_force([(1, "a b")], [(1, "a")], 10)]
+
+
+def test_index_is_held_and_searched_by_segment(session, monkeypatch):
+    """One row group per segment, and no shuffle of the segments on their way to the queries."""
+    docs, items = [(n, prose(30)) for n in range(100)], [(n, prose(5)) for n in range(3)]
+    monkeypatch.setattr(ls, "materialize", lambda df, *given, **named: materialize(parts(df) if "index" in given else df, *given, **named))
+
+    def parts(index):  # five segments in one file
+        return index.coalesce(1)
+
+    index = ls.build_index(session.createDataFrame(docs, "doc_id bigint, text string").repartition(5))
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert [m.num_row_groups for m in files] == [5] and index.count() == 5
+    found = ls.search(index, ls.query_terms(session.createDataFrame(items, "item_id bigint, text string")), k=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Exchange" not in plan[plan.index("MapInArrow") :]
+    assert sorted(map(tuple, found.select("item", "id", "score", "rank").collect()), key=repr) == brute_force(docs, items, 5)
